@@ -1,11 +1,16 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .mixing import OP4_SQL, op4_mix_sources
+from .simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_mix_sources": op4_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_mix_sources": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
 }
