@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import SPACE, ascii_lower, table
 
+#: Rows that one hash can have after counting.
+SALTS = 16
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
@@ -22,11 +26,14 @@ def _keys(text: Column, min_chars: int) -> Column:
 def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, dropped): the lines to drop as a sparse bitmap, word position -> 64 bits, for the documents that lose any.
 
-    Keys are counted once for each row of docs that holds them, so repeated rows count as documents of their own, and rows that share a doc_id share their bitmap's holder. Null ids: such a row counts as a holder and keeps its lines. Counting combines before the shuffle; the hashes of a line that a third of the rows hold are dealt out by the join's adaptive split. Within a document, positions are put in order by the bitmap itself.
+    Keys are counted once for each row of docs that holds them, so repeated rows count as documents of their own, and rows that share a doc_id share their bitmap's holder. Null ids: such a row counts as a holder and keeps its lines. Counting combines before the shuffle, to a row for each hash and each of SALTS shares of the documents. Those rows are range-partitioned by hash with a secondary sort by document, and the first of each hash is streamed off as the line's holder. The lines of a hash that a third of the rows hold are dealt out by the join's adaptive split. Within a document, the bitmap keeps the order of positions.
     """
     keys = docs.select("doc_id", _keys(F.col("text"), min_chars).alias("keys"))
     once = keys.select("doc_id", F.explode(F.array_distinct(F.transform("keys", lambda x: F.struct(x.h.alias("h"), x.g.alias("g"))))).alias("k"))
-    repeated = once.groupBy("k.h", "k.g").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).drop("n")
+    counted = once.groupBy("k.h", "k.g", F.pmod("doc_id", F.lit(SALTS)).alias("salt")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    of_key = W.partitionBy("h", "g")
+    streamed = counted.repartitionByRange("h", "g").select("h", "g", "last", F.row_number().over(of_key.orderBy(F.desc_nulls_last("last"))).alias("at"), F.sum("n").over(of_key).alias("n"))
+    repeated = streamed.where((F.col("at") == 1) & (F.col("n") >= min_docs)).drop("at", "n")
     at = keys.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h", "k.g", "k.pos")
     drop = at.join(repeated, ["h", "g"]).where("doc_id <> last")
     words = drop.groupBy("doc_id", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
