@@ -2,11 +2,15 @@
 
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP4_SQL, op4_mix_sources
+from .pieces import op8_sentencepiece
+from .quality import op6_quality
 from .simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_mix_sources": op4_mix_sources,
+    "op6_quality": op6_quality,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 
