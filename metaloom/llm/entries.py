@@ -1,20 +1,25 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .html import op9_html_text
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import OP4_SQL, op4_mix_sources
 from .pieces import op8_sentencepiece
 from .quality import op6_quality
 from .simhash import op1_simhash
+from .topk import OP7_SQL, op7_top_k
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op6_quality": op6_quality,
+    "op7_top_k": op7_top_k,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op4_mix_sources": OP4_SQL,
+    "op7_top_k": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
