@@ -91,6 +91,7 @@ def _narrow(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     if tight.any():
         rng[tight] = (~low[tight] + U(1)) & LOW32
         out |= tight
+    rng[out] = np.minimum(rng[out], LOW32)  # a range of exactly 2^32 would be shifted out
     return out
 
 
