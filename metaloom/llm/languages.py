@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, in_arrow, table
 
 BITS = 14
 PIECE = 1 << 20
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, bound: int = 3000) -> Model:
             (i,) = np.nonzero(got)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(i)), "i": pa.array(i), "n": pa.array(got[i])})
 
-    got = drawn.select("lang", "text").mapInArrow(count, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
+    got = in_arrow(drawn.select("lang", "text"), count, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got.lang.unique())
     counts = np.zeros((len(languages), 1 << BITS))
     counts[np.searchsorted(languages, got.lang.to_numpy(str)) if languages else [], got.i.to_numpy(np.int64)] = got.n.to_numpy(float)
@@ -113,7 +113,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "lang_pred", "score", "mixture"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, mixture string")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, lang_pred string, score double, mixture string")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, table
 
 WAV, UNKNOWN = "audio/wav", "application/octet-stream"
 PAYLOAD = 576
@@ -197,7 +197,7 @@ def sniffed(df: DataFrame, media_col: str = "media", declared_col: str = "declar
             yield pa.RecordBatch.from_pydict({n: b.column(b.schema.get_field_index(n)) for n in names} | {"true_type": pa.array(types, pa.string()), "corrected": pa.array(fixed, pa.bool_()), "embedded": pa.array(inner, pa.list_(item))})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    return df.mapInArrow(run, f"{schema}, true_type string, corrected boolean, embedded array<struct<type: string, start: bigint, content: binary>>")
+    return in_arrow(df, run, f"{schema}, true_type string, corrected boolean, embedded array<struct<type: string, start: bigint, content: binary>>")
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -224,7 +224,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             media = [wav(x + b"\xff" * (-len(x) % PAYLOAD or PAYLOAD * (not x))) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([UNKNOWN] * len(raw)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def digests(stored: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def digests(stored: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([doc, n, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_arrow(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

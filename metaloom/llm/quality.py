@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, in_arrow, table
 
 BITS = 18
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
@@ -121,7 +121,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     own = docs.withColumn("_text", F.col("text").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return own.mapInArrow(run, schema).withColumnRenamed("_score", "score")
+    return in_arrow(own, run, schema).withColumnRenamed("_score", "score")
 
 
 def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:

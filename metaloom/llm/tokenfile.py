@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import new_path, table, written
+from .common import in_arrow, new_path, table, written
 
 U = np.uint64
 MAGIC, VOCABULARY, END = b"MLTOK001", 1 << 16, 1
@@ -258,7 +258,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, block: int = BLOCK, fi
             yield flush()
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "part long, seq long, n_tokens long, n_bytes long"), "token_files")
+    return written(in_arrow(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, "part long, seq long, n_tokens long, n_bytes long"), "token_files")
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -277,7 +277,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(docs), part)), "seq": pa.array(np.full(len(docs), seq)), "doc_id": pa.array(docs, mask=none), "own": pa.array(ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crcs, pa.int64())})
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    got = raw.mapInArrow(run, "part long, seq long, doc_id long, own long, n_tokens long, ids_crc32 long")
+    got = in_arrow(raw, run, "part long, seq long, doc_id long, own long, n_tokens long, ids_crc32 long")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before(W.orderBy("part")).alias("of_part"))
     starts = files.select("part", "seq", F.col("n_tokens").alias("n")).withColumn("of_file", before(W.partitionBy("part").orderBy("seq"))).join(parts, "part")
