@@ -1,19 +1,19 @@
 """Traversals (G1 to G9): breadth-first impact, simple-path traces and graph queries, for any number of seeds at once.
 
-A queue visits a level's nodes in the order in which they were found. That order is carried as an array with one element for each hop: arrays compare element by element, so the smallest array by which a node is reached is the queue's discovery, and a level is one join, one aggregation and one anti join. Levels are at most MAX_DEPTH and each is persisted.
+A queue visits a level's nodes in the order in which they were found. That order is carried as an array with one element for each hop: arrays compare element by element, so the smallest array by which a node is reached is the queue's discovery, and a level is one join, one aggregation and one anti join. Levels are at most MAX_DEPTH and each is written.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import contains_ci, edge_priority, payload_array_len_ge
 from ..plans.model import MAX_DEPTH, MAX_QUERY, MAX_RESULTS, Graph
+from ..plans.shared import written
 
 SEED = ["snapshot_key", "seed"]
 BOTH = {"outbound": ["outbound"], "inbound": ["inbound"], "both": ["outbound", "inbound"]}
@@ -26,7 +26,8 @@ def directions(direction: str) -> list[str]:
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A level as a written table: plans stay small, and no lost executor takes a level along."""
+    return written(df, "level")
 
 
 def _steps(edges: DataFrame, direction: str, bounded: bool) -> DataFrame:

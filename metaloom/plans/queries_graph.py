@@ -21,11 +21,11 @@ SQL: dict = {}
 
 def _n(col: str):
     """The number at the end of a key's object name."""
-    return F.regexp_extract(F.split(F.col(col), ":")[5], "([0-9]+)$", 1).cast("long")
+    return F.regexp_extract(F.split(F.col(col), ":")[5], "([0-9]+)$", 1).try_cast("long")
 
 
 def _sub(col: str):
-    return F.regexp_extract(col, "([0-9]+)$", 1).cast("long")
+    return F.regexp_extract(col, "([0-9]+)$", 1).try_cast("long")
 
 
 def _extract(spark, sf):
@@ -60,7 +60,7 @@ _mapped("b8_map_views", lambda s, d: M.map_views(_extract(s, d)).select("key", "
 
 def _lost(s, d):
     x = _extract(s, d)
-    return x | {"tables": x["tables"].where((F.col("TABLE_TYPE") == "VIEW") | (F.regexp_extract("TABLE_NAME", "([0-9]+)$", 1).cast("long") % 211 != 0))}
+    return x | {"tables": x["tables"].where((F.col("TABLE_TYPE") == "VIEW") | (F.regexp_extract("TABLE_NAME", "([0-9]+)$", 1).try_cast("long") % 211 != 0))}
 
 
 _mapped("b8_out_of_scope", lambda s, d: M.out_of_scope(_lost(s, d)).groupBy("code", "object_key").agg(F.count("*").alias("n")), "SELECT 'dependency_out_of_scope' AS code, vdep.key AS object_key, count(*) AS n FROM vdep JOIN cust ON dep = tkey WHERE ck % 211 = 0 GROUP BY ALL")
@@ -101,7 +101,7 @@ _mapped("b30_discovered_objects", lambda s, d: M.discovered_objects(_extract(s,
 
 def _large(s, d):
     x = _extract(s, d)
-    hit = F.regexp_extract("ROUTINE_NAME", "([0-9]+)$", 1).cast("long") % 29 == 0
+    hit = F.regexp_extract("ROUTINE_NAME", "([0-9]+)$", 1).try_cast("long") % 29 == 0
     return x | {"routines": x["routines"].withColumn("ROUTINE_DEFINITION", F.when(hit, F.repeat(F.lit("x"), F.lit(1_048_577))))}
 
 
