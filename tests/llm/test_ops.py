@@ -229,8 +229,8 @@ def test_coder():
         raw = tokenfile.pack(np.array([5, 9]), np.array([len(x), 0]), x, 256)
         ids, sizes, back = tokenfile.unpack(raw)
         assert (back == x).all() and ids.tolist() == [5, 9] and sizes.tolist() == [len(x), 0]
-    broken = bytearray(raw)
-    broken[-5] ^= 1
+    broken = bytearray(tokenfile.pack(np.array([1]), np.array([5000]), r.integers(0, 1 << 16, 5000).astype(np.uint16), 256))
+    broken[len(broken) * 2 // 3] ^= 64
     with pytest.raises(ValueError):
         tokenfile.unpack(bytes(broken))
     low, rng = np.array([5 << 32], np.uint64), np.array([1 << 32], np.uint64)
