@@ -1,11 +1,12 @@
 """Token-id files: ids under an adaptive context-mixing range coder, in blocks that are reset and checksummed each on its own.
 
-Each id is coded with one mixture of distributions: order 2 and order 1 (what followed this context last time, from hashed tables), the block's leading id so far, and order 0 (the file's own counts). The weights follow how often each prediction has come true at its confidence. All blocks of a file step together, one id of each at a time, so that every step is a few vector operations.
+Each id is coded with a mixture: the ids that order 2 and order 1 predict (what followed this context last time, from hashed tables), the block's leading id so far, and order 0 (the file's own counts). The weights follow how often each prediction has come true at its confidence. All blocks of a file step together, one id of each at a time, so that every step is a few vector operations.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,38 +42,52 @@ class Mixer:
     """The predictions' state in all blocks, one lane each. Coder and decoder go through the same steps."""
 
     def __init__(self, lanes: int, freq: np.ndarray):
-        self.freq, self.cum = freq.astype(U), np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(U)
+        self.freq, self.cum = freq.astype(np.uint32), np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
         self.lane = np.arange(lanes)
+        self.lane_levels = self.lane * LEVELS
         self.t1, self.t2 = np.zeros(lanes << H1, np.uint32), np.zeros(lanes << H2, np.uint32)
-        self.c1, self.c2 = (np.full(lanes * LEVELS, 1 << 13, np.int32) for _ in range(2))
+        self.c1, self.c2 = (np.full(lanes * LEVELS, 1 << 13, np.uint32) for _ in range(2))
         self.p, self.pp = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.lead, self.leads = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
 
     def predict(self) -> None:
-        """The three predicted ids and their units of weight; rest: the units of order 0."""
+        """The three predicted ids and the ends of their shares, which come first; then order 0, in rest units."""
         self.i1 = (self.lane << H1) + ((self.p * np.uint32(0x9E3779B1)) >> np.uint32(32 - H1))
         self.i2 = (self.lane << H2) + (((self.p * np.uint32(0x85EBCA77) ^ self.pp) * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - H2))
         e1, e2 = self.t1[self.i1], self.t2[self.i2]
-        self.k1, self.k2 = self.lane * LEVELS + (e1 & 15), self.lane * LEVELS + (e2 & 15)
+        self.k1, self.k2 = self.lane_levels + (e1 & FIFTEEN), self.lane_levels + (e2 & FIFTEEN)
         w1, w2 = self.c1[self.k1], self.c2[self.k2]
-        self.ids = [e2 >> 4, e1 >> 4, self.lead]
-        units = [(w2 * 40) >> 16, (w1 * 20) >> 16, np.minimum(self.leads, 2)]
-        self.rest = (UNITS - units[0] - units[1] - units[2]).astype(U)
-        self.units = [u.astype(U) << U(ORDER0) for u in units]
+        self.g2, self.g1 = e2 >> FOUR, e1 >> FOUR
+        u2 = (w2 * np.uint32(40)) >> np.uint32(16)
+        u1 = u2 + ((w1 * np.uint32(20)) >> np.uint32(16))
+        u0 = u1 + np.minimum(self.leads, 2).astype(np.uint32)
+        self.rest = np.uint32(UNITS) - u0
+        self.end2, self.end1, self.end0 = u2 << SHIFT, u1 << SHIFT, u0 << SHIFT
         self.e1, self.e2, self.w1, self.w2 = e1, e2, w1, w2
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, size = self.rest * self.cum[ids], self.rest * self.freq[ids]
-        for x, u in zip(self.ids, self.units, strict=True):
-            start += u * (x < ids)
-            size += u * (x == ids)
-        return start, size
+        """Start and size of ids: the share of the first prediction that names the id and has one, else its place in order 0."""
+        start, size = self.end0 + self.rest * self.cum[ids], self.rest * self.freq[ids]
+        for guess, low, high in ((self.lead, self.end1, self.end0), (self.g1, self.end2, self.end1), (self.g2, ZERO, self.end2)):
+            hit = (guess == ids) & (high > low)
+            np.copyto(start, low, where=hit)
+            np.copyto(size, high - low, where=hit)
+        return start.astype(U), size.astype(U)
+
+    def find(self, v: np.ndarray, by_share: np.ndarray) -> np.ndarray:
+        """The ids at v, places out of 2^24."""
+        v = v.astype(np.uint32)
+        out = by_share[np.minimum((np.maximum(v, self.end0) - self.end0) // self.rest, np.uint32((1 << ORDER0) - 1))]
+        for guess, high in ((self.lead, self.end0), (self.g1, self.end1), (self.g2, self.end2)):
+            np.copyto(out, guess, where=v < high)
+        return out
 
     def update(self, ids: np.ndarray) -> None:
-        for e, table_, at, w, c, k in ((self.e1, self.t1, self.i1, self.w1, self.c1, self.k1), (self.e2, self.t2, self.i2, self.w2, self.c2, self.k2)):
-            hit = (e >> 4) == ids
-            table_[at] = np.where(hit, e + ((e & 15) < 15), ids << np.uint32(4))
-            c[k] = w + (((hit.astype(np.int32) << 16) - w) >> 4)
+        fresh = ids << FOUR
+        for guess, e, held, at, w, c, k in ((self.g1, self.e1, self.t1, self.i1, self.w1, self.c1, self.k1), (self.g2, self.e2, self.t2, self.i2, self.w2, self.c2, self.k2)):
+            hit = guess == ids
+            held[at] = np.where(hit, np.minimum(e + ONE, e | FIFTEEN), fresh)
+            c[k] = w - (w >> FOUR) + (hit.astype(np.uint32) << np.uint32(12))
         same = self.lead == ids
         self.leads += np.where(same, 1, -1).astype(np.int32)
         gone = self.leads < 0
@@ -81,6 +96,7 @@ class Mixer:
         self.pp, self.p = self.p, ids
 
 
+ZERO, ONE, FOUR, FIFTEEN, SHIFT = (np.uint32(x) for x in (0, 1, 4, 15, ORDER0))
 LOW32, FULL = U(0xFFFFFFFF), U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -136,13 +152,7 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, freq: np.ndarray, block:
         m.predict()
         r = rng >> U(TOTAL)
         v = np.minimum((code - low) // r, U((1 << TOTAL) - 1))
-        spans = [m.interval(x) for x in m.ids]
-        base = v.copy()
-        for (a, size), u in zip(spans, m.units, strict=True):
-            base -= np.where(v >= a + size, u, U(0))
-        x = by_share[np.minimum(base // m.rest, U((1 << ORDER0) - 1))]
-        for (a, size), own in zip(spans, m.ids, strict=True):
-            x = np.where((v >= a) & (v < a + size), own, x)
+        x = m.find(v, by_share)
         start, size = m.interval(x)
         low += r * start
         rng = r * size
@@ -191,27 +201,47 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(head, "<i8", docs), np.frombuffer(head, "<u4", docs, 8 * docs).astype(np.int64), ids
 
 
+class Known(dict):
+    """Ids of parts of texts, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, part: str) -> bytes:
+        self[part] = out = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
+        return out
+
+
+PARTS = re.compile("[a-zªµºß-öø-ÿ]+|[^ \na-zªµºß-öø-ÿ]+")
+
+
+def parts(text: str) -> list[str]:
+    """Pieces of a text that this kind of vocabulary (lower case, tokens of letters, of single digits or of other marks) encodes each on its own: runs of letters and of other characters in lower case; where there are characters outside Latin-1, quotes (for their own endings) or what may be a special token, whatever stands between spaces and newlines."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    if "'" in text or "<|" in text:
+        return text.replace("\n", " ").split(" ")
+    return PARTS.findall(text.lower())
+
+
 class Tokens:
-    """A tokenizers file; ids of parts between plain spaces and newlines are kept, as no token of this kind of vocabulary reaches over white space."""
+    """A tokenizers file; ids of parts that have come before are kept."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known = Known(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        known = self.known
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for x in parts for p in x if p not in known})
-        for i in range(0, len(new), 4096):
-            got = self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)
-            known.update(zip(new[i : i + 4096], (np.array(e.ids, "<u2").tobytes() for e in got), strict=True))
-        out = [b"".join([known[p] for p in x]) for x in parts]
-        if len(known) > CACHED:
-            known.clear()
-            known[""] = b""
+        of = self.known.__getitem__
+        out = [b"".join(map(of, parts(t))) for t in texts]
+        if len(self.known) > CACHED:
+            self.known.clear()
         return out
 
 
