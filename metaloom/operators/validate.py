@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import parse_key, rel_edge_type
 from ..plans.model import CONSTRAINTS, ENDPOINTS, MAX_PROPERTIES, MAX_PROPERTY_ITEMS, MAX_PROPERTY_NAME, MAX_PROPERTY_TEXT, MAX_TEXT, METADATA_KINDS, PARENTS, Canonical
+from ..plans.shared import written
+
 
 EXPECTED = {"databases": "database", "schemas": "schema", "tables": "table", "columns": "column", "indexes": "index", "views": "view", "triggers": "trigger", "routines": "routine"}
 OWNED = ["columns", "constraints", "indexes", "triggers"]
@@ -236,5 +238,5 @@ RULES = {"v1": header, "v2": registration, "v3": scope, "v4": identity, "v5": co
 
 
 def validate(c: Canonical) -> DataFrame:
-    """All issues of all snapshots."""
-    return reduce(DataFrame.unionByName, [rule(c) for rule in RULES.values()])
+    """All issues of all snapshots. Each rule is a job of its own that writes its issues, so that no plan holds all of them."""
+    return reduce(DataFrame.unionByName, [written(rule(c), f"issues_{name}") for name, rule in RULES.items()])
