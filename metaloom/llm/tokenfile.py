@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -241,7 +242,9 @@ class Tokens:
         of = self.known.__getitem__
         out = [b"".join(map(of, parts(t))) for t in texts]
         if len(self.known) > CACHED:
+            held = list(islice(self.known.items(), CACHED // 3))  # what came first is what is frequent
             self.known.clear()
+            self.known.update(held)
         return out
 
 
