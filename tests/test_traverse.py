@@ -118,7 +118,7 @@ def frames(spark, all_edges):
 
 @pytest.fixture(scope="module")
 def random_graphs(spark):
-    all_edges = graphs(150, 7)
+    all_edges = graphs(80, 7)
     return (all_edges, *frames(spark, all_edges))
 
 
