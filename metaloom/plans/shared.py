@@ -13,9 +13,7 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
