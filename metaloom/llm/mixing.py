@@ -60,9 +60,10 @@ def with_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     return joined.withColumn("copies", F.floor(rate).cast("long") + (draw < rate - F.floor(rate)).cast("long"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row emitted as often as the mix takes it."""
-    return with_copies(docs, **how).select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+def mix(docs: DataFrame, copy: str | None = None, **how) -> DataFrame:
+    """docs with each row emitted as often as the mix takes it; a column named copy, if asked for, numbers a row's copies from 0."""
+    got = with_copies(docs, **how).select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy", "_0"))
+    return got.select(*docs.columns, *([F.col("_copy").alias(copy)] if copy else []))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
