@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,56 +24,80 @@ ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "
 WORDS_OUT = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip toolbar topbar".split())
 COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus"}
 CONTENT_WORDS = {"article", "post", "entry", "content", "story"}
+#: A class or id that begins or ends so says what an element has, not what it is.
+BEGINS, ENDS = {"with", "has", "have", "no", "without", "is", "not", "hide", "show"}, {"enabled", "disabled", "on", "off", "open", "closed", "active", "visible", "less"}
+#: Elements whose lines belong together.
+HOLDERS = {"article", "main", "div", "section", "body", "table"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CAMEL = re.compile(r"[a-z0-9]+|[A-Z]+[a-z0-9]*")
 #: Lines in a window, and the least sum of a window that counts as a surge.
 WINDOW, SURGE = 3, 86
+#: Outside all elements: in none that is boilerplate, by words or always, nor in any that marks or holds.
+TOP: tuple[bool, tuple[int, ...], int, tuple[int, ...]] = (False, (), -1, ())
 
 
-def _out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element and all below it is none of the article."""
+def _out(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether an element and all below it is none of the article: "always", or by its "words" or as "comments" unless it holds the page's text, or "" if it may be."""
     if tag in ALWAYS_OUT:
-        return True
+        return "always"
     words: set[str] = set()
+    content = False
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                words.update(w.lower() for w in CAMEL.findall(value))
+                for one in value.split():
+                    parts = [w.lower() for w in CAMEL.findall(one)]
+                    if parts and (parts[0] in BEGINS or parts[-1] in ENDS):
+                        continue
+                    content |= bool(parts) and CONTENT_WORDS.issuperset(parts)
+                    words.update(parts)
             elif name == "role" and value.strip().lower() in ROLES_OUT:
-                return True
+                return "always"
             elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
-                return True
+                return "always"
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "always"
     if tag == "header" or "header" in words:
-        return not in_article and not words & CONTENT_WORDS
+        return "" if in_article or words & CONTENT_WORDS else "words"
     if tag in ("html", "body", "main"):
-        return False
-    return bool(words & (COMMENT_WORDS if tag == "article" else WORDS_OUT))
+        return ""
+    if words & COMMENT_WORDS:
+        return "comments"
+    return "words" if tag != "article" and not content and words & WORDS_OUT else ""
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters of it in links
+    out: bool  # in an element that is always boilerplate
+    by_words: tuple[int, ...]  # elements around it that are boilerplate by their words, outermost first
+    marked: int  # outermost article or main element around it, or -1
+    holders: tuple[int, ...]  # elements around it that hold lines together
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """A page's blocks in order: text, characters of it in links, whether it's boilerplate by its place, whether it's in an article or main element."""
-    found: list[tuple[str, int, bool, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, out, in an article
+def lines(html: str) -> tuple[list[Line], set[int]]:
+    """A page's blocks in order, and which of the elements named in them are for comments."""
+    found: list[Line] = []
+    comments: set[int] = set()
+    open_: list[tuple[str, bool, tuple[int, ...], int, tuple[int, ...]]] = []
     text: list[str] = []
-    linked = link = 0
-    out = inside = False
+    linked = link = number = 0
+    out, by_words, marked, holders = TOP
 
     def close() -> None:
         nonlocal linked
         if text:
             if joined := " ".join(unescape("".join(text)).split()):
-                found.append((joined, linked, out, inside))
+                found.append(Line(joined, linked, out, by_words, marked, holders))
             text.clear()
         linked = 0
 
     def state() -> None:
-        nonlocal out, inside
-        out, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+        nonlocal out, by_words, marked, holders
+        out, by_words, marked, holders = open_[-1][1:] if open_ else TOP
 
     at, n = 0, len(html)
     while at < n:
@@ -110,48 +135,104 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 open_.pop()
                 state()
         if tag not in VOID:
-            now = out or _out(tag, m[3], inside)
-            if tag in FRAMES or now != out:
-                open_.append((tag, now, inside or (tag in ("article", "main") and not now)))
+            why = "" if out else _out(tag, m[3], marked >= 0)
+            if tag in FRAMES or why:
+                number += 1
+                if why == "comments":
+                    comments.add(number)
+                now = out or why == "always"
+                words = (*by_words, number) if why in ("words", "comments") else by_words
                 if tag not in BLOCKS:
                     close()
+                open_.append((tag, now, words, number if tag in ("article", "main") and not now and marked < 0 else marked, (*holders, number) if tag in HOLDERS else holders))
                 state()
     close()
-    return found
+    return found, comments
+
+
+def _taken_back(found: list[Line], comments: set[int]) -> set[int]:
+    """Elements that are boilerplate by their words but hold most of the page's text (those for comments: all of it that could surge)."""
+    back: set[int] = set()
+    sizes = [0 if x.out or 2 * x.linked > len(x.text) else len(x.text) for x in found]
+    while True:
+        inner: dict[int, int] = {}
+        rest = 0
+        for x, n in zip(found, sizes, strict=True):
+            if around := [e for e in x.by_words if e not in back]:
+                inner[around[0]] = inner.get(around[0], 0) + n
+            else:
+                rest += n
+        if not inner:
+            return back
+        whole = rest + sum(inner.values())
+        most = max(inner, key=lambda e: (e not in comments, inner[e]))
+        if not (inner[most] > SURGE >= rest if most in comments else 2 * inner[most] > whole or inner[most] > SURGE >= rest):
+            return back
+        back.add(most)
 
 
 def extract(html: str | None) -> str:
-    """The main text of a whole page. Lines of boilerplate elements, lines that are mostly links and, where the page marks an article, lines outside it weigh nothing; a region goes from a window over SURGE (any weight, within an article) to the next windows without weight. Without any surge the heaviest run of lines is kept."""
-    found = lines(html or "")
+    """The main text of a whole page. Lines of boilerplate elements and lines that are mostly links weigh nothing, nor do lines outside article and main elements where these hold the heaviest region. A region is a run of lines up to the next windows without weight; those with a window over SURGE are kept whole, and so is every line with weight in an element that holds such a window's heaviest line. Without any surge the heaviest run of lines is kept (all of the marked lines, if they weigh)."""
+    found, comments = lines(html or "")
     if not found:
         return ""
-    marked = any(x[3] and not x[2] for x in found)
-    weight = np.array([0 if x[2] or (marked and not x[3]) or (not marked and 2 * x[1] > len(x[0])) else len(x[0]) for x in found])
+    back = _taken_back(found, comments)
+    out = np.array([x.out or any(e not in back for e in x.by_words) for x in found])
+    size = np.array([len(x.text) for x in found])
+    marked = np.array([x.marked for x in found])
+    links = np.array([2 * x.linked > len(x.text) for x in found])
+    weight = np.where(out | links, 0, size)
+    inside = np.where(out | (marked < 0), 0, size)
+    if by_mark := bool(inside.any()) and inside.sum() >= max((w for _, _, _, w in _runs(np.where(marked < 0, weight, 0))), default=0):
+        weight = inside
+    runs = _runs(weight)
+    keep = np.zeros(len(weight), bool)
+    if surged := [r for r in runs if len(r[2])]:
+        blocks: set[int] = set()
+        for i, j, at, _ in surged:
+            keep[i:j] = True
+            for k in at.tolist():
+                top = k + int(weight[k : k + WINDOW].argmax())
+                if by_mark:
+                    blocks.add(found[top].marked)
+                elif found[top].holders:
+                    blocks.add(found[top].holders[-1])
+        if by_mark:
+            keep |= np.isin(marked, list(blocks))
+        else:
+            # Lines right in the body have no element of their own; what else the body holds isn't theirs.
+            keep |= np.array([bool(x.holders) and (x.holders[-1] in blocks or any(e in blocks for e in x.holders[1:])) for x in found])
+    elif by_mark:
+        keep[:] = True
+    elif runs:
+        i, j, _, _ = max(runs, key=lambda r: r[3])
+        keep[i:j] = True
+    # Lines of links stand where lines with weight stand before and after them in a kept region.
+    kept = np.flatnonzero(keep & (weight > 0))
+    between = np.zeros(len(weight), bool)
+    for i, j, _, _ in runs:
+        if len(own := kept[(kept >= i) & (kept < j)]):
+            between[own[0] : own[-1] + 1] = True
+    keep &= (weight > 0) | (links & ~out & between)
+    return "\n".join(x.text for x, k in zip(found, keep, strict=True) if k)
+
+
+def _runs(weight: np.ndarray) -> list[tuple[int, int, np.ndarray, int]]:
+    """Runs of lines between windows without weight: first line, line after the last, where a window surges, weight."""
     total = np.concatenate([[0], np.cumsum(weight)])
     ends = np.minimum(np.arange(len(weight)) + WINDOW, len(weight))
     sums = total[ends] - total[: len(weight)]
-    keep = np.zeros(len(weight), bool)
-    if marked:
-        keep = weight > 0
-    else:
-        runs, i = [], 0
-        while i < len(weight):
-            if weight[i] == 0:
-                i += 1
-                continue
-            j = i
-            while j < len(weight) and sums[j] > 0:
-                j += 1
-            surges = np.flatnonzero(sums[i:j] > SURGE)
-            runs.append((i, j, i + surges[0] if len(surges) else None, total[j] - total[i]))
-            i = j
-        surged = [r for r in runs if r[2] is not None]
-        most = max((r[3] for r in runs), default=0)
-        for i, j, s, w in surged or [r for r in runs if r[3] == most][:1]:
-            if 3 * w >= most:
-                keep[(i if s is None else s) : j] = True
-        keep &= weight > 0
-    return "\n".join(x[0] for x, k in zip(found, keep, strict=True) if k)
+    runs, i = [], 0
+    while i < len(weight):
+        if weight[i] == 0:
+            i += 1
+            continue
+        j = i
+        while j < len(weight) and sums[j] > 0:
+            j += 1
+        runs.append((i, j, i + np.flatnonzero(sums[i:j] > SURGE), int(total[j] - total[i])))
+        i = j
+    return runs
 
 
 def main_text(pages: DataFrame) -> DataFrame:
