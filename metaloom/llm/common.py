@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.shared import new_path, written
 
-__all__ = ["ascii_lower", "connected_components", "id_crc", "in_arrow", "new_path", "table", "written"]
+__all__ = ["ascii_lower", "columns", "connected_components", "fresh", "id_crc", "in_arrow", "new_path", "table", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -20,10 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow in batches of BATCH rows, for whole texts are long and a worker holds a batch's input and output at once. The setting stays with the session."""
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as make it none of df's own (Spark tells names apart without their case)."""
+    own, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in own:
+            n += "_"
+        own.add(n.lower())
+        out.append(n)
+    return out
+
+
+def in_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of BATCH rows, for whole texts are long and a worker holds a batch's input and output at once. Columns may have any names. The setting stays with the session, for what is returned runs later."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    return df.mapInArrow(run, schema)
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
 
 
 def ascii_lower(c: Column) -> Column:
