@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, table, written
+from .common import WORD, columns, fresh, table, written
 
 #: More sources than this are joined by shuffle, not broadcast.
 BROADCAST_SOURCES = 100_000
@@ -27,7 +27,7 @@ def ranked(df: DataFrame, order: Column, name: str) -> DataFrame:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, size) rows -> (source, source_size, target): share of all sizes, split by weights that repeat over the sources in code-point order (null last); no target exceeds cap times its source's size, and what is cut goes to the others by weight until none is above.
 
-    The common level of target per weight rises with each round, as capped sources leave; each round is one aggregation to three numbers. An empty table gives no rows, sources without words get 0.
+    The common level of target per weight rises with each round, as capped sources leave; each round is one aggregation to three numbers. Null sources are one source, last in order; ties are none, as each source has one row. An empty table gives no rows, sources without words get 0.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights)).cast("int") + 1)
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -44,26 +44,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return s.select("source", "source_size", F.least(F.col("most"), F.lit(level) * F.col("w")).alias("target"))
 
 
-def with_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
-    """Adds size, source_size, target and copies to docs(doc_id, text, source, ...): floor(rate) copies, and one more where a hash of seed and doc_id, as a number in [0, 1), is under the rate's fraction; rate is target / source_size.
-
-    Null text or a text without words has size 0; it follows its source's rate as any other. Rows that share a doc_id share their draw. Extra columns pass through.
-    """
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), **how)
-    targets = targets.withColumnRenamed("source", "of_source")
+def _rated(docs: DataFrame, names: list[str], seed: str = "mix", **how) -> DataFrame:
+    """docs with four more columns, of names that docs mustn't have: size, source_size, target, copies."""
+    size, source_size, target, copies = names
+    sized = docs.withColumn(size, n_words(F.col("text")))
+    targets = source_targets(sized.select("source", F.col(size).alias("size")), **how)
+    of, *_ = fresh(sized, "of_source")
+    targets = targets.select(F.col("source").alias(of), F.col("source_size").alias(source_size), F.col("target").alias(target))
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
-    return joined.withColumn("copies", F.floor(rate).cast("long") + (draw < rate - F.floor(rate)).cast("long"))
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(of)), "left").drop(of)
+    return joined.withColumn(copies, F.floor(rate).cast("long") + (draw < rate - F.floor(rate)).cast("long"))
+
+
+def with_copies(docs: DataFrame, **how) -> DataFrame:
+    """Adds size, source_size, target and copies to docs(doc_id, text, source, ...): floor(rate) copies, and one more where a hash of seed and doc_id, as a number in [0, 1), is under the rate's fraction; rate is target / source_size.
+
+    A null, empty or blank text has size 0; it follows its source's rate as any other, and a source without any words takes none. Rows that share a doc_id share their draw; repeated rows are each of their own. Null sources are one source. An empty table gives no rows. Other columns pass through; columns of the added names are replaced.
+    """
+    added = ["size", "source_size", "target", "copies"]
+    names = fresh(docs, *added)
+    kept = [c for n, c in zip(docs.columns, columns(docs), strict=True) if n.lower() not in added]
+    return _rated(docs, names, **how).select(*kept, *(F.col(n).alias(a) for n, a in zip(names, added, strict=True)))
 
 
 def mix(docs: DataFrame, copy: str | None = None, **how) -> DataFrame:
-    """docs with each row emitted as often as the mix takes it; a column named copy, if asked for, numbers a row's copies from 0."""
-    got = with_copies(docs, **how).select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy", "_0"))
-    return got.select(*docs.columns, *([F.col("_copy").alias(copy)] if copy else []))
+    """docs with each row emitted as often as the mix takes it, by the rules of with_copies; a column named copy, if asked for, numbers a row's copies from 0 (one of docs by that name is replaced). All other columns, of any names, pass through."""
+    names = fresh(docs, "size", "source_size", "target", "copies", "number", "none")
+    kept = [c for n, c in zip(docs.columns, columns(docs), strict=True) if not copy or n.lower() != copy.lower()]
+    got = _rated(docs, names[:4], **how).select("*", F.posexplode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int"))).alias(*names[4:]))
+    return got.select(*kept, *([F.col(names[4]).alias(copy)] if copy else []))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
