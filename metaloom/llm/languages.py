@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from .common import id_crc, in_arrow, table
 
 BITS = 14
+#: Characters of a text taken at a time; it bears on memory alone.
 PIECE = 1 << 20
+#: A model of more languages than this would not fit the driver.
+LANGUAGES = 1000
 
 
 @cache
@@ -24,14 +27,19 @@ def _letters() -> np.ndarray:
 def trigrams(text: str) -> np.ndarray | None:
     """Counts by bucket of a whole text's trigrams, lower-cased, all but letters as single spaces; None without a letter."""
     counts, letter, any_letter = np.zeros(1 << BITS, np.int64), _letters(), False
+    text = text.lower() + " "
+    last = np.array([32], np.uint32)  # what goes before this piece: two characters, or at first a space
     for i in range(0, len(text), PIECE):
-        x = np.frombuffer((" " + text[i : i + PIECE].lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = np.frombuffer(text[i : i + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         own = letter[x]
         any_letter = any_letter or bool(own.any())
-        x = np.where(own, x, 32)
-        x = x[np.concatenate([[True], own[1:] | own[:-1]])].astype(np.uint32)
+        x = np.concatenate([last, np.where(own, x, 32)]).astype(np.uint32)
+        fresh = np.concatenate([[True] * len(last), own])
+        fresh[len(last) :] |= x[len(last) - 1 : -1] != 32  # a space after a letter stays
+        x = x[fresh]
         h = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1]) * np.uint32(0x85EBCA77) + x[2:]
         counts += np.bincount((h * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        last = x[-2:]
     return counts if any_letter else None
 
 
@@ -79,13 +87,17 @@ class Model:
 
 
 def fit(labelled: DataFrame, bound: int = 3000) -> Model:
-    """labelled(doc_id, text, lang) -> model, from about bound documents of each language, drawn by a hash of doc_id. The driver gets 2^14 counts for each language."""
+    """labelled(doc_id, text, lang) -> model, from about bound documents of each language, drawn by a hash of doc_id. The driver gets 2^14 counts for each language, of which LANGUAGES at most are allowed (more: ValueError).
+
+    Rows with a null text or language teach nothing, nor do texts without a letter; repeated rows teach again, and rows that share a doc_id are drawn together. Long texts are taken whole. An empty table gives a model without languages, by which all is und. Other columns are not read.
+    """
     known = labelled.where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("lang") == k, min(1.0, bound / n)).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0 < share)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).toPandas()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
+    shares = F.broadcast(labelled.sparkSession.createDataFrame([(lang, float(min(1.0, bound / n))) for lang, n in zip(sizes.lang, sizes.n, strict=True)], "of_lang string, share double"))
+    rows = known.select("doc_id", "text", "lang").join(shares, F.col("lang") == F.col("of_lang"))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -105,7 +117,7 @@ def fit(labelled: DataFrame, bound: int = 3000) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, mixture) of docs(doc_id, text): the language of the largest share, that share, and all shares as text. A text that is null or without a letter is und, score 0. Other columns are not read."""
+    """(doc_id, lang_pred, score, mixture) of docs(doc_id, text): the language of the largest share, that share, and all shares as text; equal shares go by the language's name. score is a share, not a probability: a text in which no second language gains enough likelihood scores 1 however short it is. A text that is null, empty or without a letter is und, score 0, as is all where the model has no languages. Long texts are taken whole; repeated rows give repeated results, an empty table none. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
