@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from .common import in_arrow, table
+from .common import columns, in_arrow, table
 
 WAV, UNKNOWN = "audio/wav", "application/octet-stream"
 PAYLOAD = 576
@@ -92,22 +94,65 @@ def _bmp(b: bytes, o: int) -> tuple[str, int] | None:
     return ("image/bmp", o + size) if good else None
 
 
-def _pdf(b: bytes, o: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", o)
-    if not b[o + 5 : o + 6].isdigit() or b[o + 6 : o + 7] != b"." or end < 0 or b.find(b" obj", o, end) < 0 or b.find(b"startxref", o, end) < 0:
+class Marks(dict):
+    """Where in some bytes the marks lie that formats end or go on with, found in one pass; what follows from them is worked out once for all starts."""
+
+    def __init__(self, b: bytes, found: dict[bytes, list[int]]):
+        super().__init__(found)
+        self.b = b
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of mark from at on, or the end of the bytes."""
+        own = self[mark]
+        k = bisect_left(own, at)
+        return own[k] if k < len(own) else len(self.b)
+
+    @cached_property
+    def pdf_ends(self) -> list[int]:
+        """Of each %%EOF the last one that no other document's start lies before."""
+        ends = list(self[b"%%EOF"])
+        for k in range(len(ends) - 2, -1, -1):
+            if self.after(b"%PDF-", ends[k]) > ends[k + 1]:
+                ends[k] = ends[k + 1]
+        return ends
+
+    @cached_property
+    def zips(self) -> dict[int, int]:
+        """Start -> end of the archives that an end record names."""
+        out = {}
+        for at in self[b"PK\x05\x06"]:
+            if at + 22 <= len(self.b):
+                size, start, note = struct.unpack_from("<IIH", self.b, at + 12)
+                o = at - start - size
+                if o >= 0 and self.b[o + start : o + start + 4] == b"PK\x01\x02" and at + 22 + note <= len(self.b):
+                    out[o] = at + 22 + note
+        return out
+
+    @cached_property
+    def oggs(self) -> dict[int, int]:
+        """Start -> end of runs of whole pages up to one that is marked as last."""
+        out: dict[int, int] = {}
+        for at in reversed(self[b"OggS"]):
+            if at + 27 <= len(self.b):
+                n = self.b[at + 26]
+                end = at + 27 + n + sum(self.b[at + 27 : at + 27 + n])
+                if end <= len(self.b) and (end if self.b[at + 5] & 4 else end in out):
+                    out[at] = end if self.b[at + 5] & 4 else out[end]
+        return out
+
+
+def _pdf(b: bytes, o: int, marks: Marks) -> tuple[str, int] | None:
+    if not b[o + 5 : o + 6].isdigit() or b[o + 6 : o + 7] != b".":
         return None
-    while 0 <= (more := b.find(b"%%EOF", end + 5)) and b.find(b"%PDF-", end, more) < 0:
-        end = more
-    return "application/pdf", end + 5
+    ends = marks[b"%%EOF"]
+    k = bisect_left(ends, o)
+    if k == len(ends) or marks.after(b" obj", o) > ends[k] or marks.after(b"startxref", o) > ends[k]:
+        return None
+    return "application/pdf", marks.pdf_ends[k] + 5
 
 
-def _zip(b: bytes, o: int) -> tuple[str, int] | None:
-    at = o
-    while 0 <= (at := b.find(b"PK\x05\x06", at + 1)) <= len(b) - 22:
-        size, start, note = struct.unpack_from("<IIH", b, at + 12)
-        if o + start + size == at and b[o + start : o + start + 4] == b"PK\x01\x02" and at + 22 + note <= len(b):
-            return "application/zip", at + 22 + note
-    return None
+def _zip(b: bytes, o: int, marks: Marks) -> tuple[str, int] | None:
+    return ("application/zip", marks.zips[o]) if o in marks.zips else None
 
 
 def _gzip(b: bytes, o: int) -> tuple[str, int] | None:
@@ -123,34 +168,32 @@ def _gzip(b: bytes, o: int) -> tuple[str, int] | None:
     return ("application/gzip", at - len(d.unused_data)) if d.eof else None
 
 
-def _ogg(b: bytes, o: int) -> tuple[str, int] | None:
-    at = o
-    while b[at : at + 4] == b"OggS" and at + 27 <= len(b):
-        n = b[at + 26]
-        last, at = b[at + 5] & 4, at + 27 + n + sum(b[at + 27 : at + 27 + n])
-        if at > len(b):
-            return None
-        if last:
-            return "audio/ogg", at
-    return None
+def _ogg(b: bytes, o: int, marks: Marks) -> tuple[str, int] | None:
+    return ("audio/ogg", marks.oggs[o]) if o in marks.oggs else None
 
 
 def _mp4(b: bytes, o: int) -> tuple[str, int] | None:
     at, seen = o, set()
     while at + 8 <= len(b) and b[at + 4 : at + 8].isalnum():
-        n = _u32(b, at, ">")
-        if n < 8 or at + n > len(b):
+        n, head = _u32(b, at, ">"), 8
+        if n == 1:  # the size follows, in 64 bits
+            n, head = struct.unpack_from(">Q", b, at + 8)[0], 16
+        elif n == 0:  # up to the end
+            n = len(b) - at
+        if n < head or at + n > len(b) or (at > o and b[at + 4 : at + 8] == b"ftyp"):
             break
         seen.add(b[at + 4 : at + 8])
         at += n
     return ("video/mp4", at) if b"moov" in seen else None
 
 
-#: Magic bytes, how far they lie from the start, and the validator: (bytes, start) -> (type, end), or None.
+#: Magic bytes, how far they lie from the start, and the validator: (bytes, start), and the marks if it asks for them -> (type, end), or None.
 FORMATS: list[tuple[bytes, int, Callable]] = [
     (b"RIFF", 0, _riff), (b"\x89PNG\r\n\x1a\n", 0, _png), (b"GIF87a", 0, _gif), (b"GIF89a", 0, _gif), (b"\xff\xd8\xff", 0, _jpeg), (b"BM", 0, _bmp),
     (b"%PDF-", 0, _pdf), (b"PK\x03\x04", 0, _zip), (b"\x1f\x8b\x08", 0, _gzip), (b"OggS", 0, _ogg), (b"ftyp", 4, _mp4),
 ]
+ASK_MARKS = {_pdf, _zip, _ogg}
+MARKS = [b"%PDF-", b"%%EOF", b" obj", b"startxref", b"PK\x05\x06", b"OggS"]
 
 
 @cache
@@ -158,46 +201,55 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for k, (magic, _, _) in enumerate(FORMATS):
-        a.add_word(magic.decode("latin-1"), k)
+    words = [m for m, _, _ in FORMATS]
+    for w in dict.fromkeys(words + MARKS):
+        a.add_word(w.decode("latin-1"), (w, words.index(w) if w in words else -1, w in MARKS))
     a.make_automaton()
     return a
 
 
 def sniff(b: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, end) of all media confirmed in b, in order of start; those inside others too."""
-    found = []
-    for last, k in _automaton().iter(b.decode("latin-1")):
-        magic, before, check = FORMATS[k]
-        start = last + 1 - len(magic) - before
+    """(type, start, end) of all media confirmed in b, in order of start; those inside others too. Of several starts of one type that share an end, the first is the medium's."""
+    starts, marks = [], Marks(b, {m: [] for m in MARKS})
+    for last, (word, k, mark) in _automaton().iter(b.decode("latin-1")):
+        if mark:
+            marks[word].append(last + 1 - len(word))
+        if k >= 0:
+            starts.append((last + 1 - len(word) - FORMATS[k][1], k))
+    found: dict[tuple[str, int], int] = {}
+    for o, k in starts:
+        check = FORMATS[k][2]
         try:
-            got = check(b, start) if start >= 0 else None
+            got = (check(b, o, marks) if check in ASK_MARKS else check(b, o)) if o >= 0 else None
         except (IndexError, struct.error):
             got = None
         if got:
-            found.append((got[0], start, got[1]))
-    return sorted(found, key=lambda x: (x[1], -x[2]))
+            found[got] = min(o, found.get(got, o))
+    return sorted(((kind, o, end) for (kind, end), o in found.items()), key=lambda x: (x[1], -x[2], x[0]))
 
 
 def sniffed(df: DataFrame, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
-    """Adds true_type, corrected (it isn't the declared type) and embedded (array of type, start, content) to df. true_type is of media that starts the bytes, else application/octet-stream; null bytes give null and nothing embedded. Each embedded item is carved out whole. Other columns pass through; columns of the added names are replaced."""
-    names = [f.name for f in df.schema if f.name not in ("true_type", "corrected", "embedded")]
+    """Adds true_type, corrected (it isn't the declared type) and embedded (array of type, start, content) to df, one row for each row. true_type is of media that starts the bytes, else (and for empty bytes) application/octet-stream; null bytes give null, not corrected and nothing embedded; a null declared type is corrected. Each embedded item is carved out whole. Other columns pass through; columns of the added names are replaced; an empty table gives no rows."""
+    added = ("true_type", "corrected", "embedded")
+    kept = [f for f in df.schema if f.name.lower() not in added]
     item = pa.struct([("type", pa.string()), ("start", pa.int64()), ("content", pa.binary())])
+    own = df.select(*(c for f, c in zip(df.schema, columns(df), strict=True) if f in kept), F.col(media_col).alias("_1"), F.col(declared_col).alias("_2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             types, fixed, inner = [], [], []
-            for m, d in zip(b.column(b.schema.get_field_index(media_col)), b.column(b.schema.get_field_index(declared_col)), strict=True):
+            for m, d in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
                 raw = m.as_py()
                 got = sniff(raw) if raw is not None else []
-                own = got[0] if got and got[0][1] == 0 else None
-                types.append(None if raw is None else own[0] if own else UNKNOWN)
+                first = got[0] if got and got[0][1] == 0 else None
+                types.append(None if raw is None else first[0] if first else UNKNOWN)
                 fixed.append(types[-1] is not None and types[-1] != d.as_py())
-                inner.append([{"type": t, "start": i, "content": raw[i:j]} for t, i, j in got if (t, i, j) != own])
-            yield pa.RecordBatch.from_pydict({n: b.column(b.schema.get_field_index(n)) for n in names} | {"true_type": pa.array(types, pa.string()), "corrected": pa.array(fixed, pa.bool_()), "embedded": pa.array(inner, pa.list_(item))})
+                inner.append([{"type": t, "start": i, "content": raw[i:j]} for t, i, j in got if (t, i, j) != first])
+            cols = [pa.array(types, pa.string()), pa.array(fixed, pa.bool_()), pa.array(inner, pa.list_(item))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], [*b.schema.names[:-2], *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
-    return in_arrow(df, run, f"{schema}, true_type string, corrected boolean, embedded array<struct<type: string, start: bigint, content: binary>>")
+    inside = StructType().add("type", "string").add("start", "long").add("content", "binary")
+    return in_arrow(own, run, StructType([*kept, *StructType().add("true_type", "string").add("corrected", "boolean").add("embedded", ArrayType(inside))]))
 
 
 def wav(payload: bytes, rate: int = 8000) -> bytes:
@@ -216,7 +268,7 @@ def samples(b: bytes) -> bytes:
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, declared, media): each whole text (null: empty) as the samples of a WAV file, filled up with 255 to a positive multiple of 576; it is declared without a type."""
+    """(doc_id, n_bytes, declared, media): each whole text (null: empty) as the samples of a WAV file, filled up with 255 to a positive multiple of 576; it is declared without a type. One row for each row, repeats and null ids included; an empty table gives none. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +280,7 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What op3 returns of each stored file, read back; feature: true type, sample count, mean, deviation, level crossings, and what is embedded."""
+    """What op3 returns of each stored file, read back; feature: true type, sample count, mean, deviation, level crossings, and what is embedded. Equal media give equal values; one row for each row, none for an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "media", "true_type", "embedded"]
