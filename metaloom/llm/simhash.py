@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, in_arrow, table, written
+from .common import columns, connected_components, in_arrow, table, written
 
 STEP = 1 << 15
 
@@ -43,14 +42,14 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
-def covering_masks(radius: int, bits: int = 64) -> list[int]:
-    """Masks (signed) such that any two words that differ in at most radius bits agree under at least one of them.
+def covering_masks(radius: int, within: int = 0) -> list[int]:
+    """Masks (signed) such that any two words that agree in the bits of within and differ in at most radius bits agree under at least one of them; all hold the bits of within.
 
-    Bit i has the vector i mod 2^(radius+1); the mask of a vector v != 0 holds the bits whose vector has an odd inner product with v. The vectors of radius differing bits span at most radius of radius+1 dimensions, so some v is orthogonal to all of them.
+    The i-th of the other bits has the vector i mod 2^(radius+1); the mask of a vector v != 0 holds the bits whose vector has an odd inner product with v. The vectors of radius differing bits span at most radius of radius+1 dimensions, so some v is orthogonal to all of them.
     """
-    masks = []
+    open_, masks = [b for b in range(64) if not within >> b & 1], []
     for v in range(1, 1 << (radius + 1)):
-        m = sum(1 << i for i in range(bits) if ((i % (1 << (radius + 1))) & v).bit_count() % 2)
+        m = within & (1 << 64) - 1 | sum(1 << b for i, b in enumerate(open_) if ((i % (1 << (radius + 1))) & v).bit_count() % 2)
         masks.append(m - (1 << 64) if m >> 63 else m)
     return masks
 
@@ -69,14 +68,15 @@ def _span(fp: np.ndarray, ids: np.ndarray, radius: int) -> Iterator[tuple[np.nda
                 stack.extend(hits)
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    """Rows (m, key, fp, id) in order of (m, key) -> links (a, b); the members of a bucket of over dense rows come as (a, null, fp) instead."""
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (m, key, fp, id) in order of (m, key) -> links (a, b); the members of a bucket of over dense rows come as (a, null, fp, m) instead."""
 
-    def out(pairs: list, fp=None) -> pa.RecordBatch:
+    def out(pairs: list, fp=None, m=None) -> pa.RecordBatch:
         a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1)) if pairs else (np.empty(0, np.int64),) * 2
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), none, pa.array(fp)] if fp is not None else [pa.array(a), pa.array(b), none], list(names))
+        return pa.RecordBatch.from_arrays([pa.array(a), none, pa.array(fp), pa.array(m.astype(np.int64))] if fp is not None else [pa.array(a), pa.array(b), none, none], ["a", "b", "fp", "m"])
 
+    most = 1 << 62 if dense is None else dense
     held, over = None, None  # rows of the run that may go on; (m, key) of a run that is known to be dense
     for batch in batches:
         cols = [np.asarray(c) for c in batch.columns]
@@ -90,17 +90,17 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, nam
         for i, j in zip(cuts[:-1][np.diff(cuts) > 1], cuts[1:][np.diff(cuts) > 1], strict=True):
             if j == len(m):
                 break
-            if j - i > dense or over == (m[i], key[i]):
-                yield out([(ids[i:j], ids[i:j])], fp[i:j])
+            if j - i > most or over == (m[i], key[i]):
+                yield out([(ids[i:j], ids[i:j])], fp[i:j], m[i:j])
             else:
                 pairs.extend(_span(fp[i:j], ids[i:j], radius))
         i = cuts[-2]
         if cuts[-2] > 0:
             if cuts[1] == 1 and over == (m[0], key[0]):
-                yield out([(ids[:1], ids[:1])], fp[:1])
+                yield out([(ids[:1], ids[:1])], fp[:1], m[:1])
             over = None
-        if len(m) - i > dense or over == (m[i], key[i]):
-            yield out([(ids[i:], ids[i:])], fp[i:])
+        if len(m) - i > most or over == (m[i], key[i]):
+            yield out([(ids[i:], ids[i:])], fp[i:], m[i:])
             over = (m[i], key[i])
         else:
             held = [c[i:] for c in cols]
@@ -110,37 +110,37 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, dense: int, nam
         yield out(list(_span(held[2], held[3], radius)))
 
 
-def near_links(nodes: DataFrame, radius: int = 4, dense: int = 20_000) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int = 4, dense: int = 4096) -> DataFrame:
     """nodes(fp, rep), fp distinct -> links (a, b) between reps whose components are those of all pairs within radius bits.
 
-    Buckets of up to dense members are searched in place. Those of more are exact by another way: each member is sent to all words within radius / 2 bits of it; two members are within radius bits just if they meet at one, and all that meet at one are linked to the smallest there.
+    Each fingerprint goes to one bucket for each covering mask. Within a bucket of up to dense members a spanning forest is built in place. The members of a larger one agree in their mask's 32 bits, so they are dealt out again by covering masks of the other 32, of which each holds 16; a bucket of that second kind leaves 16 bits open and so has at most 2^16 members, whatever the input.
     """
-    if radius % 2:
-        raise ValueError("radius must be even")
-    masks = F.array(*[F.lit(x) for x in covering_masks(radius)])
-    sent = nodes.where("rep is not null").select("fp", "rep", F.posexplode(masks).alias("m", "mask")).select("m", F.expr("fp & mask").alias("key"), "fp", F.col("rep").alias("id"))
-    found = sent.repartition("key", "m").sortWithinPartitions("m", "key").mapInArrow(lambda it: bucket_links(it, radius, dense, ("a", "b", "fp")), "a long, b long, fp long")
+    first = covering_masks(radius)
+    second = np.array([covering_masks(radius, m) for m in first], np.int64)
+    masks = F.array(*[F.lit(x) for x in first])
+    sent = nodes.where("rep is not null").select("fp", "rep", F.posexplode(masks).alias("m", "mask")).select(F.col("m").cast("long"), F.expr("fp & mask").alias("key"), "fp", F.col("rep").alias("id"))
+    kind = "a long, b long, fp long, m long"
+    found = sent.repartition("key", "m").sortWithinPartitions("m", "key").mapInArrow(lambda it: bucket_links(it, radius, dense), kind)
     found = written(found, "links")
-    links, crowd = found.where("fp is null").select("a", "b"), found.where("fp is not null").select("a", "fp").distinct()
+    links, crowd = found.where("m is null").select("a", "b"), found.where("m is not null").select("a", "fp", "m")
     if crowd.isEmpty():
         return links
-    flips = np.array([sum(1 << i for i in c) for k in range(radius // 2 + 1) for c in combinations(range(64), k)], np.uint64).view(np.int64)
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = second.shape[1]
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                a, fp = (np.asarray(b.column(k))[i : i + 200] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, len(flips))), pa.array((fp[:, None] ^ flips[None, :]).ravel())], ["a", "p"])
+            a, fp, m = (np.asarray(c) for c in b.columns)
+            cols = (m[:, None] * k + np.arange(k)).ravel(), (fp[:, None] & second[m]).ravel(), np.repeat(fp, k), np.repeat(a, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["m", "key", "fp", "id"])
 
-    met = crowd.mapInArrow(probes, "a long, p long")
-    least = met.groupBy("p").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return links.unionByName(met.join(least, "p").where("a <> b").select("a", "b").distinct())
+    dealt = crowd.mapInArrow(again, "m long, key long, fp long, id long").repartition("key", "m").sortWithinPartitions("m", "key")
+    return links.unionByName(dealt.mapInArrow(lambda it: bucket_links(it, radius, None), kind).select("a", "b"))
 
 
-def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, dense: int = 20_000) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = 4, width: int = 4, dense: int = 4096) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links of at most radius differing bits, chains included.
 
-    Equal fingerprints collapse before anything is compared. Null, empty and blank texts have fingerprint 0 and are linked like any other. A row with a null doc_id keeps its fingerprint and has no id to link by; it takes the component of the rows of its fingerprint that have one, else null. Rows that share a doc_id are one document. Other columns are not read.
+    Equal fingerprints collapse before anything is compared. Null, empty and blank texts have fingerprint 0 and are linked like any other. A row with a null doc_id keeps its fingerprint and has no id to link by; it takes the component of the rows of its fingerprint that have one, else null. Rows that share a doc_id are one document, repeated rows one member. An empty table gives no rows; long texts are hashed whole. Other columns are not read.
     """
     fps = written(fingerprints(docs, width), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
@@ -158,9 +158,9 @@ def _repeats(fps: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents whose group has a smaller doc_id; rows without a doc_id stay."""
+    """docs without the documents whose group has a smaller doc_id; rows without a doc_id stay, and so do all rows of a doc_id that stays. All columns, of any names, pass through."""
     gone = near_groups(docs.select("doc_id", "text"), **how).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
