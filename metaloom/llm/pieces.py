@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import in_arrow, table
+from .common import columns, in_arrow, table
 
 MODEL = "piece_bpe_32k.model"
 #: Merges don't reach over units (a newline, or a word with the spaces before it): a piece has its spaces in front, and none holds a newline. Units of up to as many characters are cut together, longer ones one by one.
@@ -260,41 +261,39 @@ def model(path: str) -> Model:
 
 
 def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 1, path: str | None = None, copy: str | None = None) -> DataFrame:
-    """Adds ids (array of int) to docs(doc_id, text, ...). Null text gives null, empty text no ids. The draws are keyed by seed, doc_id, the number in the column named copy (if one is given) and a unit's offset in its text, so that each occurrence of a unit (a word with its spaces) is segmented by draws of its own. With dropout 0 the ids are the model's own. Other columns pass through; an ids column of docs is replaced."""
+    """Adds ids (array of int) to docs(doc_id, text, ...). Null text gives null, empty text no ids; long texts are cut whole. The draws are keyed by seed, doc_id, the number in the column named copy (if one is given) and a unit's offset in its text, so that each occurrence of a unit (a word with its spaces) is segmented by draws of its own; repeated rows are cut alike. With dropout 0 the ids are the model's own. Candidates that tie go leftmost first. Other columns pass through; an ids column of docs is replaced. An empty table gives no rows."""
     path = path or model_path()
-    names = [f.name for f in docs.schema if f.name != "ids"]
+    kept = [(f, c) for f, c in zip(docs.schema, columns(docs), strict=True) if f.name.lower() != "ids"]
+    own = docs.select(*(c for _, c in kept), F.col("doc_id").alias("_1"), (F.col(copy) if copy else F.lit(0)).alias("_2"), F.col("text").cast("string").alias("_3"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            column = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()  # noqa: E731, B023
-            keys = zip(column("doc_id"), column(copy) if copy else [0] * b.num_rows, strict=True)
-            texts = column("text")
-            found = m.encode_all([t or "" for t in texts], dropout, seed, [f"{d}/{c}" if c else d for d, c in keys])
+            docs, copies, texts = (c.to_pylist() for c in b.columns[-3:])
+            found = m.encode_all([t or "" for t in texts], dropout, seed, [f"{d}/{c}" if c else d for d, c in zip(docs, copies, strict=True)])
             ids = [None if t is None else x.astype(np.int32) for t, x in zip(texts, found, strict=True)]
-            yield pa.RecordBatch.from_pydict({n: b.column(b.schema.get_field_index(n)) for n in names} | {"ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-3], "ids"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "ids")
-    return in_arrow(docs, run, f"{schema}, ids array<int>")
+    return in_arrow(own, run, StructType([*(f for f, _ in kept), StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds decoded to rows with ids: the text that they came from. Null ids give null, no ids the empty text. Other columns pass through."""
+    """Adds decoded to rows with ids: the text that they came from. Null ids give null, no ids the empty text. Other columns pass through; a decoded column of rows is replaced. An empty table gives no rows."""
     path = path or model_path()
+    kept = [(f, c) for f, c in zip(rows.schema, columns(rows), strict=True) if f.name.lower() != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
-            k = b.schema.get_field_index("ids")
-            texts = [m.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in b.column(k)]
-            yield pa.RecordBatch.from_pydict({n: b.column(i) for i, n in enumerate(b.schema.names) if n != "decoded"} | {"decoded": pa.array(texts, pa.string())})
+            texts = [m.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "decoded")
-    return in_arrow(rows, run, f"{schema}, decoded string")
+    own = rows.select(*(c for _, c in kept), F.col("ids").alias("_1"))
+    return in_arrow(own, run, StructType([*(f for f, _ in kept), StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, dropout: float = 0.1, seed: int = 1, path: str | None = None) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, decoded_sha256, lossless) of docs(doc_id, text): each whole text is encoded and decoded again; a null text counts as empty. ids_crc32 is over little-endian unsigned 32-bit ids."""
+    """(doc_id, n_ids, ids_crc32, decoded_sha256, lossless) of docs(doc_id, text): each whole text is encoded and decoded again; a null text counts as empty, repeated rows give repeated results, an empty table none. Other columns are not read. ids_crc32 is over little-endian unsigned 32-bit ids."""
     import hashlib
 
     path = path or model_path()
