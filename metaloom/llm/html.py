@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from .common import in_arrow, table
 
 # Element and attribute names with a meaning here.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "head"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "select", "head"}
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 FRAMES = set("article aside blockquote body center details dialog div dl fieldset figure footer form header main menu nav ol search section table ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ALWAYS_OUT = {"nav", "aside", "form", "footer", "menu", "dialog", "search", "button", "fieldset"}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 WORDS_OUT = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager skip toolbar topbar".split())
+#: Of these, words that also name parts of articles ("related work", "social history"): their elements stay where they hold prose.
+SOFT = set("related social share sharing recommended notice banner widget overlay skip".split())
 COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus"}
 CONTENT_WORDS = {"article", "post", "entry", "content", "story"}
 #: A class or id that begins or ends so says what an element has, not what it is.
@@ -39,7 +41,7 @@ TOP: tuple[bool, tuple[int, ...], int, tuple[int, ...]] = (False, (), -1, ())
 
 
 def _out(tag: str, attributes: str, in_article: bool) -> str:
-    """Whether an element and all below it is none of the article: "always", or by its "words" or as "comments" unless it holds the page's text, or "" if it may be."""
+    """Whether an element and all below it is none of the article: "always", or by its "words" or as "comments" unless it holds the page's text, or as "soft" unless it holds prose, or "" if it may be."""
     if tag in ALWAYS_OUT:
         return "always"
     words: set[str] = set()
@@ -66,7 +68,9 @@ def _out(tag: str, attributes: str, in_article: bool) -> str:
         return ""
     if words & COMMENT_WORDS:
         return "comments"
-    return "words" if tag != "article" and not content and words & WORDS_OUT else ""
+    if tag == "article" or content or not words & WORDS_OUT:
+        return ""
+    return "soft" if words & WORDS_OUT <= SOFT else "words"
 
 
 class Line(NamedTuple):
@@ -78,10 +82,11 @@ class Line(NamedTuple):
     holders: tuple[int, ...]  # elements around it that hold lines together
 
 
-def lines(html: str) -> tuple[list[Line], set[int]]:
-    """A page's blocks in order, and which of the elements named in them are for comments."""
+def lines(html: str) -> tuple[list[Line], set[int], set[int]]:
+    """A page's blocks in order, and which of the elements named in them are for comments, and which soft."""
     found: list[Line] = []
     comments: set[int] = set()
+    soft: set[int] = set()
     open_: list[tuple[str, bool, tuple[int, ...], int, tuple[int, ...]]] = []
     text: list[str] = []
     linked = link = number = 0
@@ -140,20 +145,22 @@ def lines(html: str) -> tuple[list[Line], set[int]]:
                 number += 1
                 if why == "comments":
                     comments.add(number)
+                elif why == "soft":
+                    soft.add(number)
                 now = out or why == "always"
-                words = (*by_words, number) if why in ("words", "comments") else by_words
+                words = (*by_words, number) if why in ("words", "comments", "soft") else by_words
                 if tag not in BLOCKS:
                     close()
                 open_.append((tag, now, words, number if tag in ("article", "main") and not now and marked < 0 else marked, (*holders, number) if tag in HOLDERS else holders))
                 state()
     close()
-    return found, comments
+    return found, comments, soft
 
 
-def _taken_back(found: list[Line], comments: set[int]) -> set[int]:
-    """Elements that are boilerplate by their words but hold most of the page's text (those for comments: all of it that could surge)."""
-    back: set[int] = set()
+def _taken_back(found: list[Line], comments: set[int], soft: set[int]) -> set[int]:
+    """Elements that are boilerplate by their words but hold most of the page's text (those for comments: all of it that could surge), and soft ones with a line of prose that could surge alone."""
     sizes = [0 if x.out or 2 * x.linked > len(x.text) else len(x.text) for x in found]
+    back = {e for x, n in zip(found, sizes, strict=True) if n > SURGE for e in x.by_words if e in soft}
     while True:
         inner: dict[int, int] = {}
         rest = 0
@@ -173,10 +180,10 @@ def _taken_back(found: list[Line], comments: set[int]) -> set[int]:
 
 def extract(html: str | None) -> str:
     """The main text of a whole page. Lines of boilerplate elements and lines that are mostly links weigh nothing, nor do lines outside article and main elements where these hold the heaviest region. A region is a run of lines up to the next windows without weight; those with a window over SURGE are kept whole, and so is every line with weight in an element that holds such a window's heaviest line. Without any surge the heaviest run of lines is kept (all of the marked lines, if they weigh)."""
-    found, comments = lines(html or "")
+    found, comments, soft = lines(html or "")
     if not found:
         return ""
-    back = _taken_back(found, comments)
+    back = _taken_back(found, comments, soft)
     out = np.array([x.out or any(e not in back for e in x.by_words) for x in found])
     size = np.array([len(x.text) for x in found])
     marked = np.array([x.marked for x in found])
@@ -236,7 +243,7 @@ def _runs(weight: np.ndarray) -> list[tuple[int, int, np.ndarray, int]]:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """Adds text to pages(page_id, url, html): the main text, empty if there's none; null html counts as empty. Only those three columns are read; repeated rows give repeated results."""
+    """Adds text to pages(page_id, url, html): the main text, empty if there's none; null html counts as empty. Only those three columns are read; repeated rows give repeated results, an empty table none. Pages are read whole, however long. Of equally heavy regions without a surge the first is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
