@@ -1,7 +1,12 @@
 """HTML extraction: what marks, surges and boilerplate words may not cut away."""
 
+import html as entities
+import re
+
+import numpy as np
 import pytest
 
+from metaloom.llm import html
 from metaloom.llm.html import extract
 
 LONG = " ".join(["real text of the article"] * 8)
@@ -22,8 +27,47 @@ MORE = " ".join(["another long paragraph"] * 8)
         (f"<div class='post share-enabled'><p>{LONG}</p><div class=share>Share this</div></div>", LONG),
         (f"<article class='has-comments'><p>{LONG}</p><div id=comments><p>{MORE}</p></div></article>", LONG),
         (f"<div class='layout-sidebar'><p>{LONG}</p><p>{MORE}</p></div><div class=ad>Buy</div><p>small</p>", f"{LONG}\n{MORE}\nsmall"),
+        (f"<article><p>{LONG}</p><div class='related-work'><h2>Related</h2><p>{MORE}</p></div><div class='social-history'><p>{LONG}</p></div><p><math><mi>x</mi></math> is</p><div class=related><a href=1>One</a></div></article>", f"{LONG}\nRelated\n{MORE}\n{LONG}\nx is"),
         (f"<div><p>{LONG}</p><p><a href=x>A cited source</a></p><p>{MORE}</p></div>", f"{LONG}\nA cited source\n{MORE}"),
     ],
 )
 def test_kept(page, want):
     assert extract(page) == want
+
+
+def slow_runs(weight):
+    """Line by line: a run begins at a line with weight and ends where a whole window has none."""
+    runs, i = [], 0
+    while i < len(weight):
+        if not weight[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(weight) and any(weight[j : j + html.WINDOW]):
+            j += 1
+        runs.append((i, j, [k for k in range(i, j) if sum(weight[k : k + html.WINDOW]) > html.SURGE], sum(weight[i:j])))
+        i = j
+    return runs
+
+
+def test_runs():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        w = (r.integers(0, 90, r.integers(1, 40)) * (r.random() < r.random(1))).astype(np.int64)
+        w[r.random(len(w)) < 0.4] = 0
+        assert [(i, j, at.tolist(), t) for i, j, at, t in html._runs(w)] == slow_runs(w.tolist())
+
+
+def test_pages(spark, monkeypatch):
+    """Every page by surge and dive, against the text between its article's tags."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    surges = []
+    runs = html._runs
+    monkeypatch.setattr(html, "_runs", lambda w: surges.append(got := runs(w)) or got)
+    for r in rows:
+        body = re.search("<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|h1|br|ul|li|div)[^>]*>", body)]
+        surges.clear()
+        assert extract(r.html) == "\n".join(x for x in blocks if x)
+        assert any(len(at) for _, _, at, _ in surges[-1]) or len(extract(r.html)) <= html.SURGE
+    assert len(rows) == 250
