@@ -246,8 +246,23 @@ def test_coder():
     broken[len(broken) * 2 // 3] ^= 64
     with pytest.raises(ValueError):
         tokenfile.unpack(bytes(broken))
-    low, rng = np.array([5 << 32], np.uint64), np.array([1 << 32], np.uint64)
-    assert tokenfile._narrow(low, rng).all() and rng[0] == (1 << 32) - 1
+    words = np.array([[7, (1 << 32) - 1, (1 << 32) - 1, 0]], np.uint32)
+    tokenfile._carry(words, np.array([0]), np.array([2]))
+    assert words.tolist() == [[8, 0, 0, 0]]
+
+
+def test_tokens_of_parts(monkeypatch):
+    """Parts from the table, those too long or of other alphabets, and a cache that is full, against the tokenizer on whole texts."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenfile, "CACHED", 300)
+    monkeypatch.setattr(tokenfile, "CHUNK", 2000)
+    t, r = tokenfile.Tokens(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(4)
+    marks = "abcABC '’.,!12\t\n\r \x0b\xa0\x85éÉßµªº×÷ÿ<|>sx日本́\x00"
+    for _ in range(40):
+        texts = ["".join(a[i] for i in r.integers(0, len(a), r.integers(0, 60))) for a in (marks, marks[:-8].replace("'", "")) for _ in range(30)] + ["", "a" * 16, "a" * 17 + "." * 20, "\n"]
+        for x, ids in zip(texts, t.encode(texts), strict=True):
+            assert ids.tolist() == [*t.tokenizer.encode(x, add_special_tokens=False).ids, 1]
 
 
 def test_topk(spark):
