@@ -2,55 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import comparable_edge_key, comparable_key, comparable_payload
 from ..plans.model import MAX_RESULTS, Graph
+from ..plans.shared import written
 from .traverse import impact_bounded, impact_many
 
 IMPACT_DEPTH = 2
 
 
-def _side(df: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
-    return df.join(pairs.select("pair", F.col(end).alias("snapshot_key")), "snapshot_key")
+def _sides(df: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of either snapshot of each pair, with pair and side."""
+    ends = pairs.select("pair", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("snapshot_key")), F.struct(F.lit("b").alias("side"), F.col("b").alias("snapshot_key")))).alias("e")).select("pair", "e.*")
+    return df.join(ends, "snapshot_key")
 
 
-def _nodes(g: Graph, pairs: DataFrame, end: str) -> DataFrame:
-    got = _side(g.nodes, pairs, end).withColumn("ckey", comparable_key(F.col("node_key")))
-    last = F.max_by(F.struct("node_key", "label", "display_name", "payload_json"), "node_key").alias("n")
-    return got.groupBy("pair", "ckey").agg(last).select("pair", "ckey", "n.*")
+def _last(side: str, *fields: str) -> Column:
+    """Of the rows of a side the last by the first field."""
+    return F.max(F.when(F.col("side") == side, F.struct(*fields))).alias(side)
 
 
-def _edges(g: Graph, pairs: DataFrame, end: str) -> DataFrame:
-    got = _side(g.edges, pairs, end).withColumn("ckey", comparable_edge_key(F.col("edge_type"), F.col("edge_from"), F.col("edge_to")))
-    last = F.max_by(F.struct("edge_key", "edge_from", "edge_to", "edge_type"), "edge_key").alias("e")
-    return got.groupBy("pair", "ckey").agg(last).select("pair", "ckey", "e.*")
+def node_changes(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(pair, change, ckey, node_key, label) of nodes that were added, removed or changed (label, name or alias-neutral payload); node_key is of b, of removed nodes of a.
 
-
-def _both_ways(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    added = b.join(a, ["pair", "ckey"], "left_anti").select("pair", F.lit("added").alias("change"), "ckey", *columns)
-    removed = a.join(b, ["pair", "ckey"], "left_anti").select("pair", F.lit("removed").alias("change"), "ckey", *columns)
-    return added.unionByName(removed)
+    One aggregation of both sides by their alias-neutral key; payloads go in as hashes of what is left without aliases. Only where those alone differ are payloads fetched and compared in canonical order.
+    """
+    plain = F.md5(F.regexp_replace("payload_json", '"connection_alias":"[^"\\\\]*",?', "").cast("binary"))
+    rows = _sides(g.nodes, pairs).select("pair", "side", comparable_key(F.col("node_key")).alias("ckey"), "snapshot_key", "node_key", "label", "display_name", plain.alias("payload"))
+    fields = ["node_key", "snapshot_key", "label", "display_name", "payload"]
+    both = rows.groupBy("pair", "ckey").agg(_last("a", *fields), _last("b", *fields))
+    differ = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~(F.col("a.label").eqNullSafe(F.col("b.label")) & F.col("a.display_name").eqNullSafe(F.col("b.display_name"))), "changed").when(~F.col("a.payload").eqNullSafe(F.col("b.payload")), "unsure")
+    found = written(both.withColumn("change", differ).where("change is not null"), "node_changes")
+    payload = lambda side: g.nodes.select(F.col("snapshot_key").alias(f"{side}_s"), F.col("node_key").alias(f"{side}_n"), comparable_payload(F.col("payload_json")).alias(f"{side}_payload"))
+    unsure = found.where("change = 'unsure'")
+    for side in ("a", "b"):
+        unsure = unsure.join(payload(side), (F.col(f"{side}.snapshot_key") == F.col(f"{side}_s")) & (F.col(f"{side}.node_key") == F.col(f"{side}_n")))
+    changed = unsure.where("not (a_payload <=> b_payload)").select("pair", F.lit("changed").alias("change"), "ckey", "a", "b")
+    end = F.coalesce("b", "a")
+    return found.where("change <> 'unsure'").select("pair", "change", "ckey", "a", "b").unionByName(changed).select("pair", "change", "ckey", end["node_key"].alias("node_key"), end["label"].alias("label"))
 
 
 def diff_nodes(g: Graph, pairs: DataFrame) -> DataFrame:
-    """(pair, change, ckey, node_key, label) of added and removed nodes."""
-    return _both_ways(_nodes(g, pairs, "a"), _nodes(g, pairs, "b"), ["node_key", "label"])
+    """Added and removed nodes."""
+    return node_changes(g, pairs).where("change <> 'changed'")
 
 
 def changed_nodes(g: Graph, pairs: DataFrame) -> DataFrame:
-    """(pair, change, ckey, node_key, label) of nodes whose label, name or alias-neutral payload differs; node_key is of b."""
-    a, b = _nodes(g, pairs, "a"), _nodes(g, pairs, "b")
-    both = b.join(a.select("pair", "ckey", F.col("label").alias("l"), F.col("display_name").alias("d"), F.col("payload_json").alias("p")), ["pair", "ckey"])
-    same = F.col("label").eqNullSafe(F.col("l")) & F.col("display_name").eqNullSafe(F.col("d")) & (F.col("payload_json").eqNullSafe(F.col("p")) | comparable_payload(F.col("payload_json")).eqNullSafe(comparable_payload(F.col("p"))))
-    return both.where(~same).select("pair", F.lit("changed").alias("change"), "ckey", "node_key", "label")
+    """D2."""
+    return node_changes(g, pairs).where("change = 'changed'")
 
 
 def diff_edges(g: Graph, pairs: DataFrame) -> DataFrame:
     """D3: (pair, change, ckey, edge_key, edge_type); payloads and ordinals don't count, edges that only differ in those are one, the last by key."""
-    return _both_ways(_edges(g, pairs, "a"), _edges(g, pairs, "b"), ["edge_key", "edge_type"])
+    rows = _sides(g.edges, pairs).select("pair", "side", comparable_edge_key(F.col("edge_type"), F.col("edge_from"), F.col("edge_to")).alias("ckey"), "edge_type", "edge_key")
+    both = rows.groupBy("pair", "ckey", "edge_type").agg(*[F.max(F.when(F.col("side") == x, F.col("edge_key"))).alias(x) for x in ("a", "b")])
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed")
+    return both.select("pair", change.alias("change"), "ckey", F.coalesce("b", "a").alias("edge_key"), "edge_type").where("change is not null")
 
 
 def impact_seeds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -74,8 +84,7 @@ def schema_diff(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> dict[st
 
     A walk with a smaller budget finds a prefix of what one with a larger budget finds. So one bounded walk of all seeds gives each hit's position; then, a pair's seeds in order, each leaves the next what its hits have not used. The fold runs over the sorted list of at most limit seeds of a pair, in one aggregate expression.
     """
-    nodes = diff_nodes(g, pairs).unionByName(changed_nodes(g, pairs))
-    edges = diff_edges(g, pairs)
+    nodes, edges = node_changes(g, pairs), written(diff_edges(g, pairs), "edge_changes")
     counts = nodes.select("pair", F.concat(F.lit("nodes_"), "change").alias("what")).unionByName(edges.select("pair", F.concat(F.lit("edges_"), "change").alias("what"))).groupBy("pair", "what").agg(F.count("*").alias("n"))
     seeds = impact_seeds(nodes, pairs)
     seeds = seeds.withColumn("k", F.row_number().over(W.partitionBy("pair").orderBy("snapshot_key", "seed"))).where(F.col("k") <= limit)
@@ -92,14 +101,25 @@ def schema_diff(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> dict[st
     folded = of_seed.groupBy("pair").agg(F.array_sort(F.collect_list(row)).alias("s")).select("pair", F.explode(F.aggregate("s", start, step).out).alias("f"))
     budgets = folded.select("pair", "f.k", "f.budget")
     impact = seeds.join(budgets, ["pair", "k"]).join(walk.hits, ["snapshot_key", "seed"]).where("position <= budget")
-    return {"nodes": _cut(nodes, limit), "edges": _cut(edges, limit), "counts": counts, "impact": impact, "seeds": seeds.join(budgets, ["pair", "k"])}
+    cut = F.coalesce(F.col("truncated") | (F.col("used") > F.col("budget")), F.lit(False))
+    seeds = seeds.join(budgets, ["pair", "k"]).join(walk.ends, ["snapshot_key", "seed"], "left").select("pair", "k", "snapshot_key", "seed", "budget", cut.alias("truncated"))
+    return {"nodes": _cut(nodes, limit), "edges": _cut(edges, limit), "counts": counts, "impact": impact, "seeds": seeds}
+
+
+COUNTS = ["nodes_added", "nodes_removed", "nodes_changed", "edges_added", "edges_removed"]
+
+
+def diff_counts(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
+    """D7's counts: a row for each pair: six counts (impacted_seeds: the nodes whose impact is asked for), the limit, and whether a list or the seeds are cut."""
+    nodes, edges = written(node_changes(g, pairs), "node_changes"), diff_edges(g, pairs)
+    what = lambda df, kind: df.groupBy("pair", F.concat(F.lit(kind), "change").alias("what")).agg(F.count("*").alias("n"))
+    found = what(nodes, "nodes_").unionByName(what(edges, "edges_")).groupBy("pair").agg(*[F.sum(F.when(F.col("what") == n, F.col("n")).otherwise(0)).alias(n) for n in COUNTS])
+    seeds = impact_seeds(nodes, pairs).groupBy("pair").agg(F.count("*").alias("impacted_seeds"))
+    out = pairs.select("pair").join(found, "pair", "left").join(seeds, "pair", "left").na.fill(0)
+    return out.withColumn("limit_applied", F.lit(limit)).withColumn("truncated", F.greatest(*COUNTS, "impacted_seeds") > limit)
 
 
 def diff_envelope(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
-    """A row for each pair: six counts, the limit, and whether any list was cut."""
-    nodes = diff_nodes(g, pairs).unionByName(changed_nodes(g, pairs)).select("pair", F.concat(F.lit("nodes_"), "change").alias("what"))
-    edges = diff_edges(g, pairs).select("pair", F.concat(F.lit("edges_"), "change").alias("what"))
-    names = ["nodes_added", "nodes_removed", "nodes_changed", "edges_added", "edges_removed"]
-    got = nodes.unionByName(edges).groupBy("pair").agg(*[F.count_if(F.col("what") == n).alias(n) for n in names])
-    out = pairs.select("pair").join(got, "pair", "left").na.fill(0)
-    return out.withColumn("limit_applied", F.lit(limit)).withColumn("truncated", F.greatest(*names) > limit)
+    """diff_counts, truncated also where the impact of a seed is cut."""
+    cut = schema_diff(g, pairs, limit)["seeds"].groupBy("pair").agg(F.bool_or("truncated").alias("impact_cut"))
+    return diff_counts(g, pairs, limit).join(cut, "pair", "left").withColumn("truncated", F.col("truncated") | F.coalesce("impact_cut", F.lit(False))).drop("impact_cut")

@@ -124,13 +124,14 @@ def relationship_edges(c: Canonical) -> DataFrame:
 
 
 def dedupe_edges(e: DataFrame) -> DataFrame:
-    """One row for each (snapshot_key, edge_key)."""
-    return e.dropDuplicates(["snapshot_key", "edge_key"])
+    """One row for each (snapshot_key, edge_key): of several the last, in order of payloads, as an upsert of sorted edges leaves it."""
+    return e.groupBy("snapshot_key", "edge_key").agg(F.max(F.struct("payload_json", "edge_from", "edge_to", "edge_type")).alias("e")).select(*[F.col(f"e.{x}").alias(x) if x not in ("snapshot_key", "edge_key") else F.col(x) for x in EDGE])
 
 
 def project(c: Canonical, captured_at_unix_ms: int = 0) -> Graph:
-    """The whole graph. Edges of the typed tables are unique by construction when keys are; P7 is applied over all."""
-    edges = dedupe_edges(reduce(DataFrame.unionByName, [ownership_edges(c), membership_edges(c), dependency_edges(c), relationship_edges(c)]))
+    """The whole graph. The payloads of edges of the typed tables follow from their keys, so that those are made single without them; P7 is applied to the others, whose keys are of another form."""
+    typed = reduce(DataFrame.unionByName, [ownership_edges(c), membership_edges(c), dependency_edges(c)]).drop("payload_json").distinct()
+    edges = typed.withColumn("payload_json", F.to_json(F.struct("edge_type"))).select(*EDGE).unionByName(dedupe_edges(relationship_edges(c)).select(*EDGE))
     snapshots = c.databases.select("snapshot_key", F.col("source_kind").alias("source"), F.lit(captured_at_unix_ms).cast("long").alias("captured_at_unix_ms")).join(c.capabilities.select("snapshot_key", F.to_json(F.struct(F.struct(*[x for x in c.capabilities.columns if x != "snapshot_key"]).alias("capabilities"))).alias("payload_json")), "snapshot_key", "left")
     return Graph(snapshots, project_nodes(c), edges)
 

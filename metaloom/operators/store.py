@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,21 +16,42 @@ PAGE, MOST = 100, 500
 # Sinks
 
 
+#: Folders of a generation that snapshots are spread over by their hash: few, however many snapshots there are.
+BUCKETS = 16
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("snapshot_key string, generation string, number long").parquet(f"{path}/manifest/*")
+
+
 def write_snapshot(g: Graph, path: str, generation: str, accepted: DataFrame | None = None) -> None:
-    """Whole snapshots replace those of the same key. Each table goes to a folder of its own for the generation, partitioned by snapshot; a manifest row for each snapshot, written last, is what readers go by, so that a failed write leaves the generation before in force. accepted: P6's verdicts; snapshots that it refuses aren't written."""
+    """Whole snapshots replace those of the same key. Each table goes to a folder of its own for the generation, in buckets of snapshots and sorted by snapshot, so that readers prune by statistics; a manifest row for each snapshot, written last with a number above all before, is what readers go by, so that a failed write leaves the generation before in force. accepted: P6's verdicts; snapshots that it refuses aren't written. Writers take turns."""
+    spark = g.nodes.sparkSession
     keep = None if accepted is None else accepted.where("accepted").select("snapshot_key")
-    for name in ("snapshots", "nodes", "edges"):
+    for name, order in (("snapshots", "snapshot_key"), ("nodes", "node_key"), ("edges", "edge_from")):
         df = getattr(g, name)
         df = df if keep is None else df.join(keep, "snapshot_key", "left_semi")
-        df.write.mode("overwrite").partitionBy("snapshot_key").parquet(f"{path}/{name}/generation={generation}")
+        df = df.withColumn("bucket", F.pmod(F.xxhash64("snapshot_key"), F.lit(BUCKETS)).cast("int"))
+        df.repartitionByRange("bucket", "snapshot_key", order).sortWithinPartitions("bucket", "snapshot_key", order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/generation={generation}")
+    try:
+        number = (_manifest(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        number = 1
     rows = g.snapshots if keep is None else g.snapshots.join(keep, "snapshot_key", "left_semi")
-    rows.select("snapshot_key", F.lit(generation).alias("generation")).write.mode("overwrite").parquet(f"{path}/manifest/at={generation}")
+    rows.select("snapshot_key", F.lit(generation).alias("generation"), F.lit(number).cast("long").alias("number")).write.mode("overwrite").parquet(f"{path}/manifest/at={number}")
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """The graph of the newest generation of each snapshot (by the generations' names)."""
-    manifest = spark.read.parquet(f"{path}/manifest").groupBy("snapshot_key").agg(F.max("generation").alias("generation"))
-    read = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").withColumn("generation", F.col("generation").cast("string")).join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation")
+    """The graph of the newest generation of each snapshot, by the numbers in the manifest, which also names the generations to read."""
+    manifest = _manifest(spark, path).groupBy("snapshot_key").agg(F.max_by("generation", "number").alias("generation"))
+    generations = [r[0] for r in manifest.select("generation").distinct().collect()]
+
+    def read(name: str) -> DataFrame:
+        rows = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/generation={x}" for x in generations])
+        return rows.withColumn("generation", F.col("generation").cast("string")).join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation", "bucket")
+
     return Graph(read("snapshots"), read("nodes"), read("edges"))
 
 

@@ -6,12 +6,13 @@ A queue visits a level's nodes in the order in which they were found. That order
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.keys import contains_ci, edge_priority, payload_array_len_ge
+from ..functions.keys import contains_ci, edge_priority, parse_key, payload_array_len_ge
 from ..plans.model import MAX_DEPTH, MAX_QUERY, MAX_RESULTS, Graph
 from ..plans.shared import written
 
@@ -250,16 +251,19 @@ def query_graph(g: Graph, snapshot_key: str, q: Query) -> tuple[DataFrame, dict]
 
 
 def resolve_starts(g: Graph, requests: DataFrame) -> DataFrame:
-    """requests(snapshot_key, object_key, table_name, column_name) -> the same with status and start: an object's key, or a table by name, or a column of it, or a column name that is unique; else missing, not_found or ambiguous."""
-    r = requests.withColumn("_id", F.xxhash64(*requests.columns))
+    """requests(snapshot_key, object_key, table_name, column_name) -> the same with status and start: an object's key, or a table by name, or a column of it, or a column name that is unique; else missing, not_found or ambiguous. A request that is made twice is answered twice, each alike."""
+    at = ["snapshot_key", "object_key", "table_name", "column_name"]
+    r = requests.select(*at).distinct()
     obj = g.nodes.select("snapshot_key", F.col("node_key").alias("object_key"), F.col("node_key").alias("hit"))
     tables = g.nodes.where("label = 'Table'").select("snapshot_key", F.col("display_name").alias("table_name"), F.col("node_key").alias("hit"))
-    cols = g.nodes.where("label = 'Column'").select("snapshot_key", F.col("display_name").alias("column_name"), F.split("node_key", ":")[5].alias("owner"), F.col("node_key").alias("hit"))
+    cols = g.nodes.where("label = 'Column'").select("snapshot_key", F.col("display_name").alias("column_name"), parse_key(F.col("node_key"))["object_name"].alias("table_name"), F.col("node_key").alias("hit"))
+    named = r.where("object_key is null")
     by_key = r.where("object_key is not null").join(obj, ["snapshot_key", "object_key"])
-    by_table = r.where("object_key is null and table_name is not null and column_name is null").join(tables, ["snapshot_key", "table_name"])
-    by_both = r.where("object_key is null and table_name is not null and column_name is not null").join(cols.withColumnRenamed("owner", "table_name"), ["snapshot_key", "table_name", "column_name"])
-    by_column = r.where("object_key is null and table_name is null and column_name is not null").join(cols.drop("owner"), ["snapshot_key", "column_name"])
-    found = by_key.select("_id", "hit").unionByName(by_table.select("_id", "hit")).unionByName(by_both.select("_id", "hit")).unionByName(by_column.select("_id", "hit"))
-    found = found.groupBy("_id").agg(F.count("*").alias("n"), F.min("hit").alias("hit"))
+    by_table = named.where("table_name is not null and column_name is null").join(tables, ["snapshot_key", "table_name"])
+    by_both = named.where("table_name is not null and column_name is not null").join(cols, ["snapshot_key", "table_name", "column_name"])
+    by_column = named.where("table_name is null and column_name is not null").join(cols.drop("table_name"), ["snapshot_key", "column_name"])
+    found = reduce(DataFrame.unionByName, [x.select(*at, "hit") for x in (by_key, by_table, by_both, by_column)]).groupBy(*at).agg(F.count("*").alias("n"), F.min("hit").alias("hit"))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in at], "n", "hit")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in at])
     status = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "ambiguous").when(F.coalesce("object_key", "table_name", "column_name").isNull(), "missing").otherwise("not_found")
-    return r.join(found, "_id", "left").select(*requests.columns, status.alias("status"), F.when(F.col("n") == 1, F.col("hit")).alias("start"))
+    return requests.join(found, same, "left").select(*requests.columns, status.alias("status"), F.when(F.col("n") == 1, F.col("hit")).alias("start"))

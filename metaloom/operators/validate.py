@@ -33,20 +33,42 @@ def _constraint_kind() -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in CONSTRAINTS.items() for x in kv]), F.col("kind"))
 
 
+def _codes(df: DataFrame, *checks: tuple[Column, str, str], key: Column | str = "key") -> DataFrame:
+    """All row-local checks (condition, code, message) of a table in one scan."""
+    key = F.col(key) if isinstance(key, str) else key
+    hold = [F.coalesce(c, F.lit(False)) for c, _, _ in checks]
+    found = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"))) for h, (_, code, message) in zip(hold, checks, strict=True)]))
+    rows = df.where(reduce(lambda a, b: a | b, hold)).select("snapshot_key", key.alias("object_key"), F.explode(found).alias("i"))
+    return rows.select("snapshot_key", "i.code", "object_key", "i.message")
+
+
+def _distinct_from(a: str, b: str) -> Column:
+    return ~F.col(a).eqNullSafe(F.col(b))
+
+
+def registry(c: Canonical) -> DataFrame:
+    """(snapshot_key, key, list, expected, name, p, owner): every object with its parsed key and its table's. validate() writes it once for all rules."""
+    if "registry" in c.t:
+        return c.t["registry"]
+    parts = []
+    for n, kind in [*EXPECTED.items(), ("constraints", ""), ("metadata_objects", None)]:
+        expected = _constraint_kind() if kind == "" else F.lit(kind).cast("string")
+        owner = F.col("table_key") if n in OWNED else F.lit(None).cast("string")
+        parts.append(c.t[n].select("snapshot_key", "key", F.lit(n).alias("list"), expected.alias("expected"), "name", owner.alias("owner_key")))
+    return reduce(DataFrame.unionByName, parts).select("snapshot_key", "key", "list", "expected", "name", parse_key(F.col("key")).alias("p"), parse_key(F.col("owner_key")).alias("owner"))
+
+
 def registered(c: Canonical, metadata: bool = False) -> DataFrame:
-    """(snapshot_key, key, p, expected): the typed objects, and the metadata objects where asked for."""
-    parts = [c.t[n].select("snapshot_key", "key", F.lit(k).alias("expected")) for n, k in EXPECTED.items()]
-    parts.append(c.constraints.select("snapshot_key", "key", _constraint_kind().alias("expected")))
-    if metadata:
-        parts.append(c.metadata_objects.select("snapshot_key", "key", F.lit(None).cast("string").alias("expected")))
-    return reduce(DataFrame.unionByName, parts).withColumn("p", parse_key(F.col("key")))
+    """The registry's typed objects, and the metadata objects where asked for."""
+    r = registry(c)
+    return r if metadata else r.where("list <> 'metadata_objects'")
 
 
 def header(c: Canonical) -> DataFrame:
     """V1."""
     db = c.databases
     caps = db.join(c.capabilities.select("snapshot_key", F.col("source_kind").alias("of_caps")), "snapshot_key")
-    return _out(db.where(_blank(F.col("source_kind"))), "snapshot_source_missing", "a snapshot needs a source kind").unionByName(_out(db.where(_blank(F.col("connection_alias"))), "connection_alias_missing", "a snapshot needs an alias")).unionByName(_out(caps.where("of_caps is distinct from source_kind"), "capability_source_mismatch", "capabilities are of another source"))
+    return _codes(db, (_blank(F.col("source_kind")), "snapshot_source_missing", "a snapshot needs a source kind"), (_blank(F.col("connection_alias")), "connection_alias_missing", "a snapshot needs an alias")).unionByName(_out(caps.where("of_caps is distinct from source_kind"), "capability_source_mismatch", "capabilities are of another source"))
 
 
 def registration(c: Canonical) -> DataFrame:
@@ -58,86 +80,86 @@ def registration(c: Canonical) -> DataFrame:
 
 def scope(c: Canonical) -> DataFrame:
     """V3: each key once."""
-    r = registered(c).dropDuplicates(["snapshot_key", "key"]).join(c.databases.select("snapshot_key", "connection_alias", parse_key(F.col("key")).alias("d")), "snapshot_key")
+    r = registered(c).join(c.databases.select("snapshot_key", "connection_alias", parse_key(F.col("key")).alias("d")), "snapshot_key")
     blank = reduce(lambda a, b: a | b, [_blank(F.col(f"p.{x}")) for x in ("source_kind", "database", "schema", "object_name")])
-    return _out(r.where("p.connection_alias is distinct from connection_alias"), "connection_alias_mismatch", "the key's alias isn't the snapshot's").unionByName(_out(r.where(blank), "object_identity_incomplete", "a required part of the key is empty")).unionByName(_out(r.where("p.source_kind is distinct from d.source_kind or p.database is distinct from d.database"), "object_source_scope_mismatch", "the key is of another source or database"))
+    return _codes(
+        r,
+        (_distinct_from("p.connection_alias", "connection_alias"), "connection_alias_mismatch", "the key's alias isn't the snapshot's"),
+        (blank, "object_identity_incomplete", "a required part of the key is empty"),
+        (_distinct_from("p.source_kind", "d.source_kind") | _distinct_from("p.database", "d.database"), "object_source_scope_mismatch", "the key is of another source or database"),
+    ).distinct()
 
 
 def identity(c: Canonical) -> DataFrame:
-    """V4."""
-    alias = c.databases.select("snapshot_key", "connection_alias")
-    plain = [c.t[n].select("snapshot_key", "key", F.col("name").alias("want"), F.lit(None).cast("string").alias("want_sub")) for n in ("databases", "schemas", "tables", "views")]
-    plain.append(c.routines.select("snapshot_key", "key", F.col("name").alias("want"), parse_key(F.col("key"))["sub_object"].alias("want_sub")))
-    owned = [c.t[n].select("snapshot_key", "key", parse_key(F.col("table_key"))["object_name"].alias("want"), F.col("name").alias("want_sub")) for n in OWNED]
-    rows = reduce(DataFrame.unionByName, plain + owned).withColumn("p", parse_key(F.col("key"))).join(alias, "snapshot_key")
-    out = [
-        _out(rows.where("p.connection_alias is distinct from connection_alias"), "connection_alias_mismatch", "the key's alias isn't the snapshot's"),
-        _out(rows.where("p.object_name is distinct from want or p.sub_object is distinct from want_sub"), "object_identity_mismatch", "the key doesn't name the object"),
-        _out(_parsed(c.databases, "key").where("key_p.database is distinct from name"), "database_identity_mismatch", "the key's database isn't the name"),
-        _out(_parsed(c.schemas, "key").where("key_p.schema is distinct from name"), "schema_identity_mismatch", "the key's schema isn't the name"),
-        _out(_parsed(c.tables, "key").where("kind = 'temporary' and coalesce(key_p.schema, '') = ''"), "invalid_table_scope", "a temporary table needs a schema"),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    """V4: a routine may have any sub-object, other objects without an owner none; owned ones are named with their owner's name and their own."""
+    r = registered(c).join(c.databases.select("snapshot_key", "connection_alias"), "snapshot_key")
+    owned = F.col("list").isin(*OWNED)
+    want, sub = F.when(owned, F.col("owner.object_name")).otherwise(F.col("name")), F.when(owned, F.col("name")).when(F.col("list") == "routines", F.col("p.sub_object"))
+    is_list = lambda n: F.col("list") == n
+    temporary = c.tables.where("kind = 'temporary'").select("snapshot_key", "key", parse_key(F.col("key")).alias("p"))
+    return _codes(
+        r,
+        (_distinct_from("p.connection_alias", "connection_alias"), "connection_alias_mismatch", "the key's alias isn't the snapshot's"),
+        (~F.col("p.object_name").eqNullSafe(want) | ~F.col("p.sub_object").eqNullSafe(sub), "object_identity_mismatch", "the key doesn't name the object"),
+        (is_list("databases") & _distinct_from("p.database", "name"), "database_identity_mismatch", "the key's database isn't the name"),
+        (is_list("schemas") & _distinct_from("p.schema", "name"), "schema_identity_mismatch", "the key's schema isn't the name"),
+    ).unionByName(_out(temporary.where("coalesce(p.schema, '') = ''"), "invalid_table_scope", "a temporary table needs a schema"))
 
 
-def _large(df: DataFrame, column: str, code: str) -> DataFrame:
-    return _out(df.where(F.octet_length(column) > MAX_TEXT), code, "the text is over the size limit")
+def _large(column: str, code: str) -> tuple[Column, str, str]:
+    return F.octet_length(column) > MAX_TEXT, code, "the text is over the size limit"
 
 
 def columns(c: Canonical) -> DataFrame:
     """V5."""
     again = c.columns.groupBy("snapshot_key", "table_key", "ordinal_position").agg(F.array_sort(F.collect_list("key")).alias("keys")).where("size(keys) > 1")
     again = again.select("snapshot_key", F.explode(F.slice("keys", 2, 1 << 30)).alias("key"))
-    return _out(c.columns.where("ordinal_position = 0"), "invalid_column_ordinal", "ordinals start at 1").unionByName(_out(again, "duplicate_column_ordinal", "two columns of a table share an ordinal")).unionByName(_large(c.columns, "default_value", "column_default_too_large"))
+    return _codes(c.columns, (F.col("ordinal_position") == 0, "invalid_column_ordinal", "ordinals start at 1"), _large("default_value", "column_default_too_large")).unionByName(_out(again, "duplicate_column_ordinal", "two columns of a table share an ordinal"))
 
 
-def _repeats(df: DataFrame, column: str, code: str) -> DataFrame:
-    return _out(df.where(F.size(F.array_distinct(column)) < F.size(column)), code, f"{column} names the same thing twice")
+def _repeats(column: str, code: str) -> tuple[Column, str, str]:
+    return F.size(F.array_distinct(column)) < F.size(column), code, f"{column} names the same thing twice"
 
 
 def constraints(c: Canonical) -> DataFrame:
     """V6."""
-    k = c.constraints
     key_kind, n, m = F.col("kind").isin("primary_key", "unique"), F.size("columns"), F.size("referenced_columns")
-    out = [
-        _repeats(k, "columns", "duplicate_constraint_column"),
-        _repeats(k, "referenced_columns", "duplicate_constraint_reference_column"),
-        _large(k, "expression", "constraint_expression_too_large"),
-        _out(k.where(key_kind & (n == 0)), "constraint_columns_missing", "a key has no columns"),
-        _out(k.where(key_kind & (F.col("referenced_table_key").isNotNull() | (m > 0))), "unexpected_constraint_reference", "only foreign keys refer to others"),
-        _out(k.where((F.col("kind") == "check") & _blank(F.col("expression"))), "check_expression_missing", "a check has no expression"),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    return _codes(
+        c.constraints,
+        _repeats("columns", "duplicate_constraint_column"),
+        _repeats("referenced_columns", "duplicate_constraint_reference_column"),
+        _large("expression", "constraint_expression_too_large"),
+        (key_kind & (n == 0), "constraint_columns_missing", "a key has no columns"),
+        (key_kind & (F.col("referenced_table_key").isNotNull() | (m > 0)), "unexpected_constraint_reference", "only foreign keys refer to others"),
+        ((F.col("kind") == "check") & _blank(F.col("expression")), "check_expression_missing", "a check has no expression"),
+    )
 
 
 def foreign_keys(c: Canonical) -> DataFrame:
     """V7."""
-    k = c.constraints.where("kind = 'foreign_key'")
-    return _out(k.where(F.size("columns") == 0), "foreign_key_columns_missing", "a foreign key has no columns").unionByName(_out(k.where("referenced_table_key is null"), "foreign_key_target_missing", "a foreign key has no target")).unionByName(_out(k.where(F.size("columns") != F.size("referenced_columns")), "foreign_key_cardinality_mismatch", "both sides must have as many columns"))
+    return _codes(
+        c.constraints.where("kind = 'foreign_key'"),
+        (F.size("columns") == 0, "foreign_key_columns_missing", "a foreign key has no columns"),
+        (F.col("referenced_table_key").isNull(), "foreign_key_target_missing", "a foreign key has no target"),
+        (F.size("columns") != F.size("referenced_columns"), "foreign_key_cardinality_mismatch", "both sides must have as many columns"),
+    )
 
 
 def indexes(c: Canonical) -> DataFrame:
     """V8."""
-    missing = c.indexes.where((F.size("columns") == 0) & _blank(F.col("expression")))
-    return _repeats(c.indexes, "columns", "duplicate_index_column").unionByName(_out(missing, "index_definition_missing", "an index has neither columns nor an expression")).unionByName(_large(c.indexes, "predicate", "index_predicate_too_large")).unionByName(_large(c.indexes, "expression", "index_expression_too_large"))
+    missing = (F.size("columns") == 0) & _blank(F.col("expression"))
+    return _codes(c.indexes, _repeats("columns", "duplicate_index_column"), (missing, "index_definition_missing", "an index has neither columns nor an expression"), _large("predicate", "index_predicate_too_large"), _large("expression", "index_expression_too_large"))
 
 
 def programs(c: Canonical) -> DataFrame:
     """V9."""
-    out = [
-        _repeats(c.views, "depends_on", "duplicate_view_dependency"),
-        _large(c.views, "definition", "view_definition_too_large"),
-        _out(c.triggers.where(F.coalesce(F.size("events"), F.lit(0)) == 0), "trigger_events_missing", "a trigger needs an event"),
-        _repeats(c.triggers, "events", "duplicate_trigger_event"),
-        _large(c.triggers, "definition", "trigger_definition_too_large"),
-        _repeats(c.routines, "depends_on", "duplicate_routine_dependency"),
-        _large(c.routines, "definition", "routine_definition_too_large"),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    views = _codes(c.views, _repeats("depends_on", "duplicate_view_dependency"), _large("definition", "view_definition_too_large"))
+    triggers = _codes(c.triggers, (F.coalesce(F.size("events"), F.lit(0)) == 0, "trigger_events_missing", "a trigger needs an event"), _repeats("events", "duplicate_trigger_event"), _large("definition", "trigger_definition_too_large"))
+    return views.unionByName(triggers).unionByName(_codes(c.routines, _repeats("depends_on", "duplicate_routine_dependency"), _large("definition", "routine_definition_too_large")))
 
 
 def references(c: Canonical) -> DataFrame:
-    """Targets exist and are of the right kind, children share their parent's scope, columns are of the table they're named with. One left join of all references with the registry finds the first two."""
+    """Targets exist and are of the right kind, children share their parent's scope, columns are of the table they're named with. One left join of all references with the registry finds the first two; a column whose key goes on from its table's needs no parsing."""
     one = lambda df, target, kinds: df.select("snapshot_key", F.col("key").alias("owner"), F.col(target).alias("target"), F.lit(kinds).alias("kinds"))
     many = lambda df, target, kinds: df.select("snapshot_key", F.col("key").alias("owner"), F.explode(target).alias("target"), F.lit(kinds).alias("kinds"))
     fk = c.constraints.where("kind = 'foreign_key' and referenced_table_key is not null")
@@ -146,14 +168,22 @@ def references(c: Canonical) -> DataFrame:
     refs += [many(c.constraints, "columns", "column"), many(c.indexes, "columns", "column"), many(fk, "referenced_columns", "column"), many(c.views, "depends_on", ""), many(c.routines, "depends_on", "")]
     have = registered(c).select("snapshot_key", F.col("key").alias("target"), F.col("p.object_kind").alias("have")).distinct()
     met = reduce(DataFrame.unionByName, refs).join(have, ["snapshot_key", "target"], "left")
-    out = [_out(met.where("have is null"), "relationship_target_missing", "the snapshot lacks a target", "owner"), _out(met.where("have is not null and kinds <> '' and not array_contains(split(kinds, ' '), have)"), "relationship_target_kind_mismatch", "a target is of another kind", "owner")]
-    child = reduce(DataFrame.unionByName, [c.t[n].select("snapshot_key", "key", "table_key") for n in OWNED])
-    out.append(_out(_parsed(child, "key", "table_key").where("key_p.database is distinct from table_key_p.database or key_p.schema is distinct from table_key_p.schema"), "object_scope_mismatch", "child and parent are of different scopes"))
+    held = _codes(
+        met,
+        (F.col("have").isNull(), "relationship_target_missing", "the snapshot lacks a target"),
+        ((F.col("kinds") != "") & ~F.array_contains(F.split("kinds", " "), F.col("have")), "relationship_target_kind_mismatch", "a target is of another kind"),
+        key="owner",
+    )
+    child = registered(c).where(F.col("list").isin(*OWNED))
+    apart = _out(child.where("p.database is distinct from owner.database or p.schema is distinct from owner.schema"), "object_scope_mismatch", "child and parent are of different scopes")
     member = [c.t[n].select("snapshot_key", "key", F.explode("columns").alias("column"), "table_key") for n in ("constraints", "indexes")]
     member.append(fk.select("snapshot_key", "key", F.explode("referenced_columns").alias("column"), F.col("referenced_table_key").alias("table_key")))
-    apart = " or ".join(f"column_p.{x} is distinct from table_key_p.{x}" for x in ("database", "schema", "object_name"))
-    out.append(_out(_parsed(reduce(DataFrame.unionByName, member), "column", "table_key").where(apart), "column_owner_mismatch", "a column is of another table"))
-    return reduce(DataFrame.unionByName, out)
+    start = F.concat(F.replace(F.col("table_key"), F.lit(":table:"), F.lit(":column:")), F.lit(":"))
+    rest = F.substr(F.col("column"), F.length(start) + 1)
+    plain = F.startswith(F.col("column"), start) & (F.length(rest) > 0) & (F.instr(rest, ":") == 0)
+    odd = reduce(DataFrame.unionByName, member).where(~F.coalesce(plain, F.lit(False)))
+    other = " or ".join(f"column_p.{x} is distinct from table_key_p.{x}" for x in ("database", "schema", "object_name"))
+    return reduce(DataFrame.unionByName, [held, apart, _out(_parsed(odd, "column", "table_key").where(other), "column_owner_mismatch", "a column is of another table")])
 
 
 def _bad_extension(c: Column) -> Column:
@@ -231,12 +261,23 @@ def sizes(c: Canonical) -> DataFrame:
     items = lambda e: F.from_json(e.value.value, "array<string>")
     long_list = lambda e: (e.value.type == "string_list") & ((F.size(items(e)) > MAX_PROPERTY_ITEMS) | F.exists(items(e), lambda x: F.octet_length(x) > MAX_PROPERTY_TEXT))
     large = lambda e: F.coalesce(((e.value.type == "string") & (F.octet_length(e.value.value) > MAX_PROPERTY_TEXT)) | long_list(e), F.lit(False))
-    return _large(rows, "definition", "definition_too_large").unionByName(_out(rows.where(F.size("properties") > MAX_PROPERTIES), "too_many_properties", "there are too many properties")).unionByName(_out(rows.where(F.exists(F.map_keys("properties"), _bad_extension)), "property_name_invalid", "a property's name is empty, long or has controls")).unionByName(_out(rows.where(F.exists(entries, large)), "property_value_too_large", "a property is over the size limit"))
+    return _codes(
+        rows,
+        _large("definition", "definition_too_large"),
+        (F.size("properties") > MAX_PROPERTIES, "too_many_properties", "there are too many properties"),
+        (F.exists(F.map_keys("properties"), _bad_extension), "property_name_invalid", "a property's name is empty, long or has controls"),
+        (F.exists(entries, large), "property_value_too_large", "a property is over the size limit"),
+    )
 
 
 RULES = {"v1": header, "v2": registration, "v3": scope, "v4": identity, "v5": columns, "v6": constraints, "v7": foreign_keys, "v8": indexes, "v9": programs, "v10": references, "v11": metadata_objects, "v12": parents, "v13": annotations, "v14": relationships, "v15": sizes}
 
 
+#: Rules whose issues one job writes; each group reads the same tables.
+GROUPS = [["v1", "v5", "v6", "v7", "v8", "v9"], ["v2", "v3", "v4"], ["v10"], ["v11", "v12"], ["v13", "v14", "v15"]]
+
+
 def validate(c: Canonical) -> DataFrame:
-    """All issues of all snapshots. Each rule is a job of its own that writes its issues, so that no plan holds all of them."""
-    return reduce(DataFrame.unionByName, [written(rule(c), f"issues_{name}") for name, rule in RULES.items()])
+    """All issues of all snapshots. Keys are parsed once, into a written registry; the rules' issues are written by groups, so that no plan holds all of them."""
+    c = c.with_tables(registry=written(registry(c), "registry"))
+    return reduce(DataFrame.unionByName, [written(reduce(DataFrame.unionByName, [RULES[n](c) for n in group]), "issues") for group in GROUPS])

@@ -1,4 +1,4 @@
-"""The retail catalog fleet and its graph as written tables, made once for each session and input folder."""
+"""The retail catalog fleet and its graph as written tables, made once for each session and state of the input files."""
 
 from __future__ import annotations
 
@@ -18,12 +18,20 @@ def _once(key: tuple, make):
     return _made[key]
 
 
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files, as Spark's own file system layer tells them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Canonical:
     def make() -> Canonical:
         c = retail_catalog(spark, sf_dir, generation)
         return Canonical({n: written(df, n) if n in ("tables", "columns", "constraints", "indexes", "views", "triggers", "routines") else df for n, df in c.t.items()})
 
-    return _once((spark.sparkContext.applicationId, sf_dir, generation, "catalog"), make)
+    return _once((spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), generation, "catalog"), make)
 
 
 def graph(spark: SparkSession, sf_dir: str, generation: int = 1) -> Graph:
@@ -31,4 +39,4 @@ def graph(spark: SparkSession, sf_dir: str, generation: int = 1) -> Graph:
         g = project(catalog(spark, sf_dir, generation))
         return Graph(g.snapshots, written(g.nodes, "nodes"), written(g.edges, "edges"))
 
-    return _once((spark.sparkContext.applicationId, sf_dir, generation, "graph"), make)
+    return _once((spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), generation, "graph"), make)
