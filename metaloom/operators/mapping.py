@@ -35,6 +35,11 @@ def _key(kind: Column | str, schema: str, name: str | Column, sub: str | Column
     return object_key(F.col("_source"), F.col("_alias"), F.col("_database"), F.col(schema), kind, col(name), None if sub is None else col(sub))
 
 
+def prop(kind: str, v: Column) -> Column:
+    """A tagged property value."""
+    return F.struct(F.lit(kind).alias("type"), v.cast("string").alias("value"))
+
+
 def _ordered(place: str, *fields: Column) -> Column:
     return F.sort_array(F.collect_list(F.struct(F.col(place).cast("int").alias("_p"), *fields)))
 
@@ -135,7 +140,6 @@ def out_of_scope(x: Extract) -> DataFrame:
 def map_view_columns(x: Extract) -> DataFrame:
     """Output columns of views as metadata objects."""
     c = _scoped(x, "columns").join(x["views"].select("snapshot_key", "TABLE_SCHEMA", "TABLE_NAME"), ["snapshot_key", "TABLE_SCHEMA", "TABLE_NAME"], "left_semi")
-    prop = lambda kind, v: F.struct(F.lit(kind).alias("type"), v.cast("string").alias("value"))
     properties = F.create_map(F.lit("data_type"), prop("string", F.col("COLUMN_TYPE")), F.lit("ordinal_position"), prop("unsigned", F.col("ORDINAL_POSITION")))
     return c.select("snapshot_key", _key("view_column", "TABLE_SCHEMA", "TABLE_NAME", "COLUMN_NAME").alias("key"), _key("view", "TABLE_SCHEMA", "TABLE_NAME").alias("parent_key"), F.col("COLUMN_NAME").alias("name"), properties.alias("properties"))
 
@@ -160,19 +164,30 @@ def map_routines(x: Extract) -> DataFrame:
         r = r.join(deps, ["snapshot_key", "ROUTINE_SCHEMA", "SPECIFIC_NAME"], "left")
     else:
         r = r.withColumn("deps", none)
-    signature = F.when(F.col("SPECIFIC_NAME") != F.col("ROUTINE_NAME"), F.col("SPECIFIC_NAME"))
-    return r.select("snapshot_key", _key("routine", "ROUTINE_SCHEMA", "ROUTINE_NAME", signature).alias("key"), _key("schema", "ROUTINE_SCHEMA", "ROUTINE_SCHEMA").alias("schema_key"), F.col("ROUTINE_NAME").alias("name"), F.lower("ROUTINE_TYPE").alias("kind"), F.col("ROUTINE_DEFINITION").alias("definition"), F.coalesce("deps", none).alias("depends_on"))
+    return r.select("snapshot_key", _key("routine", "ROUTINE_SCHEMA", "ROUTINE_NAME", _signature()).alias("key"), _key("schema", "ROUTINE_SCHEMA", "ROUTINE_SCHEMA").alias("schema_key"), F.col("ROUTINE_NAME").alias("name"), F.lower("ROUTINE_TYPE").alias("kind"), F.col("ROUTINE_DEFINITION").alias("definition"), F.coalesce("deps", none).alias("depends_on"))
+
+
+def _signature() -> Column:
+    return F.when(F.col("SPECIFIC_NAME") != F.col("ROUTINE_NAME"), F.col("SPECIFIC_NAME"))
+
+
+def _routine_keys(x: Extract) -> DataFrame:
+    """(snapshot_key, ROUTINE_SCHEMA, SPECIFIC_NAME, ROUTINE_NAME, routine_key)."""
+    return _scoped(x, "routines").select("snapshot_key", "ROUTINE_SCHEMA", "SPECIFIC_NAME", "ROUTINE_NAME", _key("routine", "ROUTINE_SCHEMA", "ROUTINE_NAME", _signature()).alias("routine_key"))
 
 
 def map_parameters(x: Extract) -> tuple[DataFrame, DataFrame]:
-    """Parameters as metadata objects, and HAS_PARAMETER relationships by ordinal."""
-    p = _scoped(x, "parameters").where("ORDINAL_POSITION > 0").withColumn("name", F.coalesce("PARAMETER_NAME", F.concat(F.lit("$"), F.col("ORDINAL_POSITION").cast("string"))))
-    p = p.withColumn("key", _key("routine_parameter", "SPECIFIC_SCHEMA", "SPECIFIC_NAME", "name")).withColumn("parent_key", _key("routine", "SPECIFIC_SCHEMA", "SPECIFIC_NAME"))
-    return p.select("snapshot_key", "key", "parent_key", "name"), p.select("snapshot_key", F.lit("has_parameter").alias("kind"), F.col("parent_key").alias("from_key"), F.col("key").alias("to_key"), F.col("ORDINAL_POSITION").cast("int").alias("ordinal"))
+    """Parameters as metadata objects of their routine, overloads included, and HAS_PARAMETER relationships by ordinal."""
+    own = _routine_keys(x).withColumnRenamed("ROUTINE_SCHEMA", "SPECIFIC_SCHEMA")
+    p = _scoped(x, "parameters").where("ORDINAL_POSITION > 0").join(own, ["snapshot_key", "SPECIFIC_SCHEMA", "SPECIFIC_NAME"])
+    p = p.withColumn("name", F.coalesce("PARAMETER_NAME", F.concat(F.lit("argument_"), F.col("ORDINAL_POSITION").cast("string"))))
+    p = p.withColumn("key", _key("routine_parameter", "SPECIFIC_SCHEMA", "ROUTINE_NAME", F.concat_ws(":", "SPECIFIC_NAME", F.col("ORDINAL_POSITION").cast("string"), "name")))
+    properties = F.create_map(F.lit("ordinal_position"), prop("unsigned", F.col("ORDINAL_POSITION")))
+    return p.select("snapshot_key", "key", F.col("routine_key").alias("parent_key"), "name", properties.alias("properties")), p.select("snapshot_key", F.lit("has_parameter").alias("kind"), F.col("routine_key").alias("from_key"), F.col("key").alias("to_key"), F.col("ORDINAL_POSITION").cast("int").alias("ordinal"))
 
 
 def map_sequences(x: Extract) -> DataFrame:
-    """B14."""
+    """B14. This family's catalog names no user of a sequence, so that there are no USES_SEQUENCE relationships."""
     s = _scoped(x, "sequences")
     return s.select("snapshot_key", _key("sequence", "SEQUENCE_SCHEMA", "SEQUENCE_NAME").alias("key"), _key("schema", "SEQUENCE_SCHEMA", "SEQUENCE_SCHEMA").alias("parent_key"), F.col("SEQUENCE_NAME").alias("name"))
 
@@ -183,6 +198,12 @@ def map_events(x: Extract) -> DataFrame:
     return e.select("snapshot_key", _key("event", "EVENT_SCHEMA", "EVENT_NAME").alias("key"), _key("schema", "EVENT_SCHEMA", "EVENT_SCHEMA").alias("parent_key"), F.col("EVENT_NAME").alias("name"), F.col("EVENT_DEFINITION").alias("definition"))
 
 
+def map_invokes(x: Extract) -> DataFrame:
+    """INVOKES from views to the routines that VIEW_ROUTINE_USAGE names. V14 refuses such ends; they are mapped all the same, so that the snapshot fails for it."""
+    use = _scoped(x, "view_routine_usage").withColumnRenamed("SPECIFIC_SCHEMA", "ROUTINE_SCHEMA").join(_routine_keys(x), ["snapshot_key", "ROUTINE_SCHEMA", "SPECIFIC_NAME"])
+    return use.select("snapshot_key", F.lit("invokes").alias("kind"), _key("view", "TABLE_SCHEMA", "TABLE_NAME").alias("from_key"), F.col("routine_key").alias("to_key"))
+
+
 def merge_properties(a: Column, b: Column) -> tuple[Column, Column]:
     """Both maps together, and whether they disagree on a key."""
     conflict = F.exists(F.map_entries(F.map_zip_with(a, b, lambda _, x, y: x.isNotNull() & y.isNotNull() & (x != y))), lambda e: e.value)
@@ -215,9 +236,13 @@ def unstable(first: Extract, second: Extract) -> DataFrame:
 
 
 def open_dependencies(x: Extract, c: Canonical, vendor: str) -> DataFrame:
-    """Bodies whose dependencies no catalog vouches for. The MySQL family has none for routines, triggers and events."""
+    """Bodies whose dependencies no catalog vouches for. The MySQL family has none for routines, triggers and events; PostgreSQL none for bodies in languages that it doesn't parse."""
+    if vendor in ("postgres", "yugabytedb"):
+        from . import postgres
+
+        return postgres.open_dependencies(x)
     if vendor not in ("mysql", "mariadb"):
-        return c.routines.where("false").select("snapshot_key", F.lit("").alias("code"), F.col("key").alias("object_key"), F.lit("").alias("message"))
+        raise ValueError(f"no rule for {vendor}")
     rows = c.routines.select("snapshot_key", "key").unionByName(c.triggers.select("snapshot_key", "key"))
     if "events" in x:
         rows = rows.unionByName(map_events(x).select("snapshot_key", "key"))
@@ -257,12 +282,22 @@ def unsupported(x: Extract) -> DataFrame:
     return x["tables"].where(~F.col("TABLE_TYPE").isin(*known)).select("snapshot_key", F.lit("unsupported_object").alias("code"), F.concat_ws(".", "TABLE_SCHEMA", "TABLE_NAME").alias("object_key"), F.col("TABLE_TYPE").alias("message"))
 
 
-def map_catalog(x: Extract) -> Canonical:
-    """All of an information_schema extract."""
+def map_catalog(x: Extract, vendor: str = "mysql") -> Canonical:
+    """All of an extract: of information_schema, or of pg_catalog for postgres and yugabytedb."""
+    if vendor in ("postgres", "yugabytedb"):
+        from . import postgres
+
+        return postgres.map_catalog(x)
     spark = x["tables"].sparkSession
     db = x["databases"]
     databases = db.select("snapshot_key", object_key(F.col("source_kind"), F.col("connection_alias"), F.col("name"), F.col("name"), "database", F.col("name")).alias("key"), "name", "source_kind", "connection_alias")
-    return Canonical.of(spark, databases=databases, schemas=map_schemas(x), tables=map_tables(x), columns=map_columns(x), constraints=map_constraints(x), indexes=map_indexes(x), views=map_views(x), triggers=map_triggers(x), routines=map_routines(x))
+    parameters = map_parameters(x) if "parameters" in x else None
+    objects = [map_view_columns(x), *([parameters[0]] if parameters else []), *([map_sequences(x)] if "sequences" in x else []), *([map_events(x)] if "events" in x else [])]
+    links = [*([parameters[1]] if parameters else []), *([map_invokes(x)] if "view_routine_usage" in x else [])]
+    more = {"metadata_objects": reduce(lambda a, b: a.unionByName(b, True), objects)}
+    if links:
+        more["relationships"] = reduce(lambda a, b: a.unionByName(b, True), links)
+    return Canonical.of(spark, databases=databases, schemas=map_schemas(x), tables=map_tables(x), columns=map_columns(x), constraints=map_constraints(x), indexes=map_indexes(x), views=map_views(x), triggers=map_triggers(x), routines=map_routines(x), **more)
 
 
 def as_information_schema(c: Canonical) -> Extract:

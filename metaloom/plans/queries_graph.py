@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import certify as C
 from ..operators import mapping as M
+from ..operators import postgres as PG
 from ..operators import project as P
 from ..operators import validate as V
 from ..plans.model import OBJECT_CATEGORIES, RELATION_CATEGORIES, Canonical
@@ -117,6 +118,85 @@ def _odd_types(s, d):
 _mapped("b33_unsupported", lambda s, d: M.unsupported(_odd_types(s, d)).select("snapshot_key", "code", "object_key", "message"), "SELECT sk AS snapshot_key, 'unsupported_object' AS code, nn || '.c' || ck AS object_key, 'QUEUE' AS message FROM cust WHERE ck % 17 = 0")
 
 
+# The same fleet as PostgreSQL's catalog would hold it, and what only a server's catalog has, from the fleet's own rows.
+
+
+def _pg(s, d):
+    return PG.as_pg_catalog(catalog(s, d))
+
+
+def _programs(s, d):
+    """Parameters, one for each thing that a routine uses, an event for each trigger, a sequence for each routine, and the columns of views."""
+    x, c = _extract(s, d), catalog(s, d)
+    at = lambda f: F.split("key", ":")[f]
+    r = c.routines.select("snapshot_key", at(3).alias("SPECIFIC_SCHEMA"), F.col("name").alias("SPECIFIC_NAME"), F.posexplode("depends_on").alias("i", "dep"))
+    parameters = r.select("snapshot_key", "SPECIFIC_SCHEMA", "SPECIFIC_NAME", (F.col("i") + 1).alias("ORDINAL_POSITION"), F.when(F.col("i") > 0, F.concat(F.lit("a"), F.col("i").cast("string"))).alias("PARAMETER_NAME"))
+    events = c.triggers.select("snapshot_key", at(3).alias("EVENT_SCHEMA"), at(5).alias("EVENT_NAME"), F.lit("body").alias("EVENT_DEFINITION"))
+    sequences = c.routines.select("snapshot_key", at(3).alias("SEQUENCE_SCHEMA"), F.col("name").alias("SEQUENCE_NAME"))
+    outputs = c.views.select("snapshot_key", at(3).alias("TABLE_SCHEMA"), F.col("name").alias("TABLE_NAME"), F.posexplode("depends_on").alias("i", "dep"))
+    columns = outputs.select("snapshot_key", "TABLE_SCHEMA", "TABLE_NAME", F.concat(F.lit("v"), F.col("i").cast("string")).alias("COLUMN_NAME"), (F.col("i") + 1).alias("ORDINAL_POSITION"), F.lit("text").alias("COLUMN_TYPE"), F.lit("YES").alias("IS_NULLABLE"), F.lit(None).cast("string").alias("COLUMN_DEFAULT"), F.lit("").alias("EXTRA"))
+    calls = c.triggers.where("executes_routine_key is not null").select("snapshot_key", F.split("executes_routine_key", ":")[3].alias("SPECIFIC_SCHEMA"), F.split("executes_routine_key", ":")[5].alias("SPECIFIC_NAME"), at(3).alias("TABLE_SCHEMA"), at(5).alias("TABLE_NAME"))
+    return x | {"parameters": parameters, "events": events, "sequences": sequences, "view_routine_usage": calls, "columns": x["columns"].unionByName(columns)}
+
+
+_VIEW_COLUMN = "SELECT replace(key, ':view:', ':view_column:') || ':v' || (i - 1) AS key, key AS parent_key, 'v' || (i - 1) AS name FROM (SELECT key, row_number() OVER (PARTITION BY key ORDER BY dep) AS i FROM vdep)"
+_PARAMETER = "SELECT 'v2:' || replace(key, ':routine:', ':routine_parameter:') || ':' || r || '%3A' || i || '%3A' || n AS key, key AS parent_key, n AS name, i FROM (SELECT key, string_split(key, ':')[6] AS r, i, CASE WHEN i = 1 THEN 'argument_1' ELSE 'a' || (i - 1) END AS n FROM (SELECT key, row_number() OVER (PARTITION BY key ORDER BY dep) AS i FROM rdep))"
+_kept = lambda s, d, kind: M.map_catalog(_programs(s, d)).metadata_objects.where(F.col("key").contains(f":{kind}:")).select("key", "parent_key", "name")
+_mapped("b9_view_columns", lambda s, d: _kept(s, d, "view_column"), _VIEW_COLUMN)
+_mapped("b13_parameters", lambda s, d: _kept(s, d, "routine_parameter"), f"SELECT key, parent_key, name FROM ({_PARAMETER})")
+_mapped("b13_has_parameter", lambda s, d: M.map_catalog(_programs(s, d)).relationships.where("kind = 'has_parameter'").select("from_key", "to_key", "ordinal"), f"SELECT parent_key AS from_key, key AS to_key, i::INTEGER AS ordinal FROM ({_PARAMETER})")
+_mapped("b14_sequences", lambda s, d: _kept(s, d, "sequence"), "SELECT replace(key, ':routine:', ':sequence:') AS key, skey AS parent_key, 'p' || pk AS name FROM rt")
+_mapped("b20_events", lambda s, d: _kept(s, d, "event"), "SELECT replace(tkey, ':table:', ':event:') AS key, regexp_replace(tkey, '^(tpch:[^:]*:w:)([^:]*):.*', '\\1\\2:schema:\\2') AS parent_key, 'c' || ck AS name FROM tr")
+_mapped("b20_invokes", lambda s, d: M.map_catalog(_programs(s, d)).relationships.where("kind = 'invokes'").select("from_key", "to_key"), "SELECT replace(tkey, ':table:', ':view:') AS from_key, rkey AS to_key FROM tr WHERE rkey IS NOT NULL")
+
+
+def _as_pg(name: str, f, like: str):
+    """A query over the PostgreSQL form, whose rows are those of the information_schema form's query."""
+    Q[name], SQL[name] = f, SQL[like]
+
+
+_as_pg("b2_pg_tables", lambda s, d: PG.map_tables(_pg(s, d)), "b2_map_tables")
+_as_pg("b3_pg_columns", lambda s, d: PG.map_columns(_pg(s, d)).select("key", "table_key", "ordinal_position", "data_type", "is_nullable", "is_generated"), "b3_map_columns")
+_as_pg("b4_pg_constraints", lambda s, d: PG.map_constraints(_pg(s, d)).select("key", "table_key", "kind", join("columns").alias("columns"), "referenced_table_key", join("referenced_columns").alias("referenced_columns"), "expression"), "b4_map_constraints")
+_as_pg("b5_pg_indexes", lambda s, d: PG.map_indexes(_pg(s, d)).select("key", "table_key", "name", join("columns").alias("columns"), "is_unique", "is_primary"), "b5_map_indexes")
+_as_pg("b8_pg_views", lambda s, d: PG.map_views(_pg(s, d)).select("key", "schema_key", join("depends_on").alias("depends_on")), "b8_map_views")
+_as_pg("b12_pg_routines", lambda s, d: PG.map_routines(_pg(s, d)).select("key", "schema_key", "kind", join("depends_on").alias("depends_on")), "b12_map_routines")
+_mapped("b1_pg_schemas", lambda s, d: PG.map_schemas(_pg(s, d)), "SELECT sk AS snapshot_key, skey AS key, dkey AS database_key, nn AS name FROM nat JOIN db USING (sk)")
+_mapped("b11_pg_triggers", lambda s, d: PG.map_triggers(_pg(s, d)).select("key", "table_key", "timing", join("events").alias("events"), "executes_routine_key"), "SELECT key, tkey AS table_key, 'AFTER' AS timing, 'INSERT' AS events, rkey AS executes_routine_key FROM tr")
+_mapped("b29_pg_open_dependencies", lambda s, d: M.open_dependencies(_pg(s, d), catalog(s, d), "postgres").select("code", "object_key", "message"), "SELECT 'dependency_closure_unproven' AS code, key AS object_key, 'plpgsql' AS message FROM rt WHERE pk % 2 = 1")
+
+
+def _pg_parts(s, d):
+    """PostgreSQL's own objects over the fleet: the last part of each index is included only, columns have their priority's enum type, the first column of a table owns a sequence, tables whose number ends in 7 are partitions of their follower, one role owns all."""
+    x, c = _pg(s, d), catalog(s, d)
+    nsp = x["pg_namespace"].select("snapshot_key", F.col("oid").alias("nsp"))
+    words = c.columns.select("snapshot_key", "data_type").distinct()
+    own = lambda df, kind, name: df.select("snapshot_key", F.xxhash64(F.lit(kind), "nsp", name).alias("oid"), name.alias("relname"), F.col("nsp").alias("relnamespace"), F.lit(kind).alias("relkind"), F.lit(False).alias("relispartition"), F.lit("p").alias("relpersistence"), F.lit(10).cast("long").alias("relowner"), F.lit(None).cast("string").alias("definition"))
+    sequences = own(nsp, "S", F.lit("seq"))
+    types = nsp.join(words, "snapshot_key").select("snapshot_key", F.xxhash64("nsp", "data_type").alias("oid"), F.col("data_type").alias("typname"), F.col("nsp").alias("typnamespace"), F.lit("e").alias("typtype"), F.lit(0).cast("long").alias("typrelid"))
+    enums = types.select("snapshot_key", F.col("oid").alias("enumtypid"), F.lit("one").alias("enumlabel"), F.lit(1.0).alias("enumsortorder"))
+    of = x["pg_class"].select("snapshot_key", F.col("oid").alias("attrelid"), F.col("relnamespace").alias("nsp"))
+    attribute = x["pg_attribute"].join(of, ["snapshot_key", "attrelid"]).withColumn("atttypid", F.xxhash64("nsp", "format_type"))
+    uses = attribute.where("attnum = 1").join(sequences.select("snapshot_key", F.col("relnamespace").alias("nsp"), F.col("oid").alias("objid")), ["snapshot_key", "nsp"]).select("snapshot_key", F.lit("pg_class").alias("classid"), "objid", F.lit("pg_class").alias("refclassid"), F.col("attrelid").alias("refobjid"), F.lit(1).alias("refobjsubid"), F.lit("a").alias("deptype"))
+    fk = x["pg_constraint"].where("contype = 'f'").select("snapshot_key", F.col("conrelid").alias("inhrelid"), F.col("confrelid").alias("inhparent"), F.lit(1).alias("inhseqno"))
+    index = x["pg_index"].withColumn("indnkeyatts", F.greatest(F.col("indnkeyatts") - 1, F.lit(1)))
+    roles = x["databases"].select("snapshot_key", F.lit(10).cast("long").alias("oid"), F.lit("owner").alias("rolname"))
+    return x | {"pg_class": x["pg_class"].withColumn("relispartition", (F.col("relkind") == "r") & F.col("relname").endswith("7")).unionByName(sequences), "pg_attribute": attribute.drop("nsp"), "pg_type": types, "pg_enum": enums, "pg_depend": x["pg_depend"].unionByName(uses), "pg_inherits": fk, "pg_index": index, "pg_roles": roles}
+
+
+_linked = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d))[1].where(F.col("kind") == kind).select("from_key", "to_key", "ordinal")
+_made = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d))[0].where(F.col("key").contains(f":{kind}:")).select("key", "parent_key", "name")
+_mapped("b6_pg_included_columns", _linked("includes_column"), "SELECT key AS from_key, ckey AS to_key, k::INTEGER AS ordinal FROM (SELECT key, ckey, row_number() OVER (PARTITION BY key ORDER BY pos) AS k, count(*) OVER (PARTITION BY key) AS n FROM ix_col) WHERE k = n AND n > 1")
+_mapped("b14_pg_sequences", _made("sequence"), "SELECT pre || 'sequence:seq' AS key, skey AS parent_key, 'seq' AS name FROM nat")
+_mapped("b14_pg_uses_sequence", _linked("uses_sequence"), "SELECT ckey AS from_key, pre || 'sequence:seq' AS to_key, NULL::INTEGER AS ordinal FROM col WHERE pos = 1")
+_mapped("b15_pg_types", _made("user_defined_type"), "SELECT pre || 'user_defined_type:' || prio AS key, skey AS parent_key, prio AS name FROM nat JOIN (SELECT DISTINCT sk, prio FROM col) USING (sk)")
+_mapped("b15_pg_enum_values", _made("enum_value"), "SELECT pre || 'enum_value:' || prio || ':one' AS key, pre || 'user_defined_type:' || prio AS parent_key, 'one' AS name FROM nat JOIN (SELECT DISTINCT sk, prio FROM col) USING (sk)")
+_mapped("b15_pg_uses_type", _linked("uses_type"), "SELECT ckey AS from_key, pre || 'user_defined_type:' || prio AS to_key, NULL::INTEGER AS ordinal FROM col")
+_mapped("b17_pg_owned_by", lambda s, d: _linked("owned_by")(s, d).select("from_key", "to_key"), "SELECT key AS from_key, replace(dkey, ':database:w', ':principal:owner') AS to_key FROM (SELECT sk, skey AS key FROM nat UNION ALL SELECT sk, tkey FROM cust UNION ALL SELECT sk, key FROM vw UNION ALL SELECT sk, pre || 'sequence:seq' FROM nat) JOIN db USING (sk)")
+_mapped("b19_pg_partition_of", _linked("partition_of"), "SELECT tkey AS from_key, next_t AS to_key, NULL::INTEGER AS ordinal FROM chain WHERE next_t IS NOT NULL AND ck % 10 = 7")
+_mapped("b19_pg_inherits_from", _linked("inherits_from"), "SELECT tkey AS from_key, next_t AS to_key, 1 AS ordinal FROM chain WHERE next_t IS NOT NULL AND ck % 10 <> 7")
+
+
 # Validation: the catalog with one mutation for each rule, by a number in the key.
 
 
