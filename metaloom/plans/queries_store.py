@@ -122,41 +122,44 @@ _q("l13_resolve_snapshots", l13_resolve_snapshots, "SELECT selector, status, sna
 _q("l15_graph_stats", lambda s, d: S.graph_stats(graph(s, d)), over_fleet("SELECT 5::BIGINT AS snapshots, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges"))
 _q("l17_stored_capabilities", lambda s, d: S.stored_capabilities(graph(s, d).snapshots, SCHEMAS["capabilities"].replace("snapshot_key string, ", "")).select("snapshot_key", "source_kind", "metadata_only", "views", F.size("limitations").alias("limitations")), over_fleet("SELECT sk AS snapshot_key, 'tpch' AS source_kind, true AS metadata_only, 'supported' AS views, 0::INTEGER AS limitations FROM reg"))
 
-# Traversals: from each region's first tables by key, and from its schemas.
+# Traversals: from every table, or from every routine and trigger (whose walks both ways don't all pass through a schema's tables).
 
-_FIRST = "SELECT sk, tkey AS seed FROM (SELECT sk, tkey, row_number() OVER (PARTITION BY sk ORDER BY tkey) AS k FROM cust) WHERE k <= {n}"
+_TABLES, _BODIES = "SELECT sk, tkey AS seed FROM cust", "SELECT sk, key AS seed FROM rt UNION ALL SELECT sk, key FROM tr"
 
 
-def _seeds(s, d, n: int):
-    c = catalog(s, d).tables
-    place = F.row_number().over(G.W.partitionBy("snapshot_key").orderBy("key"))
-    return c.select("snapshot_key", F.col("key").alias("seed"), place.alias("k")).where(F.col("k") <= n).drop("k")
+def _tables(s, d):
+    return catalog(s, d).tables.select("snapshot_key", F.col("key").alias("seed"))
+
+
+def _bodies(s, d):
+    c = catalog(s, d)
+    return c.routines.unionByName(c.triggers, True).select("snapshot_key", F.col("key").alias("seed"))
 
 
 def _hops(depth: int) -> str:
     return " UNION ALL ".join(f"SELECT sk, seed, node, edge_key, edge_type, depth FROM hop{k}" for k in range(1, depth + 1))
 
 
-def _impact(n: int, direction: str, depth: int):
-    f = lambda s, d: G.impact_many(graph(s, d), _seeds(s, d, n), direction, depth).select("snapshot_key", "seed", "node_key", "label", "depth", "edge_type", "edge_key")
+def _impact(seeds, of: str, direction: str, depth: int):
+    f = lambda s, d: G.impact_many(graph(s, d), seeds(s, d), direction, depth).select("snapshot_key", "seed", "node_key", "label", "depth", "edge_type", "edge_key")
     sql = f"SELECT h.sk AS snapshot_key, seed, h.node AS node_key, label, depth::INTEGER AS depth, edge_type, edge_key FROM ({_hops(depth)}) h JOIN nodes n ON n.node_key = h.node"
-    return f, over_fleet(sql, *levels(_FIRST.format(n=n), depth, direction))
+    return f, over_fleet(sql, *levels(of, depth, direction))
 
 
-_q("g1_impact_outbound", *_impact(1, "outbound", 2))
-_q("g1_impact_inbound", *_impact(1, "inbound", 3))
-_q("g3_impact_many", *_impact(20, "both", 2))
+_q("g1_impact_outbound", *_impact(_tables, _TABLES, "outbound", 2))
+_q("g1_impact_inbound", *_impact(_tables, _TABLES, "inbound", 3))
+_q("g3_impact_many", *_impact(_bodies, _BODIES, "both", 2))
 
 
 def g1_grouped(s, d):
-    return G.impact_many(graph(s, d), _seeds(s, d, 3), "both", 2).groupBy("snapshot_key", "seed", "label", "depth").agg(F.count("*").alias("n"), F.min("node_key").alias("first_key"))
+    return G.impact_many(graph(s, d), _bodies(s, d), "both", 2).groupBy("snapshot_key", "seed", "label", "depth").agg(F.count("*").alias("n"), F.min("node_key").alias("first_key"))
 
 
-_q("g1_grouped", g1_grouped, over_fleet(f"SELECT h.sk AS snapshot_key, seed, label, depth::INTEGER AS depth, count(*) AS n, min(h.node) AS first_key FROM ({_hops(2)}) h JOIN nodes n ON n.node_key = h.node GROUP BY ALL", *levels(_FIRST.format(n=3), 2)))
-_q("g2_impact_bounded", lambda s, d: G.impact_bounded(graph(s, d), _seeds(s, d, 10), "both", 3, 60).hits)
-_q("g2_ends", lambda s, d: G.impact_bounded(graph(s, d), _seeds(s, d, 10), "both", 3, 60).ends)
-_q("g4_trace", lambda s, d: G.trace_many(graph(s, d), _seeds(s, d, 5), "outbound", 3).select("seed", "depth", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes"), F.concat_ws("|", F.transform("path", lambda h: h.edge_type)).alias("edges")), over_fleet("SELECT seed, depth::INTEGER AS depth, array_to_string(path, '|') AS nodes, array_to_string(types, '|') AS edges FROM walk WHERE depth > 0", f"walk0 AS ({_FIRST.format(n=5)})", *[f"walk{k} AS (SELECT w.sk, w.seed, {k} AS depth, list_append(w.path, e.edge_to) AS path, list_append(w.types, e.edge_type) AS types FROM {'(SELECT sk, seed, [seed] AS path, []::VARCHAR[] AS types FROM walk0)' if k == 1 else f'walk{k - 1}'} w JOIN edges e ON e.sk = w.sk AND e.edge_from = w.path[-1] WHERE NOT list_contains(w.path, e.edge_to))" for k in (1, 2, 3)], "walk AS (SELECT * FROM walk1 UNION ALL SELECT * FROM walk2 UNION ALL SELECT * FROM walk3)"))
-_q("g5_trace_bounded", lambda s, d: G.trace_bounded(graph(s, d), _seeds(s, d, 3), "both", 3, 50).hits.select("seed", "depth", "position", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes")))
+_q("g1_grouped", g1_grouped, over_fleet(f"SELECT h.sk AS snapshot_key, seed, label, depth::INTEGER AS depth, count(*) AS n, min(h.node) AS first_key FROM ({_hops(2)}) h JOIN nodes n ON n.node_key = h.node GROUP BY ALL", *levels(_BODIES, 2)))
+_q("g2_impact_bounded", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).hits)
+_q("g2_ends", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).ends)
+_q("g4_trace", lambda s, d: G.trace_many(graph(s, d), _tables(s, d), "outbound", 3).select("seed", "depth", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes"), F.concat_ws("|", F.transform("path", lambda h: h.edge_type)).alias("edges")), over_fleet("SELECT seed, depth::INTEGER AS depth, array_to_string(path, '|') AS nodes, array_to_string(types, '|') AS edges FROM walk WHERE depth > 0", f"walk0 AS ({_TABLES})", *[f"walk{k} AS (SELECT w.sk, w.seed, {k} AS depth, list_append(w.path, e.edge_to) AS path, list_append(w.types, e.edge_type) AS types FROM {'(SELECT sk, seed, [seed] AS path, []::VARCHAR[] AS types FROM walk0)' if k == 1 else f'walk{k - 1}'} w JOIN edges e ON e.sk = w.sk AND e.edge_from = w.path[-1] WHERE NOT list_contains(w.path, e.edge_to))" for k in (1, 2, 3)], "walk AS (SELECT * FROM walk1 UNION ALL SELECT * FROM walk2 UNION ALL SELECT * FROM walk3)"))
+_q("g5_trace_bounded", lambda s, d: G.trace_bounded(graph(s, d), _tables(s, d), "both", 3, 50).hits.select("seed", "depth", "position", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes")))
 
 
 def _asked(q: G.Query):
@@ -165,17 +168,17 @@ def _asked(q: G.Query):
 
 _q("g6_query_nodes", _asked(G.Query(label="Index", name_contains="URGENT", array_field="columns", array_min=2, limit=500)), over_fleet("SELECT 'node' AS part, key, 'Index' AS kind, NULL::INTEGER AS depth, (SELECT count(*) > 500 FROM ix WHERE sk = 'tpch:ASIA' AND prio LIKE '%URGENT%' AND n >= 2) AS truncated FROM ix WHERE sk = 'tpch:ASIA' AND prio LIKE '%URGENT%' AND n >= 2 ORDER BY key LIMIT 500"))
 _q("g6_query_edges", _asked(G.Query(edge_type="TABLE_HAS_TRIGGER", limit=20)), over_fleet("SELECT 'edge' AS part, edge_key AS key, edge_type AS kind, NULL::INTEGER AS depth, (SELECT count(*) > 20 FROM edges WHERE sk = 'tpch:ASIA' AND edge_type = 'TABLE_HAS_TRIGGER') AS truncated FROM edges WHERE sk = 'tpch:ASIA' AND edge_type = 'TABLE_HAS_TRIGGER' ORDER BY edge_key LIMIT 20"))
-_q("g7_filtered_traversal", lambda s, d: G.filtered_traversal(graph(s, d), _seeds(s, d, 10), "both", 3, 25).hits.select("seed", "node_key", "depth", "edge_key"))
+_q("g7_filtered_traversal", lambda s, d: G.filtered_traversal(graph(s, d), _tables(s, d), "both", 3, 25).hits.select("seed", "node_key", "depth", "edge_key"))
 
 
 def g8_resolve_starts(s, d):
-    t = catalog(s, d).tables.where(F.col("snapshot_key") == ASIA)
+    t = catalog(s, d).tables
     text = F.lit(None).cast("string")
     r = t.select("snapshot_key", F.col("key").alias("object_key"), text.alias("table_name"), text.alias("column_name")).unionByName(t.select("snapshot_key", text.alias("object_key"), F.concat("name", F.lit("0")).alias("table_name"), text.alias("column_name"))).unionByName(t.select("snapshot_key", text.alias("object_key"), text.alias("table_name"), F.regexp_replace("name", "^c", "o").alias("column_name")))
     return G.resolve_starts(graph(s, d), r)
 
 
-_q("g8_resolve_starts", g8_resolve_starts, over_fleet("SELECT r.sk AS snapshot_key, object_key, table_name, column_name, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'not_found' END AS status, hit AS start FROM (SELECT sk, tkey AS object_key, NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name, tkey AS hit FROM cust WHERE sk = 'tpch:ASIA' UNION ALL SELECT sk, NULL, 'c' || ck || '0', NULL, (SELECT tkey FROM cust x WHERE x.ck = cust.ck * 10 AND cust.ck > 0 AND x.sk = 'tpch:ASIA') FROM cust WHERE sk = 'tpch:ASIA' UNION ALL SELECT sk, NULL, NULL, 'o' || ck, (SELECT ckey FROM col x WHERE x.ok = cust.ck AND x.sk = 'tpch:ASIA') FROM cust WHERE sk = 'tpch:ASIA') r"))
+_q("g8_resolve_starts", g8_resolve_starts, over_fleet("SELECT r.sk AS snapshot_key, object_key, table_name, column_name, CASE WHEN hit IS NOT NULL THEN 'found' ELSE 'not_found' END AS status, hit AS start FROM (SELECT sk, tkey AS object_key, NULL::VARCHAR AS table_name, NULL::VARCHAR AS column_name, tkey AS hit FROM cust UNION ALL SELECT sk, NULL, 'c' || ck || '0', NULL, (SELECT tkey FROM cust x WHERE x.ck = cust.ck * 10 AND cust.ck > 0 AND x.sk = cust.sk) FROM cust UNION ALL SELECT sk, NULL, NULL, 'o' || ck, (SELECT ckey FROM col x WHERE x.ok = cust.ck AND x.sk = cust.sk) FROM cust) r"))
 
 # Diffs of each region's two generations
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import object_key
 from ..plans.model import Canonical
+from ..plans.shared import written
 
 SOURCE, DATABASE = "tpch", "w"
 
@@ -20,6 +21,16 @@ def _name(prefix: str, c: str) -> Column:
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
+def following(df: DataFrame, group: str, order: str, **fields: str) -> DataFrame:
+    """Adds the fields of the next row of the group by order: ranges of rows, the next row within each, and for its last row the first of the range behind, so that no group is one task's."""
+    parts = written(df.repartitionByRange(group, order).withColumn("_part", F.spark_partition_id()), "ordered")
+    row = F.struct(*[F.col(c).alias(n) for n, c in fields.items()])
+    firsts = parts.groupBy(group, "_part").agg(F.min_by(row, order).alias("_first"))
+    behind = firsts.select(group, "_part", F.lead("_first").over(W.partitionBy(group).orderBy("_part")).alias("_behind"))
+    within = parts.withColumn("_next", F.lead(row).over(W.partitionBy(group, "_part").orderBy(order)))
+    return within.join(behind, [group, "_part"]).select(*df.columns, *[F.coalesce("_next", "_behind")[n].alias(n) for n in fields])
+
+
 def retail_catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Canonical:
     """The canonical tables. Generation 2 has another alias, lacks some columns and has other types in some, for diffs.
 
@@ -53,8 +64,7 @@ def retail_catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Can
     in_order = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("ordinal", "column_key")))), lambda x: x.column_key)
     owner = ["c_custkey", "alias", "nn", "rk", "tname", "table_key", "c_acctbal"]
     keyed = cols.groupBy(*owner).agg(F.min_by("column_key", "ordinal").alias("first"), F.max_by("column_key", "ordinal").alias("last"), in_order(F.col("ordinal") <= 2).alias("two"), in_order(F.col("ordinal") <= 3).alias("three"))
-    following = W.partitionBy("rk").orderBy("c_custkey")
-    keyed = keyed.withColumn("next_table", F.lead("table_key").over(following)).withColumn("next_pk", F.lead("first").over(following))
+    keyed = following(keyed, "rk", "c_custkey", next_table="table_key", next_pk="first")
     none = F.array().cast("array<string>")
 
     def constraint(name: str, kind: str, object_kind: str, columns_: Column, where: Column | None = None, **more: Column) -> DataFrame:
@@ -71,7 +81,7 @@ def retail_catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Can
     indexes = by_priority.select(sk, _key("index", F.col("tname"), F.col("iname")).alias("key"), "table_key", F.col("iname").alias("name"), "columns", (F.size("columns") == 1).alias("is_unique"), F.lit(False).alias("is_primary"))
 
     supplier = in_nation(t("supplier", "s_suppkey", "s_nationkey"), "s_nationkey").withColumn("vname", _name("s", "s_suppkey"))
-    supplier = supplier.withColumn("view_key", _key("view", F.col("vname"))).withColumn("next_view", F.lead("view_key").over(W.partitionBy("s_nationkey").orderBy("s_suppkey")))
+    supplier = following(supplier.withColumn("view_key", _key("view", F.col("vname"))), "s_nationkey", "s_suppkey", next_view="view_key")
     lines = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     bought = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers.select("c_custkey", F.col("rk").alias("c_rk"), F.col("table_key"), F.col("alias").alias("c_alias"), F.col("nn").alias("c_nn"), "tname"), F.col("o_custkey") == F.col("c_custkey"))
     supplied = bought.select("l_suppkey", "c_rk", "table_key").distinct().join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_rk") == F.col("rk"))).groupBy("s_suppkey").agg(F.collect_list("table_key").alias("uses"))
