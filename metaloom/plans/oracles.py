@@ -105,3 +105,67 @@ def levels(seeds: str, depth: int, direction: str = "both") -> list[str]:
     WHERE NOT EXISTS (SELECT 1 FROM seen{k} v WHERE v.sk = h.sk AND v.seed = h.seed AND v.node = s.nxt)
   ) WHERE k = 1)""")
     return out
+
+
+def _bounded(seeds: str, more: str = "") -> list[str]:
+    """CTEs of a walk both ways with budgets: its steps by priority (a self-loop once), hop0 and end0 (sk, seed, used, truncated)."""
+    own = f"SELECT sk, edge_from AS at, edge_to AS nxt, {PRIORITY} AS rank, edge_key, edge_type, edge_from, edge_to FROM edges"
+    other = f"SELECT sk, edge_to, edge_from, {PRIORITY}, edge_key, edge_type, edge_from, edge_to FROM edges WHERE edge_from <> edge_to"
+    none = ", ".join(f"NULL::VARCHAR AS {x}" for x in ("edge_key", "edge_type", "edge_from", "edge_to"))
+    return [f"steps AS ({own} UNION ALL {other})", f"hop0 AS (SELECT sk, seed, seed AS node, []::VARCHAR[] AS ord, {none}, 0::BIGINT AS position, 0 AS depth{more} FROM ({seeds}) s)", "end0 AS (SELECT sk, seed, 0::BIGINT AS used, false AS truncated FROM hop0)"]
+
+
+_STEP = "h.sk, h.seed, s.nxt AS node, h.ord AS parent, list_append(h.ord, s.rank || s.edge_key) AS ord, s.edge_key, s.edge_type, s.edge_from, s.edge_to, e.used"
+
+
+def _level(k: int, more: str = "") -> str:
+    """All edges that level k may fetch, by seeds that aren't cut yet."""
+    return f"SELECT {_STEP}{more} FROM hop{k - 1} h JOIN end{k - 1} e ON e.sk = h.sk AND e.seed = h.seed AND NOT e.truncated JOIN steps s ON s.sk = h.sk AND s.at = h.node"
+
+
+def _seen(k: int) -> str:
+    return " UNION ALL ".join(f"SELECT sk, seed, node FROM hop{i}" for i in range(k))
+
+
+def _fetched(k: int, limit: int) -> str:
+    """Edges used up after level k, where every fetched edge counts."""
+    return f"end{k} AS (SELECT e.sk, e.seed, least({limit}, used + coalesce(n, 0)) AS used, truncated OR used + coalesce(n, 0) > {limit} AS truncated FROM end{k - 1} e LEFT JOIN (SELECT sk, seed, max(place) AS n FROM level{k} GROUP BY ALL) USING (sk, seed))"
+
+
+_PLACED = "row_number() OVER (PARTITION BY sk, seed ORDER BY ord) AS place"
+
+
+def bounded_levels(seeds: str, depth: int, limit: int) -> list[str]:
+    """CTEs hop1 .. hopN (each new node by its first fetched edge, with that edge's position) and end0 .. endN of a walk that may fetch limit edges for a seed."""
+    out = _bounded(seeds)
+    for k in range(1, depth + 1):
+        out.append(f"level{k} AS MATERIALIZED (SELECT *, {_PLACED} FROM ({_level(k)}))")
+        out.append(f"seen{k} AS ({_seen(k)})")
+        out.append(f"hop{k} AS MATERIALIZED (SELECT sk, seed, node, ord, edge_key, edge_type, edge_from, edge_to, position, {k} AS depth FROM (SELECT *, used + place AS position, row_number() OVER (PARTITION BY sk, seed, node ORDER BY ord) AS nth FROM level{k} WHERE used + place <= {limit}) l WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM seen{k} v WHERE v.sk = l.sk AND v.seed = l.seed AND v.node = l.node))")
+        out.append(_fetched(k, limit))
+    return out
+
+
+def bounded_paths(seeds: str, depth: int, limit: int) -> list[str]:
+    """As bounded_levels for simple paths: hops carry path, and edges to nodes on the path are fetched too."""
+    out = _bounded(seeds, ", [seed] AS path")
+    for k in range(1, depth + 1):
+        out.append(f"level{k} AS MATERIALIZED (SELECT *, {_PLACED} FROM ({_level(k, ', h.path')}))")
+        out.append(f"hop{k} AS MATERIALIZED (SELECT sk, seed, node, ord, list_append(path, node) AS path, used + place AS position, {k} AS depth FROM level{k} WHERE used + place <= {limit} AND NOT list_contains(path, node))")
+        out.append(_fetched(k, limit))
+    return out
+
+
+def budget_of_hits(seeds: str, depth: int, limit: int) -> list[str]:
+    """As bounded_levels, but new nodes use up the budget: the first parent with more edges than are left, or with none left, ends its seed's walk."""
+    out = _bounded(seeds)
+    for k in range(1, depth + 1):
+        out.append(f"level{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sk, seed, parent ORDER BY ord) AS place FROM ({_level(k)}))")
+        out.append(f"seen{k} AS ({_seen(k)})")
+        out.append(f"fresh{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sk, seed, node ORDER BY ord) AS nth FROM level{k} l WHERE NOT EXISTS (SELECT 1 FROM seen{k} v WHERE v.sk = l.sk AND v.seed = l.seed AND v.node = l.node)) WHERE nth = 1)")
+        sizes = f"SELECT h.sk, h.seed, h.ord AS parent, e.used, coalesce(n_edges, 0) AS n_edges, coalesce(n_new, 0) AS n_new FROM hop{k - 1} h JOIN end{k - 1} e ON e.sk = h.sk AND e.seed = h.seed AND NOT e.truncated LEFT JOIN (SELECT sk, seed, parent, count(*) AS n_edges FROM level{k} GROUP BY ALL) a ON a.sk = h.sk AND a.seed = h.seed AND a.parent = h.ord LEFT JOIN (SELECT sk, seed, parent, count(*) AS n_new FROM fresh{k} GROUP BY ALL) b ON b.sk = h.sk AND b.seed = h.seed AND b.parent = h.ord"
+        out.append(f"parents{k} AS (SELECT *, {limit} - used - coalesce(sum(n_new) OVER (PARTITION BY sk, seed ORDER BY parent ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem FROM ({sizes}))")
+        out.append(f"cut{k} AS (SELECT sk, seed, min(parent) AS last, arg_min(rem, parent) AS rem FROM parents{k} WHERE rem <= 0 OR n_edges > rem GROUP BY ALL)")
+        out.append(f"hop{k} AS MATERIALIZED (SELECT f.sk, f.seed, node, ord, edge_key, edge_type, edge_from, edge_to, {k} AS depth FROM fresh{k} f LEFT JOIN cut{k} c ON c.sk = f.sk AND c.seed = f.seed WHERE c.sk IS NULL OR parent < last OR (parent = last AND place <= rem))")
+        out.append(f"end{k} AS (SELECT e.sk, e.seed, used + coalesce(n, 0) AS used, truncated OR c.sk IS NOT NULL AS truncated FROM end{k - 1} e LEFT JOIN (SELECT sk, seed, count(*) AS n FROM hop{k} GROUP BY ALL) h ON h.sk = e.sk AND h.seed = e.seed LEFT JOIN cut{k} c ON c.sk = e.sk AND c.seed = e.seed)")
+    return out

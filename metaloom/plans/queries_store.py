@@ -10,7 +10,7 @@ from ..operators import store as S
 from ..operators import traverse as G
 from .fleet import catalog, graph
 from .model import SCHEMAS, Graph
-from .oracles import PRIORITY, levels, over_both, over_fleet
+from .oracles import PRIORITY, bounded_levels, bounded_paths, budget_of_hits, levels, over_both, over_fleet
 from .shared import new_path
 
 Q: dict = {}
@@ -156,10 +156,17 @@ def g1_grouped(s, d):
 
 
 _q("g1_grouped", g1_grouped, over_fleet(f"SELECT h.sk AS snapshot_key, seed, label, depth::INTEGER AS depth, count(*) AS n, min(h.node) AS first_key FROM ({_hops(2)}) h JOIN nodes n ON n.node_key = h.node GROUP BY ALL", *levels(_BODIES, 2)))
-_q("g2_impact_bounded", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).hits)
-_q("g2_ends", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).ends)
+
+
+def _all_hops(columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT {columns} FROM hop{k}" for k in (1, 2, 3))
+
+
+_HITS = f"SELECT h.sk AS snapshot_key, seed, node AS node_key, label, display_name, depth::INTEGER AS depth, edge_type, edge_from, edge_to, position::BIGINT AS position FROM ({_all_hops('sk, seed, node, depth, edge_type, edge_from, edge_to, position')}) h JOIN nodes n ON n.sk = h.sk AND n.node_key = h.node"
+_q("g2_impact_bounded", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).hits, over_fleet(_HITS, *bounded_levels(_TABLES, 3, 60)))
+_q("g2_ends", lambda s, d: G.impact_bounded(graph(s, d), _tables(s, d), "both", 3, 60).ends, over_fleet("SELECT sk AS snapshot_key, seed, used::BIGINT AS used, truncated FROM end3", *bounded_levels(_TABLES, 3, 60)))
 _q("g4_trace", lambda s, d: G.trace_many(graph(s, d), _tables(s, d), "outbound", 3).select("seed", "depth", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes"), F.concat_ws("|", F.transform("path", lambda h: h.edge_type)).alias("edges")), over_fleet("SELECT seed, depth::INTEGER AS depth, array_to_string(path, '|') AS nodes, array_to_string(types, '|') AS edges FROM walk WHERE depth > 0", f"walk0 AS ({_TABLES})", *[f"walk{k} AS (SELECT w.sk, w.seed, {k} AS depth, list_append(w.path, e.edge_to) AS path, list_append(w.types, e.edge_type) AS types FROM {'(SELECT sk, seed, [seed] AS path, []::VARCHAR[] AS types FROM walk0)' if k == 1 else f'walk{k - 1}'} w JOIN edges e ON e.sk = w.sk AND e.edge_from = w.path[-1] WHERE NOT list_contains(w.path, e.edge_to))" for k in (1, 2, 3)], "walk AS (SELECT * FROM walk1 UNION ALL SELECT * FROM walk2 UNION ALL SELECT * FROM walk3)"))
-_q("g5_trace_bounded", lambda s, d: G.trace_bounded(graph(s, d), _tables(s, d), "both", 3, 50).hits.select("seed", "depth", "position", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes")))
+_q("g5_trace_bounded", lambda s, d: G.trace_bounded(graph(s, d), _tables(s, d), "both", 3, 50).hits.select("seed", "depth", "position", F.concat_ws("|", F.transform("path", lambda h: h.node)).alias("nodes")), over_fleet(f"SELECT seed, depth::INTEGER AS depth, position::BIGINT AS position, array_to_string(path, '|') AS nodes FROM ({_all_hops('seed, depth, position, path')})", *bounded_paths(_TABLES, 3, 50)))
 
 
 def _asked(q: G.Query):
@@ -168,7 +175,7 @@ def _asked(q: G.Query):
 
 _q("g6_query_nodes", _asked(G.Query(label="Index", name_contains="URGENT", array_field="columns", array_min=2, limit=500)), over_fleet("SELECT 'node' AS part, key, 'Index' AS kind, NULL::INTEGER AS depth, (SELECT count(*) > 500 FROM ix WHERE sk = 'tpch:ASIA' AND prio LIKE '%URGENT%' AND n >= 2) AS truncated FROM ix WHERE sk = 'tpch:ASIA' AND prio LIKE '%URGENT%' AND n >= 2 ORDER BY key LIMIT 500"))
 _q("g6_query_edges", _asked(G.Query(edge_type="TABLE_HAS_TRIGGER", limit=20)), over_fleet("SELECT 'edge' AS part, edge_key AS key, edge_type AS kind, NULL::INTEGER AS depth, (SELECT count(*) > 20 FROM edges WHERE sk = 'tpch:ASIA' AND edge_type = 'TABLE_HAS_TRIGGER') AS truncated FROM edges WHERE sk = 'tpch:ASIA' AND edge_type = 'TABLE_HAS_TRIGGER' ORDER BY edge_key LIMIT 20"))
-_q("g7_filtered_traversal", lambda s, d: G.filtered_traversal(graph(s, d), _tables(s, d), "both", 3, 25).hits.select("seed", "node_key", "depth", "edge_key"))
+_q("g7_filtered_traversal", lambda s, d: G.filtered_traversal(graph(s, d), _tables(s, d), "both", 3, 25).hits.select("seed", "node_key", "depth", "edge_key"), over_fleet(f"SELECT seed, node AS node_key, depth::INTEGER AS depth, edge_key FROM ({_all_hops('seed, node, depth, edge_key')})", *budget_of_hits(_TABLES, 3, 25)))
 
 
 def g8_resolve_starts(s, d):
