@@ -107,10 +107,10 @@ def levels(seeds: str, depth: int, direction: str = "both") -> list[str]:
     return out
 
 
-def _bounded(seeds: str, more: str = "") -> list[str]:
+def _bounded(seeds: str, more: str = "", edges: str = "edges") -> list[str]:
     """CTEs of a walk both ways with budgets: its steps by priority (a self-loop once), hop0 and end0 (sk, seed, used, truncated)."""
-    own = f"SELECT sk, edge_from AS at, edge_to AS nxt, {PRIORITY} AS rank, edge_key, edge_type, edge_from, edge_to FROM edges"
-    other = f"SELECT sk, edge_to, edge_from, {PRIORITY}, edge_key, edge_type, edge_from, edge_to FROM edges WHERE edge_from <> edge_to"
+    own = f"SELECT sk, edge_from AS at, edge_to AS nxt, {PRIORITY} AS rank, edge_key, edge_type, edge_from, edge_to FROM {edges}"
+    other = f"SELECT sk, edge_to, edge_from, {PRIORITY}, edge_key, edge_type, edge_from, edge_to FROM {edges} WHERE edge_from <> edge_to"
     none = ", ".join(f"NULL::VARCHAR AS {x}" for x in ("edge_key", "edge_type", "edge_from", "edge_to"))
     return [f"steps AS ({own} UNION ALL {other})", f"hop0 AS (SELECT sk, seed, seed AS node, []::VARCHAR[] AS ord, {none}, 0::BIGINT AS position, 0 AS depth{more} FROM ({seeds}) s)", "end0 AS (SELECT sk, seed, 0::BIGINT AS used, false AS truncated FROM hop0)"]
 
@@ -135,9 +135,9 @@ def _fetched(k: int, limit: int) -> str:
 _PLACED = "row_number() OVER (PARTITION BY sk, seed ORDER BY ord) AS place"
 
 
-def bounded_levels(seeds: str, depth: int, limit: int) -> list[str]:
+def bounded_levels(seeds: str, depth: int, limit: int, edges: str = "edges") -> list[str]:
     """CTEs hop1 .. hopN (each new node by its first fetched edge, with that edge's position) and end0 .. endN of a walk that may fetch limit edges for a seed."""
-    out = _bounded(seeds)
+    out = _bounded(seeds, edges=edges)
     for k in range(1, depth + 1):
         out.append(f"level{k} AS MATERIALIZED (SELECT *, {_PLACED} FROM ({_level(k)}))")
         out.append(f"seen{k} AS ({_seen(k)})")

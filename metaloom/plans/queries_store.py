@@ -225,7 +225,14 @@ def _all_nodes(g, pairs):
 
 _q("d4_impact_seeds", lambda s, d: (lambda g, p: D.impact_seeds(_all_nodes(g, p), p))(_two(s, d), _pairs(s, d)), over_both(f"SELECT DISTINCT {_PAIR}, CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS snapshot_key, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed)", *_DIFF))
 _q("d5_diff_impact", lambda s, d: (lambda g, p: D.diff_impact(g, D.impact_seeds(_all_nodes(g, p), p), 1).groupBy("snapshot_key", "edge_type", "label").agg(F.count("*").alias("n")))(_two(s, d), _pairs(s, d)), over_both("SELECT sk AS snapshot_key, edge_type, label, count(*) AS n FROM (SELECT s.sk, s.seed, e.node, edge_type, row_number() OVER (PARTITION BY s.sk, s.seed, e.node ORDER BY dir, edge_key) AS k FROM (SELECT DISTINCT CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS sk, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed)) s JOIN (SELECT sk, edge_from AS at, edge_to AS node, edge_type, edge_key, 0 AS dir FROM alle UNION ALL SELECT sk, edge_to, edge_from, edge_type, edge_key, 1 FROM alle) e ON e.sk = s.sk AND e.at = s.seed) h JOIN (SELECT node_key, label FROM nodes UNION ALL SELECT node_key, label FROM nodes2) n ON n.node_key = h.node WHERE k = 1 GROUP BY ALL", *_DIFF, "alle AS (SELECT * FROM edges UNION ALL SELECT * FROM edges2)"))
-_q("d6_schema_diff", lambda s, d: D.schema_diff(_two(s, d), _pairs(s, d), 20)["impact"].select("pair", "seed", "node_key", "depth", "budget"))
+_SEEDED = [  # the first 20 seeds of a pair, their walks, and what each leaves of one budget to the next
+    "alle AS (SELECT * FROM edges UNION ALL SELECT * FROM edges2)",
+    "dseeds AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY sk, seed) AS k FROM (SELECT DISTINCT pair, CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS sk, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed))) WHERE k <= 20)",
+    *bounded_levels("SELECT sk, seed FROM dseeds", D.IMPACT_DEPTH, 20, "alle"),
+    f"hits AS MATERIALIZED (SELECT pair, k, seed, node, depth, position FROM ({' UNION ALL '.join(f'SELECT sk, seed, node, depth, position FROM hop{k}' for k in range(1, D.IMPACT_DEPTH + 1))}) JOIN dseeds USING (sk, seed))",
+    "budgets AS (SELECT pair, 1::BIGINT AS k, 20::BIGINT AS budget FROM dseeds WHERE k = 1 UNION ALL SELECT b.pair, b.k + 1, b.budget - count(h.node) FROM budgets b LEFT JOIN hits h ON h.pair = b.pair AND h.k = b.k AND h.position <= b.budget WHERE b.k < 20 GROUP BY b.pair, b.k, b.budget)",
+]
+_q("d6_schema_diff", lambda s, d: D.schema_diff(_two(s, d), _pairs(s, d), 20)["impact"].select("pair", "seed", "node_key", "depth", "budget"), over_both(f"SELECT {_PAIR}, seed, node AS node_key, depth::INTEGER AS depth, budget FROM hits JOIN budgets USING (pair, k) WHERE position <= budget", *_DIFF, *_SEEDED).replace("WITH", "WITH RECURSIVE", 1))
 _q("d6_counts", lambda s, d: D.schema_diff(_two(s, d), _pairs(s, d), 20)["counts"], over_both(f"SELECT {_PAIR}, what, count(*) AS n FROM (SELECT pair, 'nodes_' || change AS what FROM dn UNION ALL SELECT pair, 'nodes_changed' FROM changed UNION ALL SELECT pair, 'edges_' || change FROM de) GROUP BY ALL", *_DIFF))
 _q("d7_diff_envelope", lambda s, d: D.diff_counts(_two(s, d), _pairs(s, d), 20), over_both("SELECT replace(reg.sk, 'tpch:', '') AS pair, count(*) FILTER (what = 'nodes_added') AS nodes_added, count(*) FILTER (what = 'nodes_removed') AS nodes_removed, count(*) FILTER (what = 'nodes_changed') AS nodes_changed, count(*) FILTER (what = 'edges_added') AS edges_added, count(*) FILTER (what = 'edges_removed') AS edges_removed, count(*) FILTER (what LIKE 'nodes%') AS impacted_seeds, 20::INTEGER AS limit_applied, greatest(count(*) FILTER (what LIKE 'nodes%'), count(*) FILTER (what = 'nodes_added'), count(*) FILTER (what = 'nodes_removed'), count(*) FILTER (what = 'nodes_changed'), count(*) FILTER (what = 'edges_added'), count(*) FILTER (what = 'edges_removed')) > 20 AS truncated FROM reg LEFT JOIN (SELECT pair, 'nodes_' || change AS what FROM dn UNION ALL SELECT pair, 'nodes_changed' FROM changed UNION ALL SELECT pair, 'edges_' || change FROM de) x ON x.pair = reg.sk GROUP BY reg.sk", *_DIFF))
 
