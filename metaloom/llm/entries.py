@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .alignment import op11_align_tokens
 from .html import op9_html_text
 from .languages import op2_language
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .media import op3_media
 from .mixing import OP4_SQL, op4_mix_sources
+from .packing import op13_pack
 from .pieces import op8_sentencepiece
 from .quality import op6_quality
 from .simhash import op1_simhash
@@ -22,6 +24,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
+    "op11_align_tokens": op11_align_tokens,
+    "op13_pack": op13_pack,
 }
 
 ORACLE_SQL = {
