@@ -12,6 +12,7 @@ from .quality import op6_quality
 from .simhash import op1_simhash
 from .tokenfile import op5_token_file
 from .topk import OP7_SQL, op7_top_k
+from .trie import OP12_SQL, op12_prefix_trie
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_html_text": op9_html_text,
     "op10_line_dedup": op10_line_dedup,
     "op11_align_tokens": op11_align_tokens,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_pack": op13_pack,
 }
 
@@ -32,4 +34,5 @@ ORACLE_SQL = {
     "op4_mix_sources": OP4_SQL,
     "op7_top_k": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
