@@ -6,8 +6,10 @@ With A and B the incidences of tokens and bytes, A·Bᵀ holds for each pair of
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_arrow, table, written
-from .units import BLOCK_BYTES, ByteBpe, Pieces, blocks, byte_bpe, lookup, piece_model, split_units
+from .units import ByteBpe, Pieces, blocks, byte_bpe, lookup, piece_model, split_units
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Bytes of the texts that are aligned together, and distinct units whose ids a worker remembers.
+BLOCK_BYTES, REMEMBERED = 1 << 20, 200_000
 #: Entries that a product expands at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 @dataclass
@@ -114,6 +118,8 @@ class Aligned:
 
 class Aligner:
     def __init__(self, a: ByteBpe, b: Pieces):
+        if max(a.size, b.size) > 1 << 16:
+            raise ValueError("ids must fit in 16 bits")
         self.a, self.b, self.known = a, b, {}
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v.bytes], np.int64) for v in (a, b))
         texts = [f"{i}{end}".encode() for end in ",|" for i in range(a.size)] + [f"{i}{end}".encode() for end in ",;" for i in range(b.size)]
@@ -122,20 +128,23 @@ class Aligner:
         for i, x in enumerate(texts):
             self.texts[i, : len(x)] = np.frombuffer(x, np.uint8)
 
-    def _cut(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Both vocabularies' ids of each unit; none of either where their joined bytes aren't the unit."""
-        out = []
-        for u, b in zip(units, self.b.cut_all(units), strict=True):
-            a, raw = self.a.cut(u), u.encode()
-            same = all(b"".join(map(v.bytes.__getitem__, np.frombuffer(x, "<u4").tolist())) == raw for v, x in ((self.a, a), (self.b, b)))
-            out.append((a, b) if same else (b"", b""))
-        return out
+    def _cut(self, units: list[str]) -> list[bytes]:
+        """Of each unit, as 16-bit integers, the number of A's ids, these, and B's; none of either where their joined bytes aren't the unit."""
+        both = list(zip([self.a.cut(u) for u in units], self.b.cut_all(units), strict=True))
+        joined = lambda v, ids: b"".join(map(v.bytes.__getitem__, ids))
+        raw = "".join(units).encode()
+        if any(joined(v, chain.from_iterable(x[k] for x in both)) != raw for k, v in enumerate((self.a, self.b))):
+            both = [x if joined(self.a, x[0]) == joined(self.b, x[1]) == u.encode() else ((), ()) for u, x in zip(units, both, strict=True)]
+        return [array("H", (len(a), *a, *b)).tobytes() for a, b in both]
 
     def align(self, keys: list[str]) -> Aligned:
         """Units by their keys. good: where the joined tokens are the unit; others have no tokens."""
-        cut = lookup(keys, self.known, self._cut)
-        a, b = (np.frombuffer(b"".join(x[k] for x in cut), "<u4").astype(np.int64) for k in (0, 1))
-        a_n, b_n = (np.array([len(x[k]) // 4 for x in cut], np.int64) for k in (0, 1))
+        cut = lookup(keys, self.known, self._cut, REMEMBERED)
+        flat, sizes = np.frombuffer(b"".join(cut), np.uint16), np.array([len(x) // 2 for x in cut], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        a_n = flat[starts].astype(np.int64)
+        b_n = sizes - 1 - a_n
+        a, b = flat[ragged(starts + 1, a_n)].astype(np.int64), flat[ragged(starts + 1 + a_n, b_n)].astype(np.int64)
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         a_at, b_at = np.cumsum(a_n), np.cumsum(b_n)
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
@@ -167,6 +176,11 @@ def aligner(a: str = A_NAME, b: str = B_NAME) -> Aligner:
     return _aligners[a, b]
 
 
+def _places(n: int) -> str:
+    """The type of places among n."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def _sums(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of x up to each end, from the end before."""
     return np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0)
@@ -183,7 +197,7 @@ def token_links(docs: DataFrame, kind: str = "overlap", a: str = A_NAME, b: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(a, b)
         lists = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("weight", pa.int32())]))
-        for block in blocks(batches, 1, BLOCK_BYTES // 4):
+        for block in blocks(batches, 1, BLOCK_BYTES):
             out: dict[str, list] = {n: [] for n in ("doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "links")}
             for doc, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                 rows, ends, at, keys = split_units(pa.array([text or ""]))
@@ -203,13 +217,13 @@ def token_links(docs: DataFrame, kind: str = "overlap", a: str = A_NAME, b: str
 
 
 def aligned_blocks(docs: DataFrame, a: str = A_NAME, b: str = B_NAME) -> DataFrame:
-    """docs(doc_id, text) as a written table of blocks of documents. A row for each document: block, doc_id, its counts, the hash of its groups, and its units as places among the block's distinct ones (32-bit integers). A row for each block besides: its distinct pairs of linked ids with their counts in the block, and the pairs of each distinct unit as places among them. Units are aligned once in a block, so that links aren't worked out again for each of their occurrences."""
+    """docs(doc_id, text) as a written table of blocks of documents. A row for each document: block, doc_id, its counts, the hash of its groups, and its units as places among the block's distinct ones. A row for each block besides: its distinct pairs of linked ids with their counts in the block, and the pairs of each distinct unit as places among them. Units are aligned once in a block, so that links aren't worked out again for each of their occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         al, part = aligner(a, b), TaskContext.get().partitionId()
-        for k, block in enumerate(blocks(batches, 1)):
+        for k, block in enumerate(blocks(batches, 1, BLOCK_BYTES)):
             texts = block.column(1).combine_chunks().fill_null("")
             rows, ends, at, keys = split_units(texts)
             x = al.align(keys)
@@ -223,7 +237,7 @@ def aligned_blocks(docs: DataFrame, a: str = A_NAME, b: str = B_NAME) -> DataFra
             places = at.tolist()
             for i, j, gone in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True):
                 hashes.append("" if gone else hashlib.sha256(b"".join(map(written_groups.__getitem__, places[i:j]))[:-1]).hexdigest())
-                held.append(b"" if gone else at[i:j].astype("<i4").tobytes())
+                held.append(b"" if gone else at[i:j].astype(_places(len(keys))).tobytes())
             pair = x.a[links.rows] << 32 | x.b[links.indices]
             pairs, place = np.unique(pair, return_inverse=True)
             used = np.bincount(at[np.repeat(~bad, np.diff(ends, prepend=0))], minlength=len(keys))
@@ -268,8 +282,8 @@ def alignments(docs: DataFrame, a: str = A_NAME, b: str = B_NAME) -> DataFrame:
         pos = np.asarray(looked_up.column("pos"))
         n[pos], best[pos] = np.asarray(looked_up.column("n")), np.asarray(looked_up.column("best"))
         ends = np.cumsum(widths)
-        held = [np.frombuffer(x, "<i4") for x in docs_.column("units").to_pylist()]
-        units, of_doc = np.concatenate([np.zeros(0, np.int32), *held]), np.cumsum([len(x) for x in held])
+        held = [np.frombuffer(x, _places(len(widths))) for x in docs_.column("units").to_pylist()]
+        units, of_doc = np.concatenate([np.zeros(0, np.uint16), *held]), np.cumsum([len(x) for x in held])
         sums = [pa.array(_sums(_sums(x[places], ends)[units], of_doc).astype(np.int64)) if len(held) else pa.array([], pa.int64()) for x in (best, n)]
         return pa.Table.from_arrays([*(docs_.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *sums, docs_.column("groups_sha256")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 

@@ -90,7 +90,7 @@ def cut_pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZ
         from pyspark import TaskContext
 
         bpe, known, uid = byte_bpe(name, True), {}, TaskContext.get().partitionId() << 36
-        cut = lambda units: [bpe.cut(u) for u in units]
+        cut = lambda units: [np.array(bpe.cut(u), "<u4").tobytes() for u in units]
         ending = np.array([end], "<u4").tobytes()
         for block in blocks(batches, 1):
             rows, ends, at, keys = split_units(block.column(1).combine_chunks().fill_null(""))
@@ -99,7 +99,7 @@ def cut_pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZ
             out: list[list] = [[] for _ in range(7 if ids else 6)]
             for doc, i, j in zip(doc_ids, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 first = natural(keys[places[i]])[1:]  # without the space that was put before the text
-                raw = b"".join([bpe.cut(first) if first else b"", *map(tokens.__getitem__, places[i + 1 : j]), ending])
+                raw = b"".join([*cut([first] if first else []), *map(tokens.__getitem__, places[i + 1 : j]), ending])
                 n = len(raw) // 4
                 starts = [0, *range(n % size or size, n, size)] if n > size else [0]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], n], strict=True)):

@@ -90,11 +90,10 @@ class ByteBpe:
         self.bytes[self.size - 1] = SPECIAL.encode()
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def cut(self, unit: str) -> bytes:
-        """Ids as little-endian 32-bit integers."""
+    def cut(self, unit: str) -> list[int]:
         if SPECIAL not in unit and (unit.isascii() or max(unit) < "\u0500"):
-            return np.array(self.fast.encode_ordinary(unit), "<u4").tobytes()
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.fast.encode_ordinary(unit)
+        return self.tokenizer.encode(unit, add_special_tokens=False).ids
 
 
 class Pieces:
@@ -111,11 +110,10 @@ class Pieces:
             raise ValueError(f"{name} has pieces that reach over units")
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) or self.model.is_unknown(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
 
-    def cut_all(self, units: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers. A unit that begins with a space is given without it; before a newline the model's own space is a piece by itself. The model puts none before an empty text."""
+    def cut_all(self, units: list[str]) -> list[list[int]]:
+        """A unit that begins with a space is given without it; before a newline the model's own space is a piece by itself. The model puts none before an empty text."""
         got = self.model.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        got = [[self.space] if u == " " else x for u, x in zip(units, got, strict=True)]
-        return [np.array(x if u[0] == " " else x[1:], "<u4").tobytes() for u, x in zip(units, got, strict=True)]
+        return [[self.space] if u == " " else x if u[0] == " " else x[1:] for u, x in zip(units, got, strict=True)]
 
 
 @cache
@@ -128,11 +126,11 @@ def piece_model(name: str) -> Pieces:
     return Pieces(name)
 
 
-def lookup(keys: list[str], known: dict, cut) -> list:
+def lookup(keys: list[str], known: dict, cut, most: int = REMEMBERED) -> list:
     """What is known of each key, or else what cut gives for the list of those that aren't."""
     new = [k for k in keys if k not in known]
     if new:
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > most:
             known.clear()
             new = keys
         known.update(zip(new, cut([natural(k) for k in new]), strict=True))
