@@ -51,9 +51,17 @@ def comparable_edge_key(edge_type: Column, from_: Column, to: Column) -> Column:
     return F.format_string("%s:%s->%s", edge_type, comparable_key(from_), comparable_key(to))
 
 
+#: Levels of objects and arrays that a connection_alias value may hold.
+ALIAS_DEPTH = 20
+
+
 def comparable_payload(payload: Column) -> Column:
-    """K5: JSON in canonical order of fields without any connection_alias member; text that isn't JSON stays as it is."""
-    member = r'"connection_alias":(?:"(?:[^"\\]|\\.)*"|null|true|false|-?[0-9.eE+-]+)'
+    """K5: JSON in canonical order of fields without any connection_alias member, whatever the member holds (objects and arrays up to ALIAS_DEPTH levels deep); text that isn't JSON stays as it is."""
+    text, plain = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r'[^\[\]{}"]*+'
+    value = f"{plain}(?:{text}{plain})*+"
+    for _ in range(ALIAS_DEPTH - 1):
+        value = f"{plain}(?:(?:{text}|[\\[{{]{value}[\\]}}]){plain})*+"
+    member = f'"connection_alias":(?:{text}|null|true|false|-?[0-9.eE+-]++|[\\[{{]{value}[\\]}}])'
     canonical = F.to_json(F.try_parse_json(payload))
     return F.coalesce(F.regexp_replace(F.regexp_replace(canonical, member + ",", ""), ",?" + member, ""), payload)
 

@@ -84,9 +84,10 @@ def schema_diff(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> dict[st
 
     A walk with a smaller budget finds a prefix of what one with a larger budget finds. So one bounded walk of all seeds gives each hit's position; then, a pair's seeds in order, each leaves the next what its hits have not used. The fold runs over the sorted list of at most limit seeds of a pair, in one aggregate expression.
     """
-    nodes, edges = node_changes(g, pairs), written(diff_edges(g, pairs), "edge_changes")
+    nodes, edges = written(node_changes(g, pairs), "node_changes"), written(diff_edges(g, pairs), "edge_changes")
     counts = nodes.select("pair", F.concat(F.lit("nodes_"), "change").alias("what")).unionByName(edges.select("pair", F.concat(F.lit("edges_"), "change").alias("what"))).groupBy("pair", "what").agg(F.count("*").alias("n"))
     seeds = impact_seeds(nodes, pairs)
+    n_seeds = seeds.groupBy("pair").agg(F.count("*").alias("impacted_seeds"))
     seeds = seeds.withColumn("k", F.row_number().over(W.partitionBy("pair").orderBy("snapshot_key", "seed"))).where(F.col("k") <= limit)
     walk = impact_bounded(g, seeds.select("snapshot_key", "seed"), "both", IMPACT_DEPTH, limit)
     at = walk.hits.groupBy("snapshot_key", "seed").agg(F.collect_list("position").alias("positions"))
@@ -103,23 +104,16 @@ def schema_diff(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> dict[st
     impact = seeds.join(budgets, ["pair", "k"]).join(walk.hits, ["snapshot_key", "seed"]).where("position <= budget")
     cut = F.coalesce(F.col("truncated") | (F.col("used") > F.col("budget")), F.lit(False))
     seeds = seeds.join(budgets, ["pair", "k"]).join(walk.ends, ["snapshot_key", "seed"], "left").select("pair", "k", "snapshot_key", "seed", "budget", cut.alias("truncated"))
-    return {"nodes": _cut(nodes, limit), "edges": _cut(edges, limit), "counts": counts, "impact": impact, "seeds": seeds}
+    return {"nodes": _cut(nodes, limit), "edges": _cut(edges, limit), "counts": counts, "impact": impact, "seeds": seeds, "n_seeds": n_seeds}
 
 
 COUNTS = ["nodes_added", "nodes_removed", "nodes_changed", "edges_added", "edges_removed"]
 
 
-def diff_counts(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
-    """D7's counts: a row for each pair: six counts (impacted_seeds: the nodes whose impact is asked for), the limit, and whether a list or the seeds are cut."""
-    nodes, edges = written(node_changes(g, pairs), "node_changes"), diff_edges(g, pairs)
-    what = lambda df, kind: df.groupBy("pair", F.concat(F.lit(kind), "change").alias("what")).agg(F.count("*").alias("n"))
-    found = what(nodes, "nodes_").unionByName(what(edges, "edges_")).groupBy("pair").agg(*[F.sum(F.when(F.col("what") == n, F.col("n")).otherwise(0)).alias(n) for n in COUNTS])
-    seeds = impact_seeds(nodes, pairs).groupBy("pair").agg(F.count("*").alias("impacted_seeds"))
-    out = pairs.select("pair").join(found, "pair", "left").join(seeds, "pair", "left").na.fill(0)
-    return out.withColumn("limit_applied", F.lit(limit)).withColumn("truncated", F.greatest(*COUNTS, "impacted_seeds") > limit)
-
-
 def diff_envelope(g: Graph, pairs: DataFrame, limit: int = MAX_RESULTS) -> DataFrame:
-    """diff_counts, truncated also where the impact of a seed is cut."""
-    cut = schema_diff(g, pairs, limit)["seeds"].groupBy("pair").agg(F.bool_or("truncated").alias("impact_cut"))
-    return diff_counts(g, pairs, limit).join(cut, "pair", "left").withColumn("truncated", F.col("truncated") | F.coalesce("impact_cut", F.lit(False))).drop("impact_cut")
+    """A row for each pair: six counts (impacted_seeds: the nodes whose impact is asked for), the limit, and whether a list or the seeds are cut, or the impact of a seed that is walked from, which impact_truncated tells apart."""
+    parts = schema_diff(g, pairs, limit)
+    found = parts["counts"].groupBy("pair").agg(*[F.sum(F.when(F.col("what") == n, F.col("n")).otherwise(0)).alias(n) for n in COUNTS])
+    cut = parts["seeds"].groupBy("pair").agg(F.bool_or("truncated").alias("impact_truncated"))
+    out = pairs.select("pair").join(found, "pair", "left").join(parts["n_seeds"], "pair", "left").na.fill(0).join(cut, "pair", "left").na.fill(False)
+    return out.withColumn("limit_applied", F.lit(limit)).withColumn("truncated", (F.greatest(*COUNTS, "impacted_seeds") > limit) | F.col("impact_truncated"))

@@ -249,16 +249,6 @@ def open_dependencies(x: Extract, c: Canonical, vendor: str) -> DataFrame:
     return rows.select("snapshot_key", F.lit("dependency_closure_unproven").alias("code"), F.col("key").alias("object_key"), F.lit("no catalog proves what this body uses").alias("message"))
 
 
-def discovered_objects(x: Extract) -> DataFrame:
-    """(snapshot_key, category, discovered, evidence) from the raw tables alone."""
-    base, view = "TABLE_TYPE not in ('VIEW', 'SYSTEM VIEW')", "TABLE_TYPE = 'VIEW'"
-    own = x["tables"].where(base).select("snapshot_key", "TABLE_SCHEMA", "TABLE_NAME")
-    counted = [(x["databases"], "database", "one database for each snapshot"), (x["tables"].select("snapshot_key", "TABLE_SCHEMA").distinct(), "schema", "distinct TABLES.TABLE_SCHEMA"), (x["tables"].where(base), "table", "TABLES"), (x["tables"].where(view), "view", "TABLES of type VIEW"), (x["columns"].join(own, ["snapshot_key", "TABLE_SCHEMA", "TABLE_NAME"], "left_semi"), "column", "COLUMNS of tables"), (x["statistics"].select("snapshot_key", "TABLE_SCHEMA", "TABLE_NAME", "INDEX_NAME").distinct(), "index", "distinct STATISTICS.INDEX_NAME"), (x["triggers"].select("snapshot_key", "EVENT_OBJECT_SCHEMA", "EVENT_OBJECT_TABLE", "TRIGGER_NAME").distinct(), "trigger", "distinct TRIGGERS.TRIGGER_NAME"), (x["routines"], "routine", "ROUTINES")]
-    for kind, name in CONSTRAINT_TYPES.items():
-        counted.append((x["table_constraints"].where(F.col("CONSTRAINT_TYPE") == kind), KEY_KINDS[name], "TABLE_CONSTRAINTS"))
-    return reduce(DataFrame.unionByName, [df.groupBy("snapshot_key").agg(F.count("*").alias("discovered")).select("snapshot_key", F.lit(category).alias("category"), "discovered", F.lit(evidence).alias("evidence")) for df, category, evidence in counted])
-
-
 def large_texts(x: Extract) -> DataFrame:
     """Definitions over 1 MiB."""
     fields = [("views", "VIEW_DEFINITION", ["TABLE_SCHEMA", "TABLE_NAME"]), ("routines", "ROUTINE_DEFINITION", ["ROUTINE_SCHEMA", "ROUTINE_NAME"]), ("triggers", "ACTION_STATEMENT", ["EVENT_OBJECT_SCHEMA", "TRIGGER_NAME"])]

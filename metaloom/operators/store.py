@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import alias_of, contains_ascii_ci, edge_priority, kind_label, parse_key
 from ..plans.model import LABELS, OTHER_LABEL, Graph
+from .proof import Proof, authority, completeness
 
 PAGE, MOST = 100, 500
 
@@ -20,39 +24,68 @@ PAGE, MOST = 100, 500
 BUCKETS = 16
 
 
-def _manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("snapshot_key string, generation string, number long").parquet(f"{path}/manifest/*")
+# The tables of a stored graph: their place in it, and the column that they are sorted by within a snapshot.
+STORED = {"snapshots": "snapshot_key", "nodes": "node_key", "edges": "edge_from", "proof_heads": "adapter", "proof_counts": "position", "proof_checks": "position"}
+MANIFEST = "snapshot_key string, generation string, number long, writer string"
 
 
-def write_snapshot(g: Graph, path: str, generation: str, accepted: DataFrame | None = None) -> None:
-    """Whole snapshots replace those of the same key. Each table goes to a folder of its own for the generation, in buckets of snapshots and sorted by snapshot, so that readers prune by statistics; a manifest row for each snapshot, written last with a number above all before, is what readers go by, so that a failed write leaves the generation before in force. accepted: P6's verdicts; snapshots that it refuses aren't written. Writers take turns."""
-    spark = g.nodes.sparkSession
-    keep = None if accepted is None else accepted.where("accepted").select("snapshot_key")
-    for name, order in (("snapshots", "snapshot_key"), ("nodes", "node_key"), ("edges", "edge_from")):
-        df = getattr(g, name)
-        df = df if keep is None else df.join(keep, "snapshot_key", "left_semi")
-        df = df.withColumn("bucket", F.pmod(F.xxhash64("snapshot_key"), F.lit(BUCKETS)).cast("int"))
-        df.repartitionByRange("bucket", "snapshot_key", order).sortWithinPartitions("bucket", "snapshot_key", order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}/generation={generation}")
+def _tables(g: Graph) -> dict[str, DataFrame]:
+    own = {"snapshots": g.snapshots, "nodes": g.nodes, "edges": g.edges}
+    return own if g.proof is None else own | {"proof_heads": g.proof.heads, "proof_counts": g.proof.counts, "proof_checks": g.proof.checks}
+
+
+def _found(read, *, otherwise):
     try:
-        number = (_manifest(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+        return read()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        number = 1
-    rows = g.snapshots if keep is None else g.snapshots.join(keep, "snapshot_key", "left_semi")
-    rows.select("snapshot_key", F.lit(generation).alias("generation"), F.lit(number).cast("long").alias("number")).write.mode("overwrite").parquet(f"{path}/manifest/at={number}")
+        return otherwise
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest/*")
+
+
+def write_snapshot(g: Graph, path: str, generation: str, accepted: DataFrame | None = None) -> None:
+    """Whole snapshots, with their proofs if g has them, replace those of the same key. accepted: P6's verdicts; snapshots that it refuses aren't written.
+
+    Each table goes to a folder of its own for this write, in buckets of snapshots and sorted by snapshot, so that readers prune by statistics. A manifest row for each snapshot, written last and as one file, is what readers go by: a failed write leaves the generation before in force. Nothing is ever overwritten, neither by a generation name that is used again nor by a writer at the same time: a write's folder and manifest have a unique name, its number is above all it has seen, and of writers with the same number the one with the greater name counts as the later.
+    """
+    spark, writer = g.nodes.sparkSession, uuid.uuid4().hex
+    unique = f"{generation}-{writer}"
+    keep = None if accepted is None else accepted.where("accepted").select("snapshot_key")
+    kept = lambda df: df if keep is None else df.join(keep, "snapshot_key", "left_semi")
+    for name, df in _tables(g).items():
+        df = kept(df).withColumn("bucket", F.pmod(F.xxhash64("snapshot_key"), F.lit(BUCKETS)).cast("int"))
+        order = ["bucket", "snapshot_key", STORED[name]]
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{name}/generation={unique}")
+    number = _found(lambda: _manifest(spark, path).agg(F.max("number")).first()[0] or 0, otherwise=0) + 1
+    rows = kept(g.snapshots).select("snapshot_key", F.lit(unique).alias("generation"), F.lit(number).cast("long").alias("number"), F.lit(writer).alias("writer"))
+    rows.coalesce(1).write.parquet(f"{path}/manifest/at={number}-{writer}")
+
+
+def in_force(spark: SparkSession, path: str) -> DataFrame:
+    """(snapshot_key, generation): the latest write of each snapshot."""
+    return _manifest(spark, path).groupBy("snapshot_key").agg(F.max_by("generation", F.struct("number", "writer")).alias("generation"))
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
-    """The graph of the newest generation of each snapshot, by the numbers in the manifest, which also names the generations to read."""
-    manifest = _manifest(spark, path).groupBy("snapshot_key").agg(F.max_by("generation", "number").alias("generation"))
-    generations = [r[0] for r in manifest.select("generation").distinct().collect()]
+    """The graph of the latest write of each snapshot, with its proofs where any write has them. The manifest is joined by generation, which the folders are partitioned by, so that Spark prunes them; no list of generations passes through the driver."""
+    manifest = in_force(spark, path)
+
+    def read(name: str) -> DataFrame | None:
+        rows = _found(lambda: spark.read.parquet(f"{path}/{name}"), otherwise=None)
+        return rows and rows.withColumn("generation", F.col("generation").cast("string")).join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation", "bucket")
+
+    got = {name: read(name) for name in STORED}
+    proof = None if got["proof_heads"] is None else Proof(got["proof_heads"], got["proof_counts"], got["proof_checks"])
+    return Graph(got["snapshots"], got["nodes"], got["edges"], proof)
 
-    def read(name: str) -> DataFrame:
-        rows = spark.read.option("basePath", f"{path}/{name}").parquet(*[f"{path}/{name}/generation={x}" for x in generations])
-        return rows.withColumn("generation", F.col("generation").cast("string")).join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation", "bucket")
 
-    return Graph(read("snapshots"), read("nodes"), read("edges"))
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """What is in force under path, as one write under to: a store that was written snapshot by snapshot gets few folders again."""
+    write_snapshot(read_graph(spark, path), to, "compact")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -65,19 +98,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
 
 
 def delete_snapshot(g: Graph, keys: DataFrame) -> Graph:
-    """Snapshots of keys(snapshot_key) with all of their nodes and edges."""
-    return Graph(*[df.join(keys, "snapshot_key", "left_anti") for df in (g.snapshots, g.nodes, g.edges)])
+    """Snapshots of keys(snapshot_key) with all of their nodes and edges, and their proofs."""
+    without = lambda df: df.join(keys, "snapshot_key", "left_anti")
+    proof = g.proof and Proof(*[without(df) for df in (g.proof.heads, g.proof.counts, g.proof.checks)])
+    return Graph(*[without(df) for df in (g.snapshots, g.nodes, g.edges)], proof)
 
 
 def delete_nodes(g: Graph, keys: DataFrame) -> Graph:
     """Nodes of keys(snapshot_key, node_key), and the edges at them."""
     at = lambda end: keys.select("snapshot_key", F.col("node_key").alias(end))
     edges = g.edges.join(at("edge_from"), ["snapshot_key", "edge_from"], "left_anti").join(at("edge_to"), ["snapshot_key", "edge_to"], "left_anti").select(*g.edges.columns)
-    return Graph(g.snapshots, g.nodes.join(keys, ["snapshot_key", "node_key"], "left_anti"), edges)
+    return replace(g, nodes=g.nodes.join(keys, ["snapshot_key", "node_key"], "left_anti"), edges=edges)
 
 
 def delete_edges(g: Graph, keys: DataFrame) -> Graph:
-    return Graph(g.snapshots, g.nodes, g.edges.join(keys, ["snapshot_key", "edge_key"], "left_anti"))
+    return replace(g, edges=g.edges.join(keys, ["snapshot_key", "edge_key"], "left_anti"))
 
 
 def to_json_rows(df: DataFrame, *keep: str) -> DataFrame:
@@ -176,14 +211,25 @@ def describe_objects(g: Graph, keys: DataFrame, n: int = PAGE) -> DataFrame:
 
 
 def list_snapshots(g: Graph) -> DataFrame:
-    """Snapshots by key with authority and counts."""
-    return authority(g.snapshots).join(counts(g), "snapshot_key").orderBy("snapshot_key")
-
-
-def authority(snapshots: DataFrame) -> DataFrame:
-    """Complete where the stored JSON has a contract version, else legacy_non_authoritative."""
-    version = F.get_json_object("payload_json", "$.contract_version")
-    return snapshots.select("snapshot_key", "source", "captured_at_unix_ms", F.when(version.isNotNull(), "complete").otherwise("legacy_non_authoritative").alias("authority"))
+    """Snapshots by key with authority (L14), counts, and the identity that a proof has verified."""
+    rows = g.snapshots.select("snapshot_key", "source", "captured_at_unix_ms").join(authority(g).drop("issues"), "snapshot_key").join(counts(g), "snapshot_key")
+    identity = ["adapter", "server", "server_version"]
+    if g.proof is None:
+        rows = rows.select("*", *[F.lit(None).cast("string").alias(x) for x in identity])
+    else:
+        proven = F.col("authority") == "complete"
+        rows = rows.join(g.proof.heads.select("snapshot_key", *identity), "snapshot_key", "left").select(*rows.columns, *[F.when(proven, F.col(x)).alias(x) for x in identity])
+    alias = alias_of(F.col("snapshot_key"))
+    return rows.select("snapshot_key", "contract_version", "authority", F.split("snapshot_key", ":")[0].alias("entrypoint_source"), "source", alias.alias("alias"), "captured_at_unix_ms", F.col("nodes").alias("objects"), F.col("edges").alias("relationships"), *identity).orderBy("snapshot_key")
+
+
+def describe_snapshots(g: Graph, selectors: DataFrame) -> DataFrame:
+    """selectors(selector) -> (selector, status, the columns of L11, completeness, issues): the proof as JSON where the snapshot is complete by it, and why not where it can't be verified."""
+    found = resolve_snapshots(g, selectors).drop("candidates")
+    rows = found.join(list_snapshots(g), "snapshot_key", "left").join(authority(g).select("snapshot_key", "issues"), "snapshot_key", "left")
+    if g.proof is None:
+        return rows.withColumn("completeness", F.lit(None).cast("string"))
+    return rows.join(completeness(g), "snapshot_key", "left").withColumn("completeness", F.when(F.col("authority") == "complete", F.col("completeness")))
 
 
 def resolve_snapshots(g: Graph, selectors: DataFrame) -> DataFrame:

@@ -42,6 +42,13 @@ def _steps(edges: DataFrame, direction: str, bounded: bool) -> DataFrame:
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def _first_steps(edges: DataFrame, direction: str, limit: int) -> DataFrame:
+    """Of each node the first limit + 1 steps by (priority, edge_key), a written table: no walk with that budget gets further into a node, so that a hub costs each walk that reaches it limit + 1 rows and not all of its edges."""
+    steps = _steps(edges, direction, bounded=True)
+    place = F.row_number().over(W.partitionBy("snapshot_key", "at").orderBy("rank", "edge_key"))
+    return _kept(steps.withColumn("_place", place).where(F.col("_place") <= limit + 1).drop("_place"))
+
+
 def existing(g: Graph, seeds: DataFrame) -> DataFrame:
     """seeds(snapshot_key, seed) that are nodes."""
     return seeds.select(*SEED).distinct().join(g.nodes.select("snapshot_key", F.col("node_key").alias("seed")), SEED, "left_semi")
@@ -97,7 +104,7 @@ def _labelled(g: Graph, found: DataFrame) -> DataFrame:
 def impact_bounded(g: Graph, seeds: DataFrame, direction: str = "both", depth: int = 3, limit: int = MAX_RESULTS) -> Bounded:
     """As impact_many, but a seed has a budget of limit fetched edges: a level's edges count in order of (parent, priority, edge_key), those to visited nodes too; where they exceed what is left, the rest is cut and the walk ends. position counts a hit's edge among all fetched."""
     limit = min(limit, MAX_RESULTS)
-    steps, frontier = _steps(g.edges, direction, bounded=True), _kept(_first_level(g, seeds))
+    steps, frontier = _first_steps(g.edges, direction, limit), _kept(_first_level(g, seeds))
     visited, found = frontier.select(*SEED, "node"), None
     ends = frontier.select(*SEED, F.lit(0).cast("long").alias("used"), F.lit(False).alias("truncated"))
     for k in range(1, min(depth, MAX_DEPTH) + 1):
@@ -147,7 +154,7 @@ def trace_many(g: Graph, seeds: DataFrame, direction: str = "both", depth: int =
 def trace_bounded(g: Graph, seeds: DataFrame, direction: str = "both", depth: int = 3, limit: int = MAX_RESULTS) -> Bounded:
     """As trace_many, with the budget of impact_bounded; edges to nodes on the path use it up too."""
     limit = min(limit, MAX_RESULTS)
-    steps, frontier = _steps(g.edges, direction, bounded=True), _kept(_paths(g, seeds))
+    steps, frontier = _first_steps(g.edges, direction, limit), _kept(_paths(g, seeds))
     ends = frontier.select(*SEED, F.lit(0).cast("long").alias("used"), F.lit(False).alias("truncated"))
     found = frontier.where("false").select(*SEED, F.lit(0).alias("depth"), "path", F.lit(0).cast("long").alias("position"))
     for k in range(1, min(depth, MAX_DEPTH) + 1):
@@ -166,7 +173,7 @@ def filtered_traversal(g: Graph, seeds: DataFrame, direction: str = "both", dept
     """A seed's budget counts hits, not edges. Parents are taken in order; the first that has more edges than hits are left, or that comes up when none is left, ends the walk: its first edges up to what is left still count. The type is filtered before anything is bounded."""
     limit, depth = min(limit, MAX_QUERY), min(depth, MAX_DEPTH)
     edges = g.edges if edge_type is None else g.edges.where(F.col("edge_type") == edge_type)
-    steps, frontier = _steps(edges, direction, bounded=True), _kept(_first_level(g, seeds))
+    steps, frontier = _first_steps(edges, direction, limit), _kept(_first_level(g, seeds))
     visited, found = frontier.select(*SEED, "node"), None
     ends = frontier.select(*SEED, F.lit(0).cast("long").alias("used"), F.lit(False).alias("truncated"))
     for k in range(1, depth + 1):

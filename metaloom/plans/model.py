@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:
+    from ..operators.proof import Proof
+
 KEY_PARTS = ["source_kind", "connection_alias", "database", "schema", "object_kind", "object_name", "sub_object"]
 
 # Object kinds and the graph's node labels for them.
@@ -163,8 +167,9 @@ class Canonical:
 
 @dataclass
 class Graph:
-    """The property graph of any number of snapshots."""
+    """The property graph of any number of snapshots, and the proofs stored with it, if any."""
 
     snapshots: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    proof: Proof | None = None

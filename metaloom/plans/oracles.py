@@ -87,13 +87,13 @@ def over_both(select: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([fleet().strip(), fleet(2, "2").strip(), *ctes]) + "\n" + select
 
 
-def levels(seeds: str, depth: int, direction: str = "both") -> list[str]:
+def levels(seeds: str, depth: int, direction: str = "both", edges: str = "edges") -> list[str]:
     """CTEs hop0 .. hopN of an unbounded walk: (sk, seed, node, ord, edge_key, edge_type, depth), each node at its first level by its first edge in queue order."""
     sides = []
     if direction in ("outbound", "both"):
-        sides.append("SELECT sk, edge_from AS at, edge_to AS nxt, 0 AS rank, edge_key, edge_type FROM edges")
+        sides.append(f"SELECT sk, edge_from AS at, edge_to AS nxt, 0 AS rank, edge_key, edge_type FROM {edges}")
     if direction in ("inbound", "both"):
-        sides.append(f"SELECT sk, edge_to AS at, edge_from AS nxt, {1 if direction == 'both' else 0} AS rank, edge_key, edge_type FROM edges")
+        sides.append(f"SELECT sk, edge_to AS at, edge_from AS nxt, {1 if direction == 'both' else 0} AS rank, edge_key, edge_type FROM {edges}")
     out = [f"steps AS ({' UNION ALL '.join(sides)})", f"hop0 AS (SELECT sk, seed, seed AS node, []::VARCHAR[] AS ord, NULL::VARCHAR AS edge_key, NULL::VARCHAR AS edge_type, 0 AS depth FROM ({seeds}) s)"]
     for k in range(1, depth + 1):
         seen = " UNION ALL ".join(f"SELECT sk, seed, node FROM hop{i}" for i in range(k))

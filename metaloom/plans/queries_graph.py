@@ -12,6 +12,7 @@ from ..operators import mapping as M
 from ..operators import postgres as PG
 from ..operators import project as P
 from ..operators import validate as V
+from ..operators.discover import discovered
 from ..plans.model import OBJECT_CATEGORIES, RELATION_CATEGORIES, Canonical
 from .fleet import catalog, graph
 from .oracles import over_fleet
@@ -97,7 +98,6 @@ def _untidy(c: Canonical) -> Canonical:
 _mapped("b27_normalise", lambda s, d: (lambda c: c.views.select("key", join("depends_on").alias("items")).unionByName(c.triggers.select("key", join("events").alias("items"))))(M.normalise(_untidy(catalog(s, d)))), "SELECT vw.key, coalesce(string_agg(dep, '|' ORDER BY dep), '') AS items FROM vw LEFT JOIN vdep USING (key) GROUP BY ALL UNION ALL SELECT key, (SELECT string_agg(DISTINCT event_type, '|' ORDER BY event_type) FROM events WHERE user_id = ck) FROM tr")
 _mapped("b28_unstable", lambda s, d: M.unstable(_extract(s, d), _shifted(s, d)), "SELECT sk AS snapshot_key, 'columns' AS table_name, 2 * count(*) AS rows FROM col WHERE ok % 501 = 0 GROUP BY ALL UNION ALL SELECT sk, 'statistics', 2 * count(*) FROM col WHERE ok % 11 = 0 GROUP BY ALL")
 _mapped("b29_open_dependencies", lambda s, d: M.open_dependencies({}, catalog(s, d), "mysql").select("code", "object_key"), "SELECT 'dependency_closure_unproven' AS code, key AS object_key FROM rt UNION ALL SELECT 'dependency_closure_unproven', key FROM tr")
-_mapped("b30_discovered_objects", lambda s, d: M.discovered_objects(_extract(s, d)).select("snapshot_key", "category", "discovered"), "SELECT sk AS snapshot_key, lower(regexp_replace(label, '([a-z])([A-Z])', '\\1_\\2', 'g')) AS category, count(*) AS discovered FROM nodes WHERE label <> 'Schema' GROUP BY ALL UNION ALL SELECT sk, 'schema', count(*) FROM nat WHERE nk IN (SELECT nk FROM cust UNION SELECT nk FROM vw) GROUP BY ALL")
 
 
 def _large(s, d):
@@ -297,20 +297,22 @@ def _certified(name: str, f, sql: str):
 
 
 def _discovered(s, d):
-    """Independent counts; tables are counted one too many in two regions, triggers not at all in one, columns without evidence in another."""
-    x = M.discovered_objects(_extract(s, d))
-    x = x.withColumn("discovered", F.col("discovered") + ((F.col("category") == "table") & F.col("snapshot_key").isin("tpch:ASIA", "tpch:EUROPE")).cast("long"))
-    x = x.withColumn("evidence", F.when((F.col("category") == "column") & (F.col("snapshot_key") == "tpch:AFRICA"), " ").otherwise(F.col("evidence")))
-    return x.where("category <> 'schema' and not (category = 'trigger' and snapshot_key = 'tpch:AMERICA')")
+    """Independent counts; tables are counted one too many in two regions, index columns in one, triggers and view dependencies not at all in one, columns and routines without evidence in another."""
+    at = lambda *names: F.col("snapshot_key").isin(*[f"tpch:{n}" for n in names])
+    of = lambda *names: F.col("category").isin(*names)
+    more = ((of("table") & at("ASIA", "EUROPE")) | (of("index_column") & at("EUROPE"))).cast("long")
+    blank = of("column", "schema_has_routine") & at("AFRICA")
+    seen = [x.withColumn("discovered", F.col("discovered") + more).withColumn("evidence", F.when(blank, " ").otherwise(F.col("evidence"))) for x in discovered(_pg(s, d), "postgres")]
+    return [x.where(~(of("trigger", "view_dependency") & at("AMERICA"))) for x in seen]
 
 
-_ISSUES = "issues AS (SELECT sk, 'object_count_mismatch' AS code, 'object_counts.table' AS subject FROM reg WHERE sk IN ('tpch:ASIA', 'tpch:EUROPE') UNION ALL SELECT sk, 'discovery_evidence_missing', 'object_counts.column' FROM reg WHERE sk = 'tpch:AFRICA' UNION ALL SELECT sk, 'discovered_count_missing', 'object_counts.trigger' FROM reg WHERE sk = 'tpch:AMERICA')"
+_ISSUES = "issues AS (SELECT 'tpch:' || n AS sk, code, subject FROM (VALUES ('ASIA', 'object_count_mismatch', 'object_counts.table'), ('EUROPE', 'object_count_mismatch', 'object_counts.table'), ('EUROPE', 'relationship_count_mismatch', 'relationship_counts.index_column'), ('AFRICA', 'discovery_evidence_missing', 'object_counts.column'), ('AFRICA', 'discovery_evidence_missing', 'relationship_counts.schema_has_routine'), ('AMERICA', 'discovered_count_missing', 'object_counts.trigger'), ('AMERICA', 'discovered_relationship_count_missing', 'relationship_counts.view_dependency')) v(n, code, subject))"
 
 
 def _reconciled(s, d):
-    seen = _discovered(s, d)
-    emitted = C.emitted_objects(catalog(s, d)).where("emitted > 0 and category <> 'schema'")
-    return C.reconcile(seen, emitted)
+    c = catalog(s, d)
+    objects, relations = _discovered(s, d)
+    return C.reconcile(objects, C.emitted_objects(c)).unionByName(C.reconcile(relations, C.emitted_relations(c), "relationship"))
 
 
 _certified("c1_emitted_objects", lambda s, d: C.emitted_objects(catalog(s, d)), "SELECT sk AS snapshot_key, category, emitted FROM objects")
@@ -323,13 +325,13 @@ def _proof(s, d):
     names = F.array_sort(F.collect_list(F.split("key", ":")[3]))
     p = catalog(s, d).schemas.groupBy("snapshot_key").agg(names.alias("schemas"))
     asia, europe = F.col("snapshot_key") == "tpch:ASIA", F.col("snapshot_key") == "tpch:EUROPE"
-    proofs = p.select("snapshot_key", F.when(asia, "").otherwise("retail").alias("adapter"), F.lit("1").alias("adapter_version"), F.lit("srv").alias("server"), F.lit("9").alias("server_version"), F.when(europe, F.array().cast("array<string>")).otherwise(F.array(F.lit("w"))).alias("catalogs"), F.when(asia, F.reverse("schemas")).otherwise(F.col("schemas")).alias("schemas"))
+    proofs = p.select("snapshot_key", F.when(asia, "").otherwise("retail").alias("adapter"), F.lit("1").alias("adapter_version"), F.lit("srv").alias("server"), F.lit("9").alias("server_version"), F.when(europe, F.array().cast("array<string>")).when(F.col("snapshot_key") == "tpch:AMERICA", F.array(F.lit(" "))).otherwise(F.array(F.lit("w"))).alias("catalogs"), F.when(asia, F.reverse("schemas")).otherwise(F.col("schemas")).alias("schemas"))
     checks = p.select("snapshot_key", F.posexplode(F.when(europe, F.array(F.lit("b"), F.lit("a"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))).alias("position", "name"), F.lit("seen").alias("evidence")).where("snapshot_key <> 'tpch:AFRICA'")
     return proofs, checks
 
 
 Q["c4_check_proof"] = lambda s, d: C.check_proof(*_proof(s, d)).select("snapshot_key", "code", "subject")
-SQL["c4_check_proof"] = "SELECT 'tpch:' || r_name AS snapshot_key, code, subject FROM region JOIN (VALUES ('ASIA', 'proof_value_missing', 'adapter'), ('ASIA', 'scope_not_canonical', 'scope.schemas'), ('EUROPE', 'scope_missing', 'scope.catalogs'), ('EUROPE', 'duplicate_capability_check', 'capability_checks.a'), ('EUROPE', 'capability_checks_not_canonical', 'capability_checks'), ('AFRICA', 'capability_proof_missing', 'capability_checks')) v(n, code, subject) ON n = r_name"
+SQL["c4_check_proof"] = "SELECT 'tpch:' || r_name AS snapshot_key, code, subject FROM region JOIN (VALUES ('ASIA', 'proof_value_missing', 'adapter'), ('ASIA', 'scope_not_canonical', 'scope.schemas'), ('EUROPE', 'scope_missing', 'scope.catalogs'), ('EUROPE', 'duplicate_capability_check', 'capability_checks.a'), ('EUROPE', 'capability_checks_not_canonical', 'capability_checks'), ('AFRICA', 'capability_proof_missing', 'capability_checks'), ('AMERICA', 'scope_value_missing', 'scope.catalogs')) v(n, code, subject) ON n = r_name"
 
 
 def c5_check_capabilities(s, d):
@@ -351,12 +353,13 @@ def c6_verify_stored(s, d):
     p = proof(o, "object", OBJECT_CATEGORIES).unionByName(proof(r, "relationship", RELATION_CATEGORIES))
     at = lambda n: F.col("snapshot_key") == f"tpch:{n}"
     p = p.withColumn("contract_version", F.when(at("ASIA"), 1).otherwise(2)).withColumn("emitted", F.col("emitted") + (at("EUROPE") & (F.col("category") == "view")).cast("long"))
-    p = p.where(~(at("AFRICA") & (F.col("category") == "event"))).unionByName(p.where(at("AMERICA") & (F.col("category") == "index_column")))
+    p = p.where(~(at("AFRICA") & F.col("category").isin("event", "trigger_target"))).unionByName(p.where(at("AMERICA") & F.col("category").isin("index_column", "view")))
+    p = p.withColumn("position", F.when(at("EUROPE") & (F.col("category") == "database"), 99).otherwise(F.col("position"))).withColumn("discovered", F.col("discovered") + (at("EUROPE") & (F.col("category") == "index_column")).cast("long"))
     return C.verify_stored(p, o, r).select("snapshot_key", "code", "subject")
 
 
 Q["c6_verify_stored"] = c6_verify_stored
-SQL["c6_verify_stored"] = "SELECT 'tpch:' || r_name AS snapshot_key, code, subject FROM region JOIN (VALUES ('ASIA', 'unsupported_contract_version', 'contract_version'), ('EUROPE', 'object_count_mismatch', 'object_counts.view'), ('AFRICA', 'object_count_missing', 'object_counts.event'), ('AMERICA', 'duplicate_relationship_count', 'relationship_counts.index_column')) v(n, code, subject) ON n = r_name"
+SQL["c6_verify_stored"] = "SELECT 'tpch:' || r_name AS snapshot_key, code, subject FROM region JOIN (VALUES ('ASIA', 'unsupported_contract_version', 'contract_version'), ('EUROPE', 'object_count_mismatch', 'object_counts.view'), ('EUROPE', 'relationship_count_mismatch', 'relationship_counts.index_column'), ('EUROPE', 'snapshot_not_canonical', 'object_counts'), ('AFRICA', 'object_count_missing', 'object_counts.event'), ('AFRICA', 'relationship_count_missing', 'relationship_counts.trigger_target'), ('AMERICA', 'duplicate_object_count', 'object_counts.view'), ('AMERICA', 'duplicate_relationship_count', 'relationship_counts.index_column')) v(n, code, subject) ON n = r_name"
 Q["c7_verdict"] = lambda s, d: C.verdict(catalog(s, d).databases, _reconciled(s, d))
 SQL["c7_verdict"] = over_fleet("SELECT reg.sk AS snapshot_key, CASE WHEN count(code) > 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN count(*) FILTER (code LIKE '%count%') > 0 THEN 'completeness_mismatch' WHEN count(code) > 0 THEN 'validation_failed' END AS code, count(code) AS issues FROM reg LEFT JOIN issues USING (sk) GROUP BY reg.sk", _ISSUES)
 

@@ -68,11 +68,11 @@ SQL["k4_comparable_edge_key"] = over_fleet("SELECT edge_key, edge_type || ':' ||
 
 def k5_comparable_payload(spark, sf):
     o = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    json = F.format_string('{"z": %d, "key": {"connection_alias": "a \\"%s\\"", "n": [1, 2]}, "connection_alias": null}', "o_orderkey", "o_orderpriority")
+    json = F.format_string('{"z": %d, "key": {"connection_alias": "a \\"%s\\"", "n": [1, 2]}, "m": {"connection_alias": {"x": ["}", {"y": [1]}], "w": "%s"}, "k": true}, "connection_alias": null}', "o_orderkey", "o_orderpriority", "o_orderpriority")
     return o.select("o_orderkey", K.comparable_payload(json).alias("payload"), K.comparable_payload(F.lit("not json")).alias("other"))
 
 
-SQL["k5_comparable_payload"] = """SELECT o_orderkey, '{"key":{"n":[1,2]},"z":' || o_orderkey || '}' AS payload, 'not json' AS other FROM orders"""
+SQL["k5_comparable_payload"] = """SELECT o_orderkey, '{"key":{"n":[1,2]},"m":{"k":true},"z":' || o_orderkey || '}' AS payload, 'not json' AS other FROM orders"""
 
 
 def k6_kind_label(spark, sf):

@@ -102,15 +102,6 @@ _q("l9_object_summary", lambda s, d: S.object_summary(graph(s, d).nodes.withColu
 _q("l10_describe_objects", lambda s, d: (lambda g: S.describe_objects(g, g.nodes.where("label = 'View'").select("snapshot_key", "node_key"), 10).select("node_key", "direction", "place", "edge_type", "related_key", "related_label", "truncated"))(graph(s, d)), over_fleet(f"SELECT node_key, direction, place::INTEGER AS place, edge_type, related_key, label AS related_label, truncated FROM (SELECT own AS node_key, direction, edge_type, other AS related_key, row_number() OVER w AS place, count(*) OVER (PARTITION BY own, direction) > 10 AS truncated FROM (SELECT edge_from AS own, edge_to AS other, 'outbound' AS direction, edge_type, edge_key FROM edges UNION ALL SELECT edge_to, edge_from, 'inbound', edge_type, edge_key FROM edges) JOIN vw ON vw.key = own WINDOW w AS (PARTITION BY own, direction ORDER BY {PRIORITY}, edge_key)) x JOIN (SELECT node_key AS k, label FROM nodes) n ON k = related_key WHERE place <= 10"))
 
 
-def _versions(s, d):
-    g = graph(s, d)
-    snap = g.snapshots.withColumn("payload_json", F.when(F.col("snapshot_key") < "tpch:B", F.concat(F.expr("left(payload_json, length(payload_json) - 1)"), F.lit(',"contract_version":2}'))).otherwise(F.col("payload_json")))
-    return Graph(snap, g.nodes, g.edges)
-
-
-_q("l11_list_snapshots", lambda s, d: S.list_snapshots(_versions(s, d)), over_fleet("SELECT sk AS snapshot_key, 'tpch' AS source, 0::BIGINT AS captured_at_unix_ms, CASE WHEN sk < 'tpch:B' THEN 'complete' ELSE 'legacy_non_authoritative' END AS authority, (SELECT count(*) FROM nodes n WHERE n.sk = reg.sk) AS nodes, (SELECT count(*) FROM edges e WHERE e.sk = reg.sk) AS edges FROM reg"))
-
-
 def l13_resolve_snapshots(s, d):
     g, r = graph(s, d), s.read.parquet(f"{d}/region.parquet")
     twin = g.snapshots.where("snapshot_key = 'tpch:ASIA'").withColumn("snapshot_key", F.lit("pg:ASIA"))
@@ -224,7 +215,15 @@ def _all_nodes(g, pairs):
 
 
 _q("d4_impact_seeds", lambda s, d: (lambda g, p: D.impact_seeds(_all_nodes(g, p), p))(_two(s, d), _pairs(s, d)), over_both(f"SELECT DISTINCT {_PAIR}, CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS snapshot_key, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed)", *_DIFF))
-_q("d5_diff_impact", lambda s, d: (lambda g, p: D.diff_impact(g, D.impact_seeds(_all_nodes(g, p), p), 1).groupBy("snapshot_key", "edge_type", "label").agg(F.count("*").alias("n")))(_two(s, d), _pairs(s, d)), over_both("SELECT sk AS snapshot_key, edge_type, label, count(*) AS n FROM (SELECT s.sk, s.seed, e.node, edge_type, row_number() OVER (PARTITION BY s.sk, s.seed, e.node ORDER BY dir, edge_key) AS k FROM (SELECT DISTINCT CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS sk, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed)) s JOIN (SELECT sk, edge_from AS at, edge_to AS node, edge_type, edge_key, 0 AS dir FROM alle UNION ALL SELECT sk, edge_to, edge_from, edge_type, edge_key, 1 FROM alle) e ON e.sk = s.sk AND e.at = s.seed) h JOIN (SELECT node_key, label FROM nodes UNION ALL SELECT node_key, label FROM nodes2) n ON n.node_key = h.node WHERE k = 1 GROUP BY ALL", *_DIFF, "alle AS (SELECT * FROM edges UNION ALL SELECT * FROM edges2)"))
+_CHANGES = "SELECT DISTINCT CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS sk, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed)"
+
+
+def d5_diff_impact(s, d):
+    g, p = _two(s, d), _pairs(s, d)
+    return D.diff_impact(g, D.impact_seeds(_all_nodes(g, p), p)).groupBy("snapshot_key", "edge_type", "label", "depth").agg(F.count("*").alias("n"), F.min("node_key").alias("first_key"))
+
+
+_q("d5_diff_impact", d5_diff_impact, over_both(f"SELECT h.sk AS snapshot_key, edge_type, label, depth::INTEGER AS depth, count(*) AS n, min(node) AS first_key FROM ({_hops(D.IMPACT_DEPTH)}) h JOIN (SELECT node_key, label FROM nodes UNION ALL SELECT node_key, label FROM nodes2) n ON n.node_key = h.node GROUP BY ALL", *_DIFF, "alle AS (SELECT * FROM edges UNION ALL SELECT * FROM edges2)", *levels(_CHANGES, D.IMPACT_DEPTH, edges="alle")))
 _SEEDED = [  # the first 20 seeds of a pair, their walks, and what each leaves of one budget to the next
     "alle AS (SELECT * FROM edges UNION ALL SELECT * FROM edges2)",
     "dseeds AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY sk, seed) AS k FROM (SELECT DISTINCT pair, CASE change WHEN 'removed' THEN pair ELSE pair || '_v2' END AS sk, node_key AS seed FROM (SELECT pair, change, node_key FROM dn UNION ALL SELECT pair, 'changed', node_key FROM changed))) WHERE k <= 20)",
@@ -234,7 +233,8 @@ _SEEDED = [  # the first 20 seeds of a pair, their walks, and what each leaves o
 ]
 _q("d6_schema_diff", lambda s, d: D.schema_diff(_two(s, d), _pairs(s, d), 20)["impact"].select("pair", "seed", "node_key", "depth", "budget"), over_both(f"SELECT {_PAIR}, seed, node AS node_key, depth::INTEGER AS depth, budget FROM hits JOIN budgets USING (pair, k) WHERE position <= budget", *_DIFF, *_SEEDED).replace("WITH", "WITH RECURSIVE", 1))
 _q("d6_counts", lambda s, d: D.schema_diff(_two(s, d), _pairs(s, d), 20)["counts"], over_both(f"SELECT {_PAIR}, what, count(*) AS n FROM (SELECT pair, 'nodes_' || change AS what FROM dn UNION ALL SELECT pair, 'nodes_changed' FROM changed UNION ALL SELECT pair, 'edges_' || change FROM de) GROUP BY ALL", *_DIFF))
-_q("d7_diff_envelope", lambda s, d: D.diff_counts(_two(s, d), _pairs(s, d), 20), over_both("SELECT replace(reg.sk, 'tpch:', '') AS pair, count(*) FILTER (what = 'nodes_added') AS nodes_added, count(*) FILTER (what = 'nodes_removed') AS nodes_removed, count(*) FILTER (what = 'nodes_changed') AS nodes_changed, count(*) FILTER (what = 'edges_added') AS edges_added, count(*) FILTER (what = 'edges_removed') AS edges_removed, count(*) FILTER (what LIKE 'nodes%') AS impacted_seeds, 20::INTEGER AS limit_applied, greatest(count(*) FILTER (what LIKE 'nodes%'), count(*) FILTER (what = 'nodes_added'), count(*) FILTER (what = 'nodes_removed'), count(*) FILTER (what = 'nodes_changed'), count(*) FILTER (what = 'edges_added'), count(*) FILTER (what = 'edges_removed')) > 20 AS truncated FROM reg LEFT JOIN (SELECT pair, 'nodes_' || change AS what FROM dn UNION ALL SELECT pair, 'nodes_changed' FROM changed UNION ALL SELECT pair, 'edges_' || change FROM de) x ON x.pair = reg.sk GROUP BY reg.sk", *_DIFF))
+_CUTS = f"cuts AS (SELECT s.pair, bool_or(coalesce(e.truncated OR e.used > b.budget, false)) AS cut FROM dseeds s JOIN budgets b USING (pair, k) LEFT JOIN end{D.IMPACT_DEPTH} e ON e.sk = s.sk AND e.seed = s.seed GROUP BY s.pair)"
+_q("d7_diff_envelope", lambda s, d: D.diff_envelope(_two(s, d), _pairs(s, d), 20), over_both("SELECT replace(reg.sk, 'tpch:', '') AS pair, count(*) FILTER (what = 'nodes_added') AS nodes_added, count(*) FILTER (what = 'nodes_removed') AS nodes_removed, count(*) FILTER (what = 'nodes_changed') AS nodes_changed, count(*) FILTER (what = 'edges_added') AS edges_added, count(*) FILTER (what = 'edges_removed') AS edges_removed, count(*) FILTER (what LIKE 'nodes%') AS impacted_seeds, 20::INTEGER AS limit_applied, greatest(count(*) FILTER (what LIKE 'nodes%'), count(*) FILTER (what = 'nodes_added'), count(*) FILTER (what = 'nodes_removed'), count(*) FILTER (what = 'nodes_changed'), count(*) FILTER (what = 'edges_added'), count(*) FILTER (what = 'edges_removed')) > 20 OR coalesce(any_value(cuts.cut), false) AS truncated, coalesce(any_value(cuts.cut), false) AS impact_truncated FROM reg LEFT JOIN (SELECT pair, 'nodes_' || change AS what FROM dn UNION ALL SELECT pair, 'nodes_changed' FROM changed UNION ALL SELECT pair, 'edges_' || change FROM de) x ON x.pair = reg.sk LEFT JOIN cuts ON cuts.pair = reg.sk GROUP BY reg.sk", *_DIFF, *_SEEDED, _CUTS).replace("WITH", "WITH RECURSIVE", 1))
 
 # Descriptions
 

@@ -5,12 +5,12 @@ import os
 import duckdb
 import pytest
 
-from metaloom.plans import queries_graph, queries_keys, queries_store
+from __spark_entry__ import CORE
 
 from .conftest import SF
 
-ALL = {**queries_keys.Q, **queries_graph.Q, **queries_store.Q}
-SQL = {**queries_keys.SQL, **queries_graph.SQL, **queries_store.SQL}
+ALL = {name: f for m in CORE for name, f in m.Q.items()}
+SQL = {name: text for m in CORE for name, text in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
