@@ -19,11 +19,11 @@ AT = ["snapshot_key"]
 NONE = "the catalog has no such rows"
 
 
-def _scan(df: DataFrame, evidence: str, objects: dict[str, Column] | None = None, relations: dict[str, Column] | None = None) -> DataFrame:
+def _scan(df: DataFrame, evidence: str, objects: dict[str, Column | int] | None = None, relations: dict[str, Column | int] | None = None) -> DataFrame:
     """(snapshot_key, domain, category, n, evidence) of one table; a category counts the rows where its column is true, or adds up its numbers."""
     wanted = [(d, c, n) for d, of in (("object", objects), ("relationship", relations)) for c, n in (of or {}).items()]
     # A null condition counts for nothing.
-    sums = df.groupBy(*AT).agg(*[F.sum(F.coalesce(n.cast("long"), F.lit(0))).alias(f"n{k}") for k, (_, _, n) in enumerate(wanted)])
+    sums = df.groupBy(*AT).agg(*[F.sum(F.coalesce((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0))).alias(f"n{k}") for k, (_, _, n) in enumerate(wanted)])
     rows = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("category"), F.col(f"n{k}").alias("n")) for k, (d, c, _) in enumerate(wanted)])
     return sums.select(*AT, F.explode(rows).alias("r")).select(*AT, "r.*", F.lit(evidence).alias("evidence"))
 
@@ -41,7 +41,7 @@ def _is(c: str, *values: str) -> Column:
     return F.col(c).isin(*values)
 
 
-ONE = F.lit(1)
+ONE = 1
 
 
 def information_schema(x: Extract) -> list[DataFrame]:
