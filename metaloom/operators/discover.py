@@ -71,6 +71,11 @@ def information_schema(x: Extract) -> list[DataFrame]:
     for name, category in (("sequences", "sequence"), ("events", "event")):
         if name in x:
             out.append(_scan(x[name], name.upper(), {category: ONE}, {"metadata_parent": ONE}))
+    if "partitions" in x:
+        at = [*AT, "TABLE_SCHEMA", "TABLE_NAME", "PARTITION_NAME"]
+        named = x["partitions"].where("PARTITION_NAME is not null")
+        for rows in (named.select(*at).distinct(), named.where("SUBPARTITION_NAME is not null").select(*at, "SUBPARTITION_NAME").distinct()):
+            out.append(_scan(rows, "distinct PARTITIONS", {"extension": ONE}, {"metadata_parent": ONE}))
     if "view_routine_usage" in x:
         out.append(_scan(x["view_routine_usage"], "VIEW_ROUTINE_USAGE", relations={"metadata_relationship": ONE}))
     return out
@@ -149,9 +154,7 @@ def pg_catalog(x: Extract) -> list[DataFrame]:
 
 def discovered(x: Extract, vendor: str = "mysql") -> tuple[DataFrame, DataFrame]:
     """(objects, relations), each (snapshot_key, category, discovered, evidence), of all 26 and all 16 categories, with 0 for what the raw tables have none of. Tables that the extract lacks count nothing, as mapping makes nothing of them."""
-    if vendor == "sqlserver":
-        from . import sqlserver
-
-        return _summed(sqlserver.scans(x, _scan), x["databases"])
+    if vendor not in ("mysql", "mariadb", "postgres", "yugabytedb"):
+        raise ValueError(f"no counts for {vendor}")
     scans = pg_catalog if vendor in ("postgres", "yugabytedb") else information_schema
     return _summed(scans(x), x["databases"])

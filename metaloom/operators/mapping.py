@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions.keys import object_key, parse_key
 from ..plans.model import MAX_TEXT, Canonical
+from ..plans.shared import written
 
 Extract = dict[str, DataFrame]
 # Table types and kinds.
@@ -192,6 +193,29 @@ def map_sequences(x: Extract) -> DataFrame:
     return s.select("snapshot_key", _key("sequence", "SEQUENCE_SCHEMA", "SEQUENCE_NAME").alias("key"), _key("schema", "SEQUENCE_SCHEMA", "SEQUENCE_SCHEMA").alias("parent_key"), F.col("SEQUENCE_NAME").alias("name"))
 
 
+def map_partitions(x: Extract) -> tuple[DataFrame, DataFrame]:
+    """(objects, issues): partitions of a table and, under each, its sub-partitions. A partition has a row for each of its sub-partitions; its own values are those of the first. Rows of tables that aren't partitioned have no partition's name."""
+    own = x["tables"].select("snapshot_key", "TABLE_SCHEMA", "TABLE_NAME", F.lit(True).alias("_table"))
+    p = _scoped(x, "partitions").where("PARTITION_NAME is not null").join(own, ["snapshot_key", "TABLE_SCHEMA", "TABLE_NAME"], "left")
+    part, sub = F.concat(F.lit("partition:"), F.col("PARTITION_NAME")), F.concat(F.lit("partition:"), F.col("PARTITION_NAME"), F.lit(":subpartition:"), F.col("SUBPARTITION_NAME"))
+    p = p.withColumn("partition_key", _key("extension", "TABLE_SCHEMA", "TABLE_NAME", part)).withColumn("sub_key", F.when(F.col("SUBPARTITION_NAME").isNotNull(), _key("extension", "TABLE_SCHEMA", "TABLE_NAME", sub))).withColumn("table_key", _key("table", "TABLE_SCHEMA", "TABLE_NAME"))
+    known = p.where("_table")
+    held = ["PARTITION_NAME", "PARTITION_ORDINAL_POSITION", "PARTITION_METHOD", "PARTITION_EXPRESSION", "PARTITION_DESCRIPTION"]
+    whole = known.groupBy("snapshot_key", "partition_key", "table_key").agg(F.min_by(F.struct(*held), F.coalesce("SUBPARTITION_ORDINAL_POSITION", F.lit(0))).alias("p")).select("*", "p.*")
+    subs = known.where("sub_key is not null").dropDuplicates(["snapshot_key", "sub_key"])
+
+    def made(df: DataFrame, key: str, parent: str, of: str, kind: str) -> DataFrame:
+        held = {"ordinal_position": prop("unsigned", F.col(f"{of}_ORDINAL_POSITION")), "method": prop("string", F.col(f"{of}_METHOD")), "expression": prop("string", F.col(f"{of}_EXPRESSION"))}
+        held |= {"description": prop("string", F.col("PARTITION_DESCRIPTION"))} if of == "PARTITION" else {}
+        properties = F.map_filter(F.create_map(*[v for n, c in held.items() for v in (F.lit(n), c)]), lambda _, v: v.value.isNotNull())
+        return df.select("snapshot_key", F.col(key).alias("key"), F.col(parent).alias("parent_key"), F.col(f"{of}_NAME").alias("name"), F.lit(kind).alias("extension_kind"), F.col(f"{of}_EXPRESSION").alias("definition"), properties.alias("properties"))
+
+    twice = known.where("sub_key is not null").groupBy("snapshot_key", F.col("sub_key").alias("object_key")).agg(F.count("*").alias("n")).where("n > 1")
+    issue = lambda df, code, message: df.select("snapshot_key", F.lit(code).alias("code"), "object_key", F.lit(message).alias("message"))
+    lost = p.where("_table is null").select("snapshot_key", F.col("partition_key").alias("object_key")).distinct()
+    return made(whole, "partition_key", "table_key", "PARTITION", "mysql_partition").unionByName(made(subs, "sub_key", "partition_key", "SUBPARTITION", "mysql_subpartition")), issue(twice, "duplicate_subpartition", "a sub-partition is repeated").unionByName(issue(lost, "partition_table_missing", "a partition is of a table that the extract lacks"))
+
+
 def map_events(x: Extract) -> DataFrame:
     """B20."""
     e = _scoped(x, "events")
@@ -225,22 +249,45 @@ def normalise(c: Canonical) -> Canonical:
     return c.with_tables(views=c.views.withColumn("depends_on", tidy("depends_on")), routines=c.routines.withColumn("depends_on", tidy("depends_on")), triggers=c.triggers.withColumn("events", tidy("events")), capabilities=c.capabilities.withColumn("limitations", tidy("limitations")).withColumn("notes", tidy("notes")))
 
 
-def unstable(first: Extract, second: Extract) -> DataFrame:
-    """(snapshot_key, table_name, rows): rows that only one of two reads of an extract has."""
+def digests(x: Extract) -> DataFrame:
+    """(snapshot_key, table_name, n, sum, xor): of each snapshot's rows of each table a digest that doesn't depend on their order and is put together from parts, so that a scan and a row for each task and snapshot are all that it takes."""
     parts = []
-    for name in sorted(first.keys() & second.keys()):
-        a, b = first[name], second[name].select(*first[name].columns)
-        apart = a.exceptAll(b).unionByName(b.exceptAll(a))
-        parts.append(apart.groupBy("snapshot_key").agg(F.count("*").alias("rows")).select("snapshot_key", F.lit(name).alias("table_name"), "rows"))
+    for name in sorted(x.keys()):
+        cols = sorted(x[name].columns)
+        hashed = lambda seed, cols=cols: F.xxhash64(F.lit(seed), *cols, *[F.col(c).isNull() for c in cols])
+        parts.append(x[name].groupBy("snapshot_key").agg(F.count("*").alias("n"), F.sum(hashed(1).cast("decimal(38,0)")).alias("sum"), F.bit_xor(hashed(2)).alias("xor")).select("snapshot_key", F.lit(name).alias("table_name"), "n", "sum", "xor"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unstable(first: Extract, second: Extract) -> DataFrame:
+    """(snapshot_key, table_name, rows): rows that only one of two reads of an extract has. Digests are compared first; rows are only where these differ, of those tables and snapshots alone."""
+    both = first.keys() & second.keys()
+    sides = [digests({n: x[n] for n in both}) for x in (first, second)]
+    keys = ["snapshot_key", "table_name"]
+    renamed = sides[1].select(*keys, *[F.col(c).alias(f"{c}_") for c in ("n", "sum", "xor")])
+    same = F.col("n").eqNullSafe(F.col("n_")) & F.col("sum").eqNullSafe(F.col("sum_")) & F.col("xor").eqNullSafe(F.col("xor_"))
+    apart = written(sides[0].join(renamed, keys, "full").where(~same).select(*keys), "apart")
+    parts = [apart.where("false").select(*keys, F.lit(0).cast("long").alias("rows"))]
+    # The names of tables are a list of fixed size.
+    for name in sorted(r[0] for r in apart.select("table_name").distinct().collect()):
+        own = apart.where(F.col("table_name") == name)
+        a, b = [x[name].select(*first[name].columns).join(own, "snapshot_key", "left_semi") for x in (first, second)]
+        rows = a.exceptAll(b).unionByName(b.exceptAll(a))
+        parts.append(rows.groupBy("snapshot_key").agg(F.count("*").alias("rows")).select("snapshot_key", F.lit(name).alias("table_name"), "rows"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def open_dependencies(x: Extract, c: Canonical, vendor: str) -> DataFrame:
-    """Bodies whose dependencies no catalog vouches for. The MySQL family has none for routines, triggers and events; PostgreSQL none for bodies in languages that it doesn't parse."""
+    """Bodies whose dependencies no catalog vouches for. The MySQL family has none for routines, triggers and events; PostgreSQL none for bodies in languages that it doesn't parse, SQL Server none for references found only at run time and for texts that are run."""
     if vendor in ("postgres", "yugabytedb"):
         from . import postgres
 
         return postgres.open_dependencies(x)
+    if vendor == "sqlserver":
+        from . import sqlserver
+
+        ids = sqlserver.registry(x)
+        return sqlserver.open_dependencies(x, ids, sqlserver.dependencies(x, ids)[0])
     if vendor not in ("mysql", "mariadb"):
         raise ValueError(f"no rule for {vendor}")
     rows = c.routines.select("snapshot_key", "key").unionByName(c.triggers.select("snapshot_key", "key"))
@@ -273,16 +320,20 @@ def unsupported(x: Extract) -> DataFrame:
 
 
 def map_catalog(x: Extract, vendor: str = "mysql") -> Canonical:
-    """All of an extract: of information_schema, or of pg_catalog for postgres and yugabytedb."""
+    """All of an extract: of information_schema, of pg_catalog for postgres and yugabytedb, or of sys for sqlserver."""
     if vendor in ("postgres", "yugabytedb"):
         from . import postgres
 
         return postgres.map_catalog(x)
+    if vendor == "sqlserver":
+        from . import sqlserver
+
+        return sqlserver.map_catalog(x)[0]
     spark = x["tables"].sparkSession
     db = x["databases"]
     databases = db.select("snapshot_key", object_key(F.col("source_kind"), F.col("connection_alias"), F.col("name"), F.col("name"), "database", F.col("name")).alias("key"), "name", "source_kind", "connection_alias")
     parameters = map_parameters(x) if "parameters" in x else None
-    objects = [map_view_columns(x), *([parameters[0]] if parameters else []), *([map_sequences(x)] if "sequences" in x else []), *([map_events(x)] if "events" in x else [])]
+    objects = [map_view_columns(x), *([parameters[0]] if parameters else []), *([map_sequences(x)] if "sequences" in x else []), *([map_events(x)] if "events" in x else []), *([map_partitions(x)[0]] if "partitions" in x else [])]
     links = [*([parameters[1]] if parameters else []), *([map_invokes(x)] if "view_routine_usage" in x else [])]
     more = {"metadata_objects": reduce(lambda a, b: a.unionByName(b, True), objects)}
     if links:

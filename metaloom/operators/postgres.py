@@ -260,6 +260,38 @@ def metadata(x: Extract) -> tuple[DataFrame, DataFrame]:
     return reduce(DataFrame.unionByName, objects), reduce(DataFrame.unionByName, links)
 
 
+def placement(x: Extract) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """B24, of YugabyteDB: (objects, links, annotations, issues): table spaces and table groups as extensions of the database; the database's default, each group's and each stored relation's table space, and which group a relation is in. What has no table space of its own takes the database's default; one that isn't in the extract is an issue.
+
+    Besides pg_catalog's tables, x has pg_tablespace(oid, spcname, spcowner, spcoptions), pg_yb_tablegroup(oid, grpname, grpowner, grptablespace), yb_database(dattablespace, datcolocated), a row for each snapshot, and yb_relation(relid, reltablespace, num_tablets, is_colocated, tablegroup_oid), where relations without tablets aren't stored.
+    """
+    db = _scoped(x, "yb_database").withColumn("database_key", _key("database", F.col("_database"), F.col("_database")))
+    of_db = db.select(*AT, "database_key", F.col("dattablespace").alias("default"))
+    named = lambda table, prefix, name: _scoped(x, table).join(of_db, AT).withColumn("key", _key("extension", F.col("_database"), F.concat(F.lit(prefix), F.col(name))))
+    spaces, groups = named("pg_tablespace", "tablespace:", "spcname"), named("pg_yb_tablegroup", "tablegroup:", "grpname")
+    options = F.array_join("spcoptions", ",")
+    objects = _object(spaces, "key", "database_key", "spcname", extension=F.lit("yugabytedb_tablespace"), placement_options=prop("string", options)).unionByName(_object(groups, "key", "database_key", "grpname", extension=F.lit("yugabytedb_tablegroup"), catalog_tablespace_oid=prop("integer", F.col("grptablespace"))))
+    space = spaces.select(*AT, F.col("oid").alias("space"), F.col("key").alias("space_key"), F.col("spcname").alias("space_name"))
+    group = groups.select(*AT, F.col("oid").alias("tablegroup_oid"), F.col("key").alias("group_key"))
+    # 0 means that the catalog names none.
+    effective = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, F.col("default")).otherwise(F.col(c)).alias("space")
+    link = lambda df, from_, to, name: df.where(F.col(to).isNotNull()).select("snapshot_key", F.lit("extension").alias("kind"), F.lit(name).alias("extension_name"), F.col(from_).alias("from_key"), F.col(to).alias("to_key"))
+    issue = lambda df, code, key, message: df.select("snapshot_key", F.lit(code).alias("code"), F.col(key).alias("object_key"), F.lit(message).alias("message"))
+    at_db = db.select(*AT, "database_key", "datcolocated", F.col("dattablespace").alias("space")).join(space, [*AT, "space"], "left")
+    at_group = groups.select(*AT, "key", effective("grptablespace")).join(space, [*AT, "space"], "left")
+    rel = relations(x).select(*AT, F.col("rel").alias("relid"), "key")
+    rows = x["yb_relation"].join(rel, [*AT, "relid"], "left").join(of_db, AT)
+    stored = rows.where("num_tablets is not null and key is not null").select(*AT, "key", "num_tablets", "is_colocated", "tablegroup_oid", effective("reltablespace")).join(space, [*AT, "space"], "left")
+    member = rows.where("key is not null and coalesce(tablegroup_oid, 0) <> 0").join(group, [*AT, "tablegroup_oid"], "left")
+    links = [link(at_db, "database_key", "space_key", "yugabytedb_default_tablespace"), link(at_group, "key", "space_key", "yugabytedb_uses_tablespace"), link(stored, "key", "space_key", "yugabytedb_uses_tablespace"), link(member, "key", "group_key", "yugabytedb_member_of_tablegroup")]
+    # The merged properties of the database and of stored relations.
+    noted = lambda df, key, **p: df.select("snapshot_key", F.col(key).alias("object_key"), F.map_filter(F.create_map(*[v for n, c in p.items() for v in (F.lit(n), c)]), lambda _, v: v.value.isNotNull()).alias("properties"))
+    notes = noted(at_db, "database_key", yugabytedb_database_colocated=prop("boolean", F.col("datcolocated")), yugabytedb_default_tablespace=prop("string", F.col("space_name"))).unionByName(noted(stored, "key", yugabytedb_num_tablets=prop("integer", F.col("num_tablets")), yugabytedb_is_colocated=prop("boolean", F.col("is_colocated")), yugabytedb_effective_tablespace=prop("string", F.col("space_name"))))
+    number = rows.where("key is null").withColumn("number", F.col("relid").cast("string"))
+    issues = [issue(at_db.where("space_key is null"), "default_tablespace_missing", "database_key", "the database's default table space isn't in the extract"), issue(at_group.where("space_key is null"), "tablespace_missing", "key", "a table group's table space isn't in the extract"), issue(stored.where("space_key is null"), "tablespace_missing", "key", "a relation's table space isn't in the extract"), issue(member.where("group_key is null"), "tablegroup_missing", "key", "a relation's table group isn't in the extract"), issue(number, "placed_relation_missing", "number", "a placement is of no relation of the extract")]
+    return objects, reduce(DataFrame.unionByName, links), notes, reduce(DataFrame.unionByName, issues)
+
+
 def unsupported(x: Extract) -> DataFrame:
     """Relations of a kind that the model has none for; TOAST tables are storage."""
     return x["pg_class"].where(~F.col("relkind").isin(*RELATIONS, "t")).select("snapshot_key", F.lit("unsupported_object").alias("code"), F.col("relname").alias("object_key"), F.col("relkind").alias("message"))
@@ -274,8 +306,12 @@ def open_dependencies(x: Extract) -> DataFrame:
 def map_catalog(x: Extract) -> Canonical:
     """All of a pg_catalog extract."""
     db, (objects, links) = x["databases"], metadata(x)
+    notes = {}
+    if "yb_relation" in x:
+        more, placed, held, _ = placement(x)
+        objects, links, notes = objects.unionByName(more), links.unionByName(placed, True), {"annotations": held}
     databases = db.select("snapshot_key", object_key(F.col("source_kind"), F.col("connection_alias"), F.col("name"), F.col("name"), "database", F.col("name")).alias("key"), "name", "source_kind", "connection_alias")
-    return Canonical.of(db.sparkSession, databases=databases, schemas=map_schemas(x), tables=map_tables(x), columns=map_columns(x), constraints=map_constraints(x), indexes=map_indexes(x), views=map_views(x), triggers=map_triggers(x), routines=map_routines(x), metadata_objects=objects, relationships=links)
+    return Canonical.of(db.sparkSession, databases=databases, schemas=map_schemas(x), tables=map_tables(x), columns=map_columns(x), constraints=map_constraints(x), indexes=map_indexes(x), views=map_views(x), triggers=map_triggers(x), routines=map_routines(x), metadata_objects=objects, relationships=links, **notes)
 
 
 def as_pg_catalog(c: Canonical) -> Extract:
