@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -71,3 +72,37 @@ def test_pages(spark, monkeypatch):
         assert extract(r.html) == "\n".join(x for x in blocks if x)
         assert any(len(at) for _, _, at, _ in surges[-1]) or len(extract(r.html)) <= html.SURGE
     assert len(rows) == 250
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><p>{LONG}</p><script src='a'/>alert(1)</script><style media='x'/>.a{{color:red}}</style><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+        (f"<article><p>{LONG}</p><svg class=x/><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+        (f'<article><p>{LONG}</p><p title="foo>tail text</p></article>', f"{LONG}\ntail text"),
+        (f"<article><p>{LONG}</p><div class='kommentare'><p>{MORE}</p></div><div class='werbung'>Jetzt kaufen</div></article>", LONG),
+        (f"<article><p>{LONG}</p><div class='commentaires'><p>{MORE}</p></div><div class='publicidad'>Compre ya</div></article>", LONG),
+        (f"<article><p>a < b and {LONG}</p><p>1 <2</p></article>", f"a < b and {LONG}\n1 <2"),
+        (f"<article><p data-x='a>b' data-y=\"c>d\" z = 'e>f'>{LONG}</p></article>", LONG),
+        (f"<article><p>{LONG}</p><!-- {MORE} --><p>end</p><!-- open {MORE}</article>", f"{LONG}\nend"),
+        (f"<article><p>{LONG}</p><video><source src=x><p>{MORE}</p></article>", f"{LONG}\n{MORE}"),
+        (f"<article><p>{LONG}</p><script>if (a</b) {{}}<p>", LONG),
+    ],
+)
+def test_markup(page, want):
+    assert extract(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000 + "'", "<div>" * 200_000 + LONG, "<div class=ad>" * 60_000 + LONG, "</b>" * 250_000 + f"<p>{LONG}</p>", "<b></i>" * 120_000 + f"<p>{LONG}</p>", "<p x='" * 150_000, "<script </script " * 60_000, "<svg>" * 200_000, "<!--" * 250_000, "<section class=comments><p>x</p>" * 30_000, "< " * 500_000, "<a href=\"x" * 90_000, "&amp" * 250_000],
+)
+def test_long_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 12
+
+
+def test_nested_boilerplate_is_taken_back_from_the_outside():
+    deep = "<div class=ad>" * 500
+    assert extract(f"{deep}<p>{LONG}</p>" + "</div>" * 500 + "<div class=ad>Buy</div>") == LONG
