@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.shared import new_path, written
 
-__all__ = ["ascii_lower", "columns", "connected_components", "fresh", "id_crc", "in_arrow", "new_path", "table", "written"]
+__all__ = ["ascii_lower", "columns", "connected_components", "fresh", "id_crc", "in_arrow", "new_path", "open_folder", "table", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def in_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """mapInArrow in batches of BATCH rows, for whole texts are long and a worker holds a batch's input and output at once. Columns may have any names. The setting stays with the session, for what is returned runs later."""
+    """mapInArrow in batches of BATCH rows and of spark.sql.execution.arrow.maxBytesPerBatch (by default 64 MB; a longer row is a batch of its own), whichever is less, for a worker holds a batch's input and output at once. Columns may have any names. The number of rows stays set in the session, for what is returned runs later."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     names = df.columns
 
@@ -51,6 +51,13 @@ def in_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
 
 
+def open_folder(uri: str):
+    """Arrow's file system and path for a folder in the shared place, as Hadoop names it: file, hdfs, viewfs, gs, s3 and abfss as they are, s3a and s3n as s3; Arrow takes credentials of object stores from the environment of the executors."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a://", "s3n://")) else uri)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone. lower() does so too where all characters are ASCII, and is faster."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, in_arrow, table
+from .common import id_crc, in_arrow, table, written
 
 BITS = 14
 #: Characters of a text taken at a time; it bears on memory alone.
 PIECE = 1 << 20
-#: A model of more languages than this would not fit the driver.
-LANGUAGES = 1000
+#: Counts that a model holds at most: more languages share the same number of counts among them, in fewer buckets each, but 16 at least.
+CELLS, FEWEST = 1 << 24, 4
 
 
 @cache
@@ -43,9 +43,20 @@ def trigrams(text: str) -> np.ndarray | None:
     return counts if any_letter else None
 
 
+def bits_for(languages: int) -> int:
+    """Bits of the buckets that so many languages are told apart by."""
+    return max(FEWEST, min(BITS, (CELLS // max(1, languages)).bit_length() - 1))
+
+
+def folded(counts: np.ndarray, bits: int) -> np.ndarray:
+    """Counts by bucket as counts by fewer buckets: a bucket's number begins with the fewer bits."""
+    return counts if bits == BITS else counts.reshape(1 << bits, -1).sum(1)
+
+
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         """counts: a row of trigram counts for each language."""
+        self.bits = counts.shape[1].bit_length() - 1
         p = counts + 0.5
         self.languages, self.p = languages, p / p.sum(1, keepdims=True) if len(languages) else p
         self.log = np.log(self.p)
@@ -81,37 +92,43 @@ class Model:
         counts = trigrams(text) if text else None
         if counts is None or not self.languages:
             return "und", 0.0, ""
-        own, share = self.mixture(counts)
+        own, share = self.mixture(folded(counts, self.bits))
         order = sorted(range(len(own)), key=lambda k: (-share[k], self.languages[own[k]]))
         return self.languages[own[order[0]]], float(min(1.0, share[order[0]])), " ".join(f"{self.languages[own[k]]}:{share[k]:.3f}" for k in order)
 
 
 def fit(labelled: DataFrame, bound: int = 3000) -> Model:
-    """labelled(doc_id, text, lang) -> model, from about bound documents of each language, drawn by a hash of doc_id. The driver gets 2^14 counts for each language, of which LANGUAGES at most are allowed (more: ValueError).
+    """labelled(doc_id, text, lang) -> model, from about bound documents of each language, drawn by a hash of doc_id. The driver gets the model alone: CELLS counts at most, as long as there are no more than 2^20 languages.
 
     Rows with a null text or language teach nothing, nor do texts without a letter; repeated rows teach again, and rows that share a doc_id are drawn together. Long texts are taken whole. An empty table gives a model without languages, by which all is und. Other columns are not read.
     """
     known = labelled.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).toPandas()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
-    shares = F.broadcast(labelled.sparkSession.createDataFrame([(lang, float(min(1.0, bound / n))) for lang, n in zip(sizes.lang, sizes.n, strict=True)], "of_lang string, share double"))
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    shares = sizes.select(F.col("lang").alias("of_lang"), F.least(F.lit(1.0), bound / F.col("n")).alias("share"))
+    bits = bits_for(sizes.count())
     rows = known.select("doc_id", "text", "lang").join(shares, F.col("lang") == F.col("of_lang"))
     drawn = rows.where(F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id")), F.lit(1_000_003)) / 1_000_003.0 < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, got in total.items():
+                (i,) = np.nonzero(got)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(i)), "i": pa.array(i), "n": pa.array(got[i])})
+            total.clear()
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if (got := trigrams(text.as_py())) is not None:
-                    total[lang] = total.get(lang, 0) + got
-        for lang, got in total.items():
-            (i,) = np.nonzero(got)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(i)), "i": pa.array(i), "n": pa.array(got[i])})
+                    total[lang] = total.get(lang, 0) + folded(got, bits)
+                if len(total) << bits > CELLS // 8:
+                    yield from out()
+        yield from out()
 
     got = in_arrow(drawn.select("lang", "text"), count, "lang string, i long, n long").groupBy("lang", "i").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got.lang.unique())
-    counts = np.zeros((len(languages), 1 << BITS))
+    counts = np.zeros((len(languages), 1 << bits))
     counts[np.searchsorted(languages, got.lang.to_numpy(str)) if languages else [], got.i.to_numpy(np.int64)] = got.n.to_numpy(float)
     return Model(languages, counts)
 

@@ -50,24 +50,6 @@ def _png(b: bytes, o: int) -> tuple[str, int] | None:
     return None
 
 
-def _gif(b: bytes, o: int) -> tuple[str, int] | None:
-    flags, at = b[o + 10], o + 13
-    at += 3 << ((flags & 7) + 1) if flags & 128 else 0
-    while True:
-        mark = b[at]
-        if mark == 0x3B:
-            return "image/gif", at + 1
-        if mark == 0x21:
-            at += 2
-        elif mark == 0x2C:
-            at += 10 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0) + 1
-        else:
-            return None
-        while b[at]:
-            at += b[at] + 1
-        at += 1
-
-
 def _jpeg(b: bytes, o: int) -> tuple[str, int] | None:
     at = o + 2
     while b[at] == 0xFF:
@@ -141,6 +123,42 @@ class Marks(dict):
         return out
 
 
+    def gif_end(self, at: int) -> int | None:
+        """The end of the GIF whose blocks go on at a place, or None; each place of a block or a sub-block is walked through once, whatever start it is reached from."""
+        known, path, inside, end = self.gif_known, [], False, None
+        b = self.b
+        while (at, inside) not in known:
+            path.append((at, inside))
+            if at >= len(b):
+                break
+            mark = b[at]
+            if inside:
+                inside, at = mark > 0, at + mark + 1
+            elif mark == 0x3B:
+                end = at + 1
+                break
+            elif mark == 0x21:
+                inside, at = True, at + 2
+            elif mark == 0x2C and at + 9 < len(b):
+                inside, at = True, at + 11 + (3 << ((b[at + 9] & 7) + 1) if b[at + 9] & 128 else 0)
+            else:
+                break
+        else:
+            end = known[at, inside]
+        known.update(dict.fromkeys(path, end))
+        return end
+
+    @cached_property
+    def gif_known(self) -> dict[tuple[int, bool], int | None]:
+        return {}
+
+
+def _gif(b: bytes, o: int, marks: Marks) -> tuple[str, int] | None:
+    flags = b[o + 10]
+    end = marks.gif_end(o + 13 + (3 << ((flags & 7) + 1) if flags & 128 else 0))
+    return ("image/gif", end) if end else None
+
+
 def _pdf(b: bytes, o: int, marks: Marks) -> tuple[str, int] | None:
     if not b[o + 5 : o + 6].isdigit() or b[o + 6 : o + 7] != b".":
         return None
@@ -192,7 +210,7 @@ FORMATS: list[tuple[bytes, int, Callable]] = [
     (b"RIFF", 0, _riff), (b"\x89PNG\r\n\x1a\n", 0, _png), (b"GIF87a", 0, _gif), (b"GIF89a", 0, _gif), (b"\xff\xd8\xff", 0, _jpeg), (b"BM", 0, _bmp),
     (b"%PDF-", 0, _pdf), (b"PK\x03\x04", 0, _zip), (b"\x1f\x8b\x08", 0, _gzip), (b"OggS", 0, _ogg), (b"ftyp", 4, _mp4),
 ]
-ASK_MARKS = {_pdf, _zip, _ogg}
+ASK_MARKS = {_gif, _pdf, _zip, _ogg}
 MARKS = [b"%PDF-", b"%%EOF", b" obj", b"startxref", b"PK\x05\x06", b"OggS"]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import in_arrow, new_path, table, written
+from .common import in_arrow, new_path, open_folder, table, written
 
 U = np.uint64
 MAGIC, VOCABULARY, END = b"MLTOK002", 1 << 16, 1
@@ -469,11 +469,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, block: int = BLOCK, fi
     """Writes docs(doc_id, text) as token files in ascending order of doc_id (ties by text, null ids first, stored as -2^63) into folder; returns (part, seq, n_tokens) of the files, a written table. Each document ends with id 1; null text counts as empty, long texts are encoded whole, and each row of an id that repeats is a document. An empty table writes no files. Other columns are not read. A task that runs again writes the same bytes under the same names, by renaming a finished file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        t, (fs, root) = tokens(path), FileSystem.from_uri(folder)
+        t, (fs, root) = tokens(path), open_folder(folder)
         held: list = []
         size, seq = 0, 0
 

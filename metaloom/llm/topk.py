@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import new_path, table
+from .common import new_path, open_folder, table
 
 #: Queries of a block; scores, and components of candidates, held at once by a task.
 BLOCK, HELD, SLAB = 16_384, 1 << 21, 1 << 24
@@ -97,9 +97,9 @@ def _width(v: np.ndarray, width: int) -> np.ndarray:
 def asked(folder: str) -> Iterator[Asks]:
     """The queries of a written table (id, v, low), a block of at most BLOCK at a time."""
     import pyarrow.parquet as pq
-    from pyarrow.fs import FileSelector, FileSystem
+    from pyarrow.fs import FileSelector
 
-    fs, root = FileSystem.from_uri(folder)
+    fs, root = open_folder(folder)
     for f in sorted(fs.get_file_info(FileSelector(root)), key=lambda f: f.path):
         if f.base_name.endswith(".parquet"):
             with fs.open_input_file(f.path) as source:

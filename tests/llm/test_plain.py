@@ -161,10 +161,17 @@ def test_mixtures(spark, sf):
     assert differ <= 1
 
 
-def test_no_more_languages_than_fit(spark, monkeypatch):
-    monkeypatch.setattr(languages, "LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        languages.fit(spark.createDataFrame([(i, "text", f"l{i}") for i in range(3)], "doc_id long, text string, lang string"))
+def test_more_languages_share_the_counts(spark, monkeypatch):
+    """Ever more languages are told apart by ever fewer buckets; none is refused, and the counts stay as many."""
+    monkeypatch.setattr(languages, "CELLS", 1 << 12)
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} {chr(0x430 + i)} " * 5, f"l{i:02}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(docs)
+    assert model.languages == [r[2] for r in rows] and model.p.shape == (20, 128)
+    got = {r.doc_id: r.lang_pred for r in languages.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 18
+    assert [languages.bits_for(n) for n in (0, 1, 16, 32, 33, 10**9)] == [12, 12, 8, 7, 6, 4]
+    assert (languages.folded(np.arange(1 << languages.BITS), 1) == [sum(range(1 << 13)), sum(range(1 << 13, 1 << 14))]).all()
 
 
 def test_sniffing_takes_linear_time():
@@ -172,6 +179,7 @@ def test_sniffing_takes_linear_time():
     assert media.sniff(b"%PDF-1.4 " * 300_000) == []
     assert media.sniff(b"%PDF-1.4 1 0 obj startxref " * 50_000 + b"%%EOF") == [("application/pdf", 0, 27 * 50_000 + 5)]
     assert media.sniff((b"OggS" + b"\0" * 23) * 30_000) == []
+    assert media.sniff((b"GIF89a" + b"\0" * 7 + b"!\xf9") * 60_000) == []
     assert time.process_time() - began < 15
 
 
