@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import object_key
 from ..plans.model import Canonical
+from ..plans.shared import written
 from .mapping import Extract, _ordered, _scoped, prop
 
 # Letters that the catalog has for kinds of relations, constraints, routines and types, and bits of trigger types.
@@ -36,14 +37,27 @@ def _schemas(x: Extract) -> DataFrame:
     return _scoped(x, "pg_namespace").select("snapshot_key", "_source", "_alias", "_database", F.col("oid").alias("nsp"), F.col("nspname").alias("schema"), "nspowner").withColumn("schema_key", _key("schema", F.col("schema"), F.col("schema")))
 
 
+def prepared(x: Extract) -> Extract:
+    """The extract with its relations, attributes and routines as written tables: most of what is made of it goes by their keys, which are worked out once."""
+    if "_relations" in x:
+        return x
+    x = x | {"_relations": written(relations(x), "relations")}
+    x = x | {"_attributes": written(attributes(x), "attributes")}
+    return x | {"_routines": written(_routines(x), "routines")} if "pg_proc" in x else x
+
+
 def relations(x: Extract) -> DataFrame:
     """(snapshot_key, rel, what, key, schema, schema_key, name, relkind, ...): everything of pg_class that the model has a kind for."""
+    if "_relations" in x:
+        return x["_relations"]
     r = x["pg_class"].withColumnsRenamed({"oid": "rel", "relnamespace": "nsp"}).join(_schemas(x), [*AT, "nsp"])
     return r.withColumn("what", _named(F.col("relkind"), RELATIONS)).where("what is not null").withColumn("key", _key(F.col("what"), F.col("schema"), F.col("relname")))
 
 
 def attributes(x: Extract) -> DataFrame:
     """(snapshot_key, rel, attnum, what, key, owner_key, ...): columns of tables, views and materialised views."""
+    if "_attributes" in x:
+        return x["_attributes"]
     a = x["pg_attribute"].where("attnum > 0 and not attisdropped").withColumnRenamed("attrelid", "rel")
     r = relations(x).where("what in ('table', 'view', 'materialized_view')").select(*AT, "rel", "what", F.col("key").alias("owner_key"), "schema", "relname", "_source", "_alias", "_database")
     kind = F.when(F.col("what") == "table", "column").otherwise("view_column")
@@ -131,6 +145,8 @@ def map_views(x: Extract) -> DataFrame:
 
 
 def _routines(x: Extract) -> DataFrame:
+    if "_routines" in x:
+        return x["_routines"]
     p = x["pg_proc"].withColumnsRenamed({"oid": "proc", "pronamespace": "nsp"}).join(_schemas(x), [*AT, "nsp"])
     return p.withColumn("key", _key("routine", F.col("schema"), F.col("proname"), F.when(F.col("arguments") != "", F.col("arguments"))))
 
@@ -180,6 +196,7 @@ def _relation(df: DataFrame, kind: str, from_: str, to: str, ordinal: Column | N
 
 def metadata(x: Extract) -> tuple[DataFrame, DataFrame]:
     """Metadata objects and relationships: included columns (B6), view columns (B9), materialised views with their keys and indexes (B10), columns of UPDATE OF (B11), parameters and return types (B13), sequences (B14), types, domains and enum values (B15), roles, owners and members (B17), policies (B18), partitions and inheritance (B19), event triggers (B20), exclusion constraints (B23), extensions. Tables that the extract lacks give none."""
+    x = prepared(x)
     objects, links = [], []
     rel, att = relations(x), attributes(x)
     has = lambda *names: all(n in x for n in names)
@@ -305,6 +322,7 @@ def open_dependencies(x: Extract) -> DataFrame:
 
 def map_catalog(x: Extract) -> Canonical:
     """All of a pg_catalog extract."""
+    x = prepared(x)
     db, (objects, links) = x["databases"], metadata(x)
     notes = {}
     if "yb_relation" in x:

@@ -59,6 +59,8 @@ def retail_catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Can
     if generation > 1:
         cols = cols.where(~((F.col("o_orderkey") % 97 == 0) & (F.col("ordinal") > 1) & (F.col("ordinal") < F.col("n"))))
         data_type = F.when(F.col("o_orderkey") % 100 == 0, "CHANGED").otherwise(data_type)
+    # Columns, keys, constraints, indexes, views and routines all come from these two, which are joined once.
+    cols = written(cols, "retail_columns")
     columns = cols.select(sk, F.col("column_key").alias("key"), "table_key", F.col("cname").alias("name"), F.col("ordinal").alias("ordinal_position"), data_type.alias("data_type"), (F.col("o_orderstatus") != "F").alias("is_nullable"), (F.col("o_orderstatus") == "P").alias("is_generated"))
 
     in_order = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("ordinal", "column_key")))), lambda x: x.column_key)
@@ -84,6 +86,7 @@ def retail_catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Can
     supplier = following(supplier.withColumn("view_key", _key("view", F.col("vname"))), "s_nationkey", "s_suppkey", next_view="view_key")
     lines = t("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     bought = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(customers.select("c_custkey", F.col("rk").alias("c_rk"), F.col("table_key"), F.col("alias").alias("c_alias"), F.col("nn").alias("c_nn"), "tname"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = written(bought, "retail_lines")
     supplied = bought.select("l_suppkey", "c_rk", "table_key").distinct().join(supplier, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_rk") == F.col("rk"))).groupBy("s_suppkey").agg(F.collect_list("table_key").alias("uses"))
     both = F.concat(F.coalesce("uses", none), F.when(F.col("next_view").isNotNull(), F.array("next_view")).otherwise(none))
     views = supplier.join(supplied, "s_suppkey", "left").select(sk, F.col("view_key").alias("key"), "schema_key", F.col("vname").alias("name"), F.array_sort(F.array_distinct(both)).alias("depends_on"))
