@@ -24,7 +24,7 @@ def main() -> None:
     from metaloom.operators.validate import validate
     from metaloom.plans import fleet, queries_graph, queries_store
     from metaloom.plans.model import Canonical, Graph
-    from metaloom.plans.shared import written
+    from metaloom.plans.shared import written_all
     from metaloom.sources.synth import synth_catalog
 
     took: dict[str, float] = {}
@@ -47,9 +47,9 @@ def main() -> None:
     tables = int(os.environ.get("BENCH_SYNTH_TABLES", "8334"))
     def index() -> Graph:
         c = synth_catalog(spark, tables, 8, partitions=int(cpus) * 2)
-        c = Canonical({n: written(df, f"bench_{n}") if n in ("tables", "columns", "constraints", "indexes") else df for n, df in c.t.items()})
+        c = Canonical(c.t | written_all({n: c.t[n] for n in ("tables", "columns", "constraints", "indexes")}))
         g = project(c)
-        stored = Graph(g.snapshots, written(g.nodes, "bench_nodes"), written(g.edges, "bench_edges"))
+        stored = Graph(g.snapshots, **written_all({"nodes": g.nodes, "edges": g.edges}))
         assert validate(c).isEmpty()
         assert check_projection(stored, emitted_objects(c), emitted_relations(c)).first()["accepted"]
         return stored

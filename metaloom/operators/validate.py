@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import parse_key, rel_edge_type
 from ..plans.model import CONSTRAINTS, ENDPOINTS, MAX_PROPERTIES, MAX_PROPERTY_ITEMS, MAX_PROPERTY_NAME, MAX_PROPERTY_TEXT, MAX_TEXT, METADATA_KINDS, PARENTS, Canonical
-from ..plans.shared import written
+from ..plans.shared import written, written_all
 
 
 EXPECTED = {"databases": "database", "schemas": "schema", "tables": "table", "columns": "column", "indexes": "index", "views": "view", "triggers": "trigger", "routines": "routine"}
@@ -278,6 +278,7 @@ GROUPS = [["v1", "v5", "v6", "v7", "v8", "v9"], ["v2", "v3", "v4"], ["v10"], ["v
 
 
 def validate(c: Canonical) -> DataFrame:
-    """All issues of all snapshots. Keys are parsed once, into a written registry; the rules' issues are written by groups, so that no plan holds all of them."""
+    """All issues of all snapshots. Keys are parsed once, into a written registry; the rules' issues are written by groups, as jobs at the same time, so that no plan holds all of them."""
     c = c.with_tables(registry=written(registry(c), "registry"))
-    return reduce(DataFrame.unionByName, [written(reduce(DataFrame.unionByName, [RULES[n](c) for n in group]), "issues") for group in GROUPS])
+    issues = written_all({f"issues_{k}": reduce(DataFrame.unionByName, [RULES[n](c) for n in group]) for k, group in enumerate(GROUPS)})
+    return reduce(DataFrame.unionByName, issues.values())

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..operators.project import project
 from ..sources.retail import retail_catalog
 from .model import Canonical, Graph
-from .shared import written
+from .shared import written_all
 
 _made: dict[tuple, object] = {}
 
@@ -29,7 +29,8 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple:
 def catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Canonical:
     def make() -> Canonical:
         c = retail_catalog(spark, sf_dir, generation)
-        return Canonical({n: written(df, n) if n in ("tables", "columns", "constraints", "indexes", "views", "triggers", "routines") else df for n, df in c.t.items()})
+        of_size = ("tables", "columns", "constraints", "indexes", "views", "triggers", "routines")
+        return Canonical(c.t | written_all({n: c.t[n] for n in of_size}))
 
     return _once((spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), generation, "catalog"), make)
 
@@ -37,6 +38,6 @@ def catalog(spark: SparkSession, sf_dir: str, generation: int = 1) -> Canonical:
 def graph(spark: SparkSession, sf_dir: str, generation: int = 1) -> Graph:
     def make() -> Graph:
         g = project(catalog(spark, sf_dir, generation))
-        return Graph(g.snapshots, written(g.nodes, "nodes"), written(g.edges, "edges"))
+        return Graph(g.snapshots, **written_all({"nodes": g.nodes, "edges": g.edges}))
 
     return _once((spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), generation, "graph"), make)

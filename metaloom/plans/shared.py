@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +27,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_all(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """written for each of a few tables, by name, as jobs at the same time: small ones don't wait for one another, and the scheduler shares out the executors."""
+    with ThreadPoolExecutor(max(1, len(tables))) as pool:
+        return dict(zip(tables, pool.map(lambda n: written(tables[n], n), tables), strict=True))
