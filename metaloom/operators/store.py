@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from ..functions.keys import alias_of, contains_ascii_ci, edge_priority, kind_label, parse_key
 from ..plans.model import LABELS, OTHER_LABEL, Graph
@@ -24,8 +25,15 @@ PAGE, MOST = 100, 500
 BUCKETS = 16
 
 
-# The tables of a stored graph: their place in it, and the column that they are sorted by within a snapshot.
-STORED = {"snapshots": "snapshot_key", "nodes": "node_key", "edges": "edge_from", "proof_heads": "adapter", "proof_counts": "position", "proof_checks": "position"}
+# The tables of a stored graph: the column that they are sorted by within a snapshot, and their columns.
+STORED = {
+    "snapshots": ("snapshot_key", "snapshot_key string, source string, captured_at_unix_ms long, payload_json string"),
+    "nodes": ("node_key", "snapshot_key string, node_key string, label string, display_name string, payload_json string"),
+    "edges": ("edge_from", "snapshot_key string, edge_key string, edge_from string, edge_to string, edge_type string, payload_json string"),
+    "proof_heads": ("adapter", "snapshot_key string, contract_version int, adapter string, adapter_version string, server string, server_version string, catalogs array<string>, schemas array<string>"),
+    "proof_counts": ("position", "snapshot_key string, domain string, position long, category string, discovered long, emitted long, evidence string"),
+    "proof_checks": ("position", "snapshot_key string, position int, name string, evidence string"),
+}
 MANIFEST = "snapshot_key string, generation string, number long, writer string"
 
 
@@ -57,8 +65,9 @@ def write_snapshot(g: Graph, path: str, generation: str, accepted: DataFrame | N
     keep = None if accepted is None else accepted.where("accepted").select("snapshot_key")
     kept = lambda df: df if keep is None else df.join(keep, "snapshot_key", "left_semi")
     for name, df in _tables(g).items():
-        df = kept(df).withColumn("bucket", F.pmod(F.xxhash64("snapshot_key"), F.lit(BUCKETS)).cast("int"))
-        order = ["bucket", "snapshot_key", STORED[name]]
+        within, columns = STORED[name]
+        df = kept(df).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(columns)], F.pmod(F.xxhash64("snapshot_key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        order = ["bucket", "snapshot_key", within]
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{name}/generation={unique}")
     number = _found(lambda: _manifest(spark, path).agg(F.max("number")).first()[0] or 0, otherwise=0) + 1
     rows = kept(g.snapshots).select("snapshot_key", F.lit(unique).alias("generation"), F.lit(number).cast("long").alias("number"), F.lit(writer).alias("writer"))
@@ -75,8 +84,9 @@ def read_graph(spark: SparkSession, path: str) -> Graph:
     manifest = in_force(spark, path)
 
     def read(name: str) -> DataFrame | None:
-        rows = _found(lambda: spark.read.parquet(f"{path}/{name}"), otherwise=None)
-        return rows and rows.withColumn("generation", F.col("generation").cast("string")).join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation", "bucket")
+        columns = f"{STORED[name][1]}, generation string, bucket int"
+        rows = _found(lambda: spark.read.schema(columns).parquet(f"{path}/{name}"), otherwise=None)
+        return rows and rows.join(manifest, ["snapshot_key", "generation"], "left_semi").drop("generation", "bucket")
 
     got = {name: read(name) for name in STORED}
     proof = None if got["proof_heads"] is None else Proof(got["proof_heads"], got["proof_counts"], got["proof_checks"])
