@@ -194,87 +194,104 @@ def _relation(df: DataFrame, kind: str, from_: str, to: str, ordinal: Column | N
     return df.select("snapshot_key", F.lit(kind).alias("kind"), F.col(from_).alias("from_key"), F.col(to).alias("to_key"), (F.lit(None) if ordinal is None else ordinal).cast("int").alias("ordinal"))
 
 
-def metadata(x: Extract) -> tuple[DataFrame, DataFrame]:
-    """Metadata objects and relationships: included columns (B6), view columns (B9), materialised views with their keys and indexes (B10), columns of UPDATE OF (B11), parameters and return types (B13), sequences (B14), types, domains and enum values (B15), roles, owners and members (B17), policies (B18), partitions and inheritance (B19), event triggers (B20), exclusion constraints (B23), extensions. Tables that the extract lacks give none."""
+class _Parts:
+    """The parts of a result by the kinds that their rows can be of; where one kind is asked for, those that can't be."""
+
+    def __init__(self, only: str | None):
+        self.only, self.kept, self.first = only, [], None
+
+    def add(self, kinds: str, df: DataFrame) -> None:
+        self.first = df if self.first is None else self.first
+        if self.only is None or self.only in kinds.split():
+            self.kept.append(df)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.kept) if self.kept else self.first.where("false")
+
+
+def metadata(x: Extract, only: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Metadata objects and relationships: included columns (B6), view columns (B9), materialised views with their keys and indexes (B10), columns of UPDATE OF (B11), parameters and return types (B13), sequences (B14), types, domains and enum values (B15), roles, owners and members (B17), policies (B18), partitions and inheritance (B19), event triggers (B20), exclusion constraints (B23), extensions. Tables that the extract lacks give none. only: a kind of objects or of relationships; what can't be of that kind is left out of the plan."""
     x = prepared(x)
-    objects, links = [], []
+    objects, links = _Parts(only), _Parts(only)
     rel, att = relations(x), attributes(x)
     has = lambda *names: all(n in x for n in names)
     number = F.col("attnum").cast("int")
-    objects.append(_object(att.where("what <> 'table'"), "key", "owner_key", "attname", data_type=prop("string", F.col("format_type")), ordinal_position=prop("unsigned", number)))
+    objects.add("view_column", _object(att.where("what <> 'table'"), "key", "owner_key", "attname", data_type=prop("string", F.col("format_type")), ordinal_position=prop("unsigned", number)))
     m = rel.where("what = 'materialized_view'")
-    objects.append(_object(m, "key", "schema_key", "relname", F.col("definition")))
+    objects.add("materialized_view", _object(m, "key", "schema_key", "relname", F.col("definition")))
     if has("pg_rewrite", "pg_depend"):
         uses = _view_uses(x).join(m.select(*AT, "rel"), [*AT, "rel"])
-        links += [_relation(uses, "depends_on", "own", "dep"), _relation(uses.where("dep rlike ':(table|view):'"), "materializes", "own", "dep")]
+        links.add("depends_on", _relation(uses, "depends_on", "own", "dep"))
+        links.add("materializes", _relation(uses.where("dep rlike ':(table|view):'"), "materializes", "own", "dep"))
     if has("pg_index"):
         i = _indexes(x)
-        objects.append(_object(i.where("what = 'materialized_view'"), "key", "owner_key", "name", unique=prop("boolean", F.col("indisunique"))))
-        links.append(_relation(i.select(*AT, "key", "columns", F.posexplode("included").alias("at", "c")), "includes_column", "key", "c", F.size("columns") + F.col("at") + 1))
+        objects.add("index", _object(i.where("what = 'materialized_view'"), "key", "owner_key", "name", unique=prop("boolean", F.col("indisunique"))))
+        links.add("includes_column", _relation(i.select(*AT, "key", "columns", F.posexplode("included").alias("at", "c")), "includes_column", "key", "c", F.size("columns") + F.col("at") + 1))
     if has("pg_constraint"):
         k = _constraints(x)
-        objects.append(_object(k.where("what = 'materialized_view'"), "key", "owner_key", "name"))
+        objects.add("primary_key unique_constraint foreign_key check_constraint exclusion_constraint", _object(k.where("what = 'materialized_view'"), "key", "owner_key", "name"))
         x_only = k.where("what = 'table' and contype = 'x'")
-        objects.append(_object(x_only, "key", "owner_key", "name", F.col("conbin")))
-        links.append(_relation(x_only.select(*AT, "key", F.posexplode("columns").alias("at", "c")), "excludes_with", "key", "c", F.col("at") + 1))
+        objects.add("exclusion_constraint", _object(x_only, "key", "owner_key", "name", F.col("conbin")))
+        links.add("excludes_with", _relation(x_only.select(*AT, "key", F.posexplode("columns").alias("at", "c")), "excludes_with", "key", "c", F.col("at") + 1))
     s = rel.where("what = 'sequence'")
     if has("pg_sequence"):
         s = s.join(x["pg_sequence"].withColumnRenamed("seqrelid", "rel"), [*AT, "rel"], "left")
-        objects.append(_object(s, "key", "schema_key", "relname", start_value=prop("integer", F.col("seqstart")), increment=prop("integer", F.col("seqincrement")), cycles=prop("boolean", F.col("seqcycle"))))
+        objects.add("sequence", _object(s, "key", "schema_key", "relname", start_value=prop("integer", F.col("seqstart")), increment=prop("integer", F.col("seqincrement")), cycles=prop("boolean", F.col("seqcycle"))))
     else:
-        objects.append(_object(s, "key", "schema_key", "relname"))
+        objects.add("sequence", _object(s, "key", "schema_key", "relname"))
     if has("pg_depend"):
         owned = x["pg_depend"].where("classid = 'pg_class' and refclassid = 'pg_class' and refobjsubid > 0 and deptype in ('a', 'i')").join(s.select(*AT, F.col("rel").alias("objid"), F.col("key").alias("sequence_key")), [*AT, "objid"])
         at = att.where("what = 'table'").select(*AT, F.col("rel").alias("refobjid"), number.alias("refobjsubid"), F.col("key").alias("column_key"))
-        links.append(_relation(owned.join(at, [*AT, "refobjid", "refobjsubid"]), "uses_sequence", "column_key", "sequence_key"))
+        links.add("uses_sequence", _relation(owned.join(at, [*AT, "refobjid", "refobjsubid"]), "uses_sequence", "column_key", "sequence_key"))
     if has("pg_type"):
         t = _types(x)
         of = t.select(*AT, "typ", F.col("key").alias("type_key"))
-        objects.append(_object(t, "key", "schema_key", "typname", kind=prop("string", F.col("typtype"))))
-        links.append(_relation(att.join(of.withColumnRenamed("typ", "atttypid"), [*AT, "atttypid"]), "uses_type", "key", "type_key"))
+        objects.add("user_defined_type domain", _object(t, "key", "schema_key", "typname", kind=prop("string", F.col("typtype"))))
+        links.add("uses_type", _relation(att.join(of.withColumnRenamed("typ", "atttypid"), [*AT, "atttypid"]), "uses_type", "key", "type_key"))
         if has("pg_proc"):
-            links.append(_relation(_routines(x).join(of.withColumnRenamed("typ", "prorettype"), [*AT, "prorettype"]), "returns_type", "key", "type_key"))
+            links.add("returns_type", _relation(_routines(x).join(of.withColumnRenamed("typ", "prorettype"), [*AT, "prorettype"]), "returns_type", "key", "type_key"))
         if has("pg_enum"):
             e = x["pg_enum"].withColumnRenamed("enumtypid", "typ").join(t.select(*AT, "typ", F.col("key").alias("type_key"), "schema", "typname", "_source", "_alias", "_database"), [*AT, "typ"])
             e = e.withColumn("key", _key("enum_value", F.col("schema"), F.col("typname"), F.col("enumlabel")))
-            objects.append(_object(e, "key", "type_key", "enumlabel", sort_order=prop("string", F.col("enumsortorder"))))
+            objects.add("enum_value", _object(e, "key", "type_key", "enumlabel", sort_order=prop("string", F.col("enumsortorder"))))
     if has("pg_proc"):
         p = _routines(x).withColumnRenamed("key", "routine_key").select("*", F.posexplode("proargtypes").alias("at", "type"))
         p = p.withColumn("name", F.coalesce(F.when(F.get("proargnames", F.col("at")) != "", F.get("proargnames", F.col("at"))), F.concat(F.lit("argument_"), (F.col("at") + 1).cast("string"))))
         p = p.withColumn("key", _key("routine_parameter", F.col("schema"), F.col("proname"), F.concat(F.col("arguments"), F.lit("#"), (F.col("at") + 1).cast("string"), F.lit(":"), F.col("name"))))
-        objects.append(_object(p, "key", "routine_key", "name", data_type=prop("string", F.col("type")), ordinal_position=prop("unsigned", F.col("at") + 1)))
-        links.append(_relation(p, "has_parameter", "routine_key", "key", F.col("at") + 1))
+        objects.add("routine_parameter", _object(p, "key", "routine_key", "name", data_type=prop("string", F.col("type")), ordinal_position=prop("unsigned", F.col("at") + 1)))
+        links.add("has_parameter", _relation(p, "has_parameter", "routine_key", "key", F.col("at") + 1))
     if has("pg_roles"):
         db = x["databases"].select(*AT, F.col("source_kind").alias("_source"), F.col("connection_alias").alias("_alias"), F.col("name").alias("_database"))
         roles = x["pg_roles"].join(db, AT).withColumn("key", _key("principal", F.col("_database"), F.col("rolname"))).withColumn("database_key", _key("database", F.col("_database"), F.col("_database")))
-        objects.append(_object(roles, "key", "database_key", "rolname"))
+        objects.add("principal", _object(roles, "key", "database_key", "rolname"))
         of = roles.select(*AT, F.col("oid").alias("owner"), F.col("key").alias("role_key"))
         owned = rel.where("what not in ('index', 'user_defined_type')").select(*AT, "key", F.col("relowner").alias("owner")).unionByName(_schemas(x).select(*AT, F.col("schema_key").alias("key"), F.col("nspowner").alias("owner")))
-        links.append(_relation(owned.join(of, [*AT, "owner"]), "owned_by", "key", "role_key"))
+        links.add("owned_by", _relation(owned.join(of, [*AT, "owner"]), "owned_by", "key", "role_key"))
         if has("pg_auth_members"):
             member = x["pg_auth_members"].join(of.select(*AT, F.col("owner").alias("member"), F.col("role_key").alias("member_key")), [*AT, "member"]).join(of.select(*AT, F.col("owner").alias("roleid"), "role_key"), [*AT, "roleid"])
-            links.append(_relation(member, "depends_on", "member_key", "role_key"))
+            links.add("depends_on", _relation(member, "depends_on", "member_key", "role_key"))
     if has("pg_policy"):
         own = rel.select(*AT, F.col("rel").alias("polrelid"), F.col("key").alias("owner_key"), "schema", "relname", "_source", "_alias", "_database")
         pol = x["pg_policy"].join(own, [*AT, "polrelid"]).withColumn("key", _key("policy", F.col("schema"), F.col("relname"), F.col("polname")))
-        objects.append(_object(pol, "key", "owner_key", "polname", F.col("polqual"), command=prop("string", F.col("polcmd"))))
-        links.append(_relation(pol, "depends_on", "key", "owner_key"))
+        objects.add("policy", _object(pol, "key", "owner_key", "polname", F.col("polqual"), command=prop("string", F.col("polcmd"))))
+        links.add("depends_on", _relation(pol, "depends_on", "key", "owner_key"))
     if has("pg_inherits"):
         end = lambda c, n: rel.where("what = 'table'").select(*AT, F.col("rel").alias(c), F.col("key").alias(n), *([F.col("relispartition")] if n == "child" else []))
         inh = x["pg_inherits"].join(end("inhrelid", "child"), [*AT, "inhrelid"]).join(end("inhparent", "parent"), [*AT, "inhparent"])
-        links += [_relation(inh.where("relispartition"), "partition_of", "child", "parent"), _relation(inh.where("not relispartition"), "inherits_from", "child", "parent", F.col("inhseqno"))]
+        links.add("partition_of", _relation(inh.where("relispartition"), "partition_of", "child", "parent"))
+        links.add("inherits_from", _relation(inh.where("not relispartition"), "inherits_from", "child", "parent", F.col("inhseqno")))
     if has("pg_event_trigger", "pg_proc"):
         routine = _routines(x).select(*AT, F.col("proc").alias("evtfoid"), F.col("key").alias("routine_key"), "_source", "_alias", "_database")
         ev = x["pg_event_trigger"].join(routine, [*AT, "evtfoid"]).withColumn("key", _key("event", F.col("_database"), F.col("evtname"))).withColumn("database_key", _key("database", F.col("_database"), F.col("_database")))
-        objects.append(_object(ev, "key", "database_key", "evtname", event=prop("string", F.col("evtevent"))))
-        links.append(_relation(ev, "invokes", "key", "routine_key"))
+        objects.add("event", _object(ev, "key", "database_key", "evtname", event=prop("string", F.col("evtevent"))))
+        links.add("invokes", _relation(ev, "invokes", "key", "routine_key"))
     if has("pg_trigger"):
         named = _triggers(x).where(F.size("tgattr") > 0).select(*AT, F.col("key").alias("trigger_key"), F.col("tgrelid").alias("rel"), F.explode("tgattr").alias("attnum"))
-        links.append(_relation(named.join(att.select(*AT, "rel", number.alias("attnum"), "key"), [*AT, "rel", "attnum"]), "depends_on", "trigger_key", "key"))
+        links.add("depends_on", _relation(named.join(att.select(*AT, "rel", number.alias("attnum"), "key"), [*AT, "rel", "attnum"]), "depends_on", "trigger_key", "key"))
     if has("pg_extension"):
         ext = x["pg_extension"].withColumnRenamed("extnamespace", "nsp").join(_schemas(x), [*AT, "nsp"]).withColumn("key", _key("extension", F.col("schema"), F.col("extname")))
-        objects.append(_object(ext, "key", "schema_key", "extname", extension=F.lit("postgresql_extension"), version=prop("string", F.col("extversion"))))
-    return reduce(DataFrame.unionByName, objects), reduce(DataFrame.unionByName, links)
+        objects.add("extension", _object(ext, "key", "schema_key", "extname", extension=F.lit("postgresql_extension"), version=prop("string", F.col("extversion"))))
+    return objects.all(), links.all()
 
 
 def placement(x: Extract) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -184,8 +184,8 @@ def _pg_parts(s, d):
     return x | {"pg_class": x["pg_class"].withColumn("relispartition", (F.col("relkind") == "r") & F.col("relname").endswith("7")).unionByName(sequences), "pg_attribute": attribute.drop("nsp"), "pg_type": types, "pg_enum": enums, "pg_depend": x["pg_depend"].unionByName(uses), "pg_inherits": fk, "pg_index": index, "pg_roles": roles}
 
 
-_linked = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d))[1].where(F.col("kind") == kind).select("from_key", "to_key", "ordinal")
-_made = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d))[0].where(F.col("key").contains(f":{kind}:")).select("key", "parent_key", "name")
+_linked = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d), kind)[1].where(F.col("kind") == kind).select("from_key", "to_key", "ordinal")
+_made = lambda kind: lambda s, d: PG.metadata(_pg_parts(s, d), kind)[0].where(F.col("key").contains(f":{kind}:")).select("key", "parent_key", "name")
 _mapped("b6_pg_included_columns", _linked("includes_column"), "SELECT key AS from_key, ckey AS to_key, k::INTEGER AS ordinal FROM (SELECT key, ckey, row_number() OVER (PARTITION BY key ORDER BY pos) AS k, count(*) OVER (PARTITION BY key) AS n FROM ix_col) WHERE k = n AND n > 1")
 _mapped("b14_pg_sequences", _made("sequence"), "SELECT pre || 'sequence:seq' AS key, skey AS parent_key, 'seq' AS name FROM nat")
 _mapped("b14_pg_uses_sequence", _linked("uses_sequence"), "SELECT ckey AS from_key, pre || 'sequence:seq' AS to_key, NULL::INTEGER AS ordinal FROM col WHERE pos = 1")

@@ -43,8 +43,8 @@ def _more(s, d):
     return x | {"pg_class": put("pg_class", mats, indexes), "pg_attribute": put("pg_attribute", columns), "pg_index": put("pg_index", index), "pg_constraint": put("pg_constraint", constraints), "pg_rewrite": put("pg_rewrite", rules), "pg_depend": put("pg_depend", depends), "pg_type": made("dom", "d").unionByName(made("comp", "c")), "pg_proc": proc, "pg_policy": policies, "pg_roles": roles, "pg_auth_members": members}
 
 
-def _mapped(name: str, k: int, where: str, columns: list[str], sql: str):
-    Q[name], SQL[name] = (lambda s, d: PG.metadata(_more(s, d))[k].where(where).select(*columns)), over_fleet(sql)
+def _mapped(name: str, k: int, where: str, columns: list[str], sql: str, only: str | None = None):
+    Q[name], SQL[name] = (lambda s, d: PG.metadata(_more(s, d), only)[k].where(where).select(*columns)), over_fleet(sql)
 
 
 _OBJ, _REL = ["key", "parent_key", "name"], ["kind", "from_key", "to_key"]
@@ -52,8 +52,8 @@ _MAT = "pre || 'materialized_view:mc' || ck"
 _mapped("b10_pg_materialized_views", 0, "key rlike ':(materialized_view|view_column):mc'", _OBJ, f"SELECT {_MAT} AS key, skey AS parent_key, 'mc' || ck AS name FROM cust WHERE ck % 10 = 0 UNION ALL SELECT pre || 'view_column:mc' || ck || ':a', {_MAT}, 'a' FROM cust WHERE ck % 10 = 0")
 _mapped("b10_pg_keys_and_indexes", 0, "key rlike ':(unique_constraint|index):mc'", _OBJ, f"SELECT pre || 'unique_constraint:mc' || ck || ':mu' AS key, {_MAT} AS parent_key, 'mu' AS name FROM cust WHERE ck % 10 = 0 UNION ALL SELECT pre || 'index:mc' || ck || ':mix', {_MAT}, 'mix' FROM cust WHERE ck % 10 = 0")
 _mapped("b10_pg_materializes", 1, "kind = 'materializes' or (kind = 'depends_on' and from_key like '%:materialized_view:%')", _REL, f"SELECT unnest(['materializes', 'depends_on']) AS kind, {_MAT} AS from_key, tkey AS to_key FROM cust WHERE ck % 10 = 0")
-_mapped("b13_pg_returns_type", 1, "kind = 'returns_type'", _REL, "SELECT 'returns_type' AS kind, key AS from_key, regexp_replace(key, ':routine:.*$', ':domain:dom') AS to_key FROM rt WHERE pk % 2 = 0")
+_mapped("b13_pg_returns_type", 1, "kind = 'returns_type'", _REL, "SELECT 'returns_type' AS kind, key AS from_key, regexp_replace(key, ':routine:.*$', ':domain:dom') AS to_key FROM rt WHERE pk % 2 = 0", only="returns_type")
 _mapped("b15_pg_domains_and_composites", 0, "key rlike ':(domain|user_defined_type):'", _OBJ, "SELECT pre || 'domain:dom' AS key, skey AS parent_key, 'dom' AS name FROM nat UNION ALL SELECT pre || 'user_defined_type:comp', skey, 'comp' FROM nat")
-_mapped("b17_pg_members", 1, "from_key like '%:principal:%'", _REL, "SELECT 'depends_on' AS kind, replace(dkey, ':database:w', ':principal:member') AS from_key, replace(dkey, ':database:w', ':principal:group') AS to_key FROM db")
-_mapped("b18_pg_policies", 0, "key like '%:policy:%'", [*_OBJ, "definition"], "SELECT pre || 'policy:c' || ck || ':pol' AS key, tkey AS parent_key, 'pol' AS name, 'true' AS definition FROM cust WHERE ck % 8 = 0")
-_mapped("b23_pg_exclusion_constraints", 1, "kind = 'excludes_with'", [*_REL, "ordinal"], "SELECT 'excludes_with' AS kind, pre || 'exclusion_constraint:c' || ck || ':ex' AS from_key, ckey AS to_key, 1 AS ordinal FROM col WHERE pos = 1 AND ck % 9 = 0")
+_mapped("b17_pg_members", 1, "from_key like '%:principal:%'", _REL, "SELECT 'depends_on' AS kind, replace(dkey, ':database:w', ':principal:member') AS from_key, replace(dkey, ':database:w', ':principal:group') AS to_key FROM db", only="depends_on")
+_mapped("b18_pg_policies", 0, "key like '%:policy:%'", [*_OBJ, "definition"], "SELECT pre || 'policy:c' || ck || ':pol' AS key, tkey AS parent_key, 'pol' AS name, 'true' AS definition FROM cust WHERE ck % 8 = 0", only="policy")
+_mapped("b23_pg_exclusion_constraints", 1, "kind = 'excludes_with'", [*_REL, "ordinal"], "SELECT 'excludes_with' AS kind, pre || 'exclusion_constraint:c' || ck || ':ex' AS from_key, ckey AS to_key, 1 AS ordinal FROM col WHERE pos = 1 AND ck % 9 = 0", only="excludes_with")
