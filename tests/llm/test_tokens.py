@@ -95,7 +95,7 @@ def test_alignment(docs, empty, plain):
 
 
 def test_links_are_overlaps_and_groups(docs, empty, plain):
-    few = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 1200)
+    few = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 400)
     for kind in ("overlap", "group"):
         for r, text in ((r, TEXTS[r.doc_id % len(TEXTS)]) for r in alignment.token_links(few.where("doc_id <> 4"), kind).collect()):
             x = plain(text)
