@@ -16,7 +16,7 @@ from .fleet import graph
 from .model import OBJECT_CATEGORIES, RELATION_CATEGORIES, Graph
 from .oracles import over_fleet
 from .queries_graph import _OBJECTS, _REL, _RELATIONS, _extract, _pg, _pg_parts, _programs
-from .shared import new_path
+from .shared import new_path, written_all
 
 Q: dict = {}
 SQL: dict = {}
@@ -46,6 +46,7 @@ def c3_reconcile_mapped(s, d):
     parts = []
     for vendor, x in (("mysql", _programs(s, d)), ("postgres", _pg_parts(s, d))):
         c = M.map_catalog(x, vendor)
+        c = c.with_tables(**written_all({n: c.t[n] for n in ("constraints", "indexes", "views", "triggers", "routines", "metadata_objects", "relationships")}))
         for domain, seen, made in zip(("object", "relationship"), B.discovered(x, vendor), (C.emitted_objects(c), C.emitted_relations(c)), strict=True):
             both = made.join(seen, ["snapshot_key", "category"], "left")
             parts.append(both.groupBy("snapshot_key").agg(F.count("*").alias("categories"), F.count_if(F.col("emitted") == F.col("discovered")).alias("agreed"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("emitted").eqNullSafe(F.col("discovered")), F.col("category")))), ",").alias("apart")).select("snapshot_key", F.lit(vendor).alias("vendor"), F.lit(domain).alias("domain"), "categories", "agreed", "apart"))

@@ -4,6 +4,7 @@ from metaloom.operators import mapping as M
 from metaloom.operators import postgres as PG
 from metaloom.operators import validate as V
 from metaloom.plans import fleet
+from metaloom.plans.shared import written_all
 
 S = "snapshot_key string, "
 
@@ -48,6 +49,7 @@ def extract(spark):
 def test_own_objects(spark):
     x = extract(spark)
     c = M.map_catalog(x, "postgres")
+    c = c.with_tables(**written_all({n: c.t[n] for n in ("metadata_objects", "relationships")}))
     assert {(r.name, r.kind) for r in c.tables.collect()} == {("t", "partitioned"), ("t_1", "partition"), ("tmp", "temporary"), ("far", "foreign"), ("kid", "base_table")}
     assert {(r.name, r.is_nullable, r.default_value, r.is_generated) for r in c.columns.collect()} == {("a", False, None, False), ("b", True, "a + 1", True)}
     assert [(r.kind, r.columns, r.expression) for r in c.constraints.collect()] == [("check", ["pg:a:d:s:column:t:a"], "a > 0")]
