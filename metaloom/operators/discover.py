@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.model import OBJECT_CATEGORIES, RELATION_CATEGORIES
+from ..plans.shared import written_all
 from .mapping import CONSTRAINT_TYPES, KEY_KINDS, Extract
 from .postgres import CONSTRAINTS as PG_CONSTRAINTS
 from .postgres import KEY_KINDS as PG_KEY_KINDS
@@ -29,7 +30,8 @@ def _scan(df: DataFrame, evidence: str, objects: dict[str, Column | int] | None
 
 
 def _summed(scans: list[DataFrame], databases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(objects, relations), each (snapshot_key, category, discovered, evidence) over all categories; one that no scan counts is 0, and says so."""
+    """(objects, relations), each (snapshot_key, category, discovered, evidence) over all categories; one that no scan counts is 0, and says so. The scans run once, as parts of one written table."""
+    scans = list(written_all({f"counts_{k}": reduce(DataFrame.unionByName, scans[k::4]) for k in range(min(4, len(scans)))}).values())
     got = reduce(DataFrame.unionByName, scans).groupBy(*AT, "domain", "category").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("evidence")), "; ").alias("seen"))
     every = [F.struct(F.lit(d).alias("domain"), F.lit(c).alias("category")) for d, names in (("object", OBJECT_CATEGORIES), ("relationship", RELATION_CATEGORIES)) for c in names]
     rows = databases.select(*AT).distinct().select(*AT, F.explode(F.array(*every)).alias("c")).select(*AT, "c.*").join(got, [*AT, "domain", "category"], "left")
