@@ -27,7 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, linked where their five-word shingles have a Jaccard similarity of at least 0.8: the smallest doc_id."""
+    """One document of each group of near-duplicates, the smallest doc_id. SimHash links those within its radius, a join over prefixes of shingles those beyond; either's links hold where five-word shingles have a Jaccard similarity of at least 0.8."""
     return keep_one(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of whole texts' word shingles: a set-similarity join over prefixes."""
+"""Near-duplicates by SimHash of whole texts' word shingles, each link checked by exact Jaccard similarity; similar sets whose fingerprints lie further apart are linked by a join over prefixes."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, connected_components, in_arrow, written
+from .simhash import STEP, majority, near_links
 
 WIDTH = 5
 #: Jaccard similarity of at least 4 / 5, in whole numbers: 5 * both >= 4 * (a + b - both).
@@ -49,14 +50,16 @@ def _slot(text: str | None) -> int:
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, s, slot): the hash of the text's set, and the text's own mark."""
+    """docs(doc_id, text) -> (doc_id, s, slot, fp): the hash of the text's set, the text's own mark, and the set's SimHash (0 without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sets(texts)[1]), pa.array([_slot(t) for t in texts], pa.int32())], ["doc_id", "s", "slot"])
+            sets, s = _sets(texts)
+            fp = np.fromiter((majority(h[i : i + STEP].tobytes() for i in range(0, len(h), STEP)) for h in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array([_slot(t) for t in texts], pa.int32()), pa.array(fp)], ["doc_id", "s", "slot", "fp"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, s long, slot int")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, s long, slot int, fp long")
 
 
 def shingle_sets(docs: DataFrame, marks: np.ndarray | None = None) -> DataFrame:
@@ -167,17 +170,36 @@ def verified(docs: DataFrame, ids: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.where((NUM + DEN) * shared >= NUM * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
+def simhash_pairs(ids: DataFrame) -> DataFrame:
+    """set_ids -> pairs (a, b), a < b, of sets, whose components are those of all pairs of fingerprints within 4 bits; a written table."""
+    sets = ids.groupBy("s").agg(F.first("fp").alias("fp"))
+    nodes = written(sets.groupBy("fp").agg(F.min("s").alias("rep")), "nodes")
+    same = sets.join(nodes, "fp").where("s <> rep").select(F.col("rep").alias("a"), F.col("s").alias("b"))
+    pairs = near_links(nodes).unionByName(same)
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash_pairs")
+
+
+def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that links leave in different components."""
+    of = connected_components(links)
+    for x in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def similar_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs(text) and its set_ids -> links (a, b) between the hashes of sets, whose components are those of all pairs with a similarity of at least 0.8, each link verified on the whole sets.
 
-    In each bucket of sets that share a prefix's shingle, the first member is paired with the others. What that links needs no other pair. In buckets of three or more, the members with most company are then paired with those that are still in other components, and at last all that are still apart: sets that share prefixes but no chain of similar ones. So a group of copies makes pairs about in proportion to its members.
+    SimHash links come first. Similar sets may have fingerprints further apart than its radius, so the sets that share a prefix's shingle are looked through for what it has left apart: in each bucket of them the first member is paired with the others; in buckets of three or more, the members with most company are then paired with those that are still in other components, and at last all that are still apart: sets that share prefixes but no chain of similar ones. So a group of copies makes pairs about in proportion to its members.
     """
+    links = verified(docs, ids, simhash_pairs(ids))
     sample = docs.select("text").where(F.xxhash64("text") % SAMPLE == 0).distinct()
     often = shingle_sets(sample).select(F.explode("hs").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN)
     common = np.sort(np.array([r.h for r in often.orderBy(F.desc("count"), "h").limit(COMMON).select("h").collect()], np.int64))
     sent = prefixes(docs, common).repartition("h").sortWithinPartitions("h", "s")
     found = written(sent.mapInArrow(stars, "a long, b long, h long, n long, p long, size long"), "candidates")
-    links = verified(docs, ids, written(found.where("b is not null").select("a", "b").distinct(), "pairs"))
+    pairs = written(apart(found.where("b is not null").select("a", "b").distinct(), links), "pairs")
+    links = links.unionByName(verified(docs, ids, pairs))
     members = found.where("b is null").select("h", F.col("a").alias("s"), "n", "p", "size")
     members = written(members.join(members.groupBy("s").agg(F.sum("size").alias("company")), "s").drop("size"), "members")
     for hubs in (*HUBS, None):

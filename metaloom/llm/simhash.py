@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,15 @@ from .common import columns, connected_components, in_arrow, table, written
 STEP = 1 << 15
 
 
+def majority(parts: Iterable[bytes]) -> int:
+    """Unsigned 64-bit word of the bits set in over half of the 8-byte hashes that parts hold; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
+        ones += np.unpackbits(np.frombuffer(h, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        n += len(h) // 8
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of a whole text's word shingles; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -24,11 +33,8 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends[min(width, n) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for i in range(0, len(ends), STEP):
-        h = b"".join([digest(line[a:b], seed) for a, b in zip(starts[i : i + STEP], ends[i : i + STEP], strict=False)])
-        ones += np.unpackbits(np.frombuffer(h, np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(ends)).tobytes(), "big")
+    digest = xxhash.xxh64_digest
+    return majority(b"".join([digest(line[a:b], seed) for a, b in zip(starts[i : i + STEP], ends[i : i + STEP], strict=False)]) for i in range(0, len(ends), STEP))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import xxhash
+from pyspark.sql import functions as F
+
 from corpus_pipeline import near_duplicates
 from metaloom.llm import shingles
 
@@ -49,3 +52,36 @@ def test_documents(spark, sf):
 
 def test_no_rows(spark):
     assert near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
+
+
+def test_simhash_links_before_prefixes(spark, monkeypatch):
+    """What fingerprints link within 4 bits is linked without the join over prefixes, if whole sets are similar; fingerprints of sets are as brute force makes them."""
+    r = random.Random(2)
+    text = [f"w{r.randrange(10**6)}" for _ in range(2000)]
+    near = text[:1000] + ["changed"] + text[1001:]
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(text[::-1])), (4, None), (5, "a b c d e f"), (6, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {x.doc_id: x.fp % (1 << 64) for x in shingles.set_ids(docs).collect()}
+    for d, t in rows:
+        hashes = [xxhash.xxh64_intdigest(x.encode()) for x in slow_set(t)]
+        assert fp[d] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert (fp[1] ^ fp[2]).bit_count() <= 4
+
+    def none(batches, *_):
+        for _ in batches:
+            pass
+        yield from ()
+
+    monkeypatch.setattr(shingles, "stars", none)
+    monkeypatch.setattr(shingles, "across", none)
+    assert {x.doc_id: x.component_id for x in shingles.similar_groups(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_simhash_links_are_verified(spark):
+    """Sets whose fingerprints are equal, but which aren't similar, stay apart; a chain through one that is similar to both is kept."""
+    rows = [(1, " ".join(f"a{i}" for i in range(60))), (2, " ".join(f"b{i}" for i in range(60))), (3, " ".join(f"a{i}" for i in range(58))), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = shingles.set_ids(docs).withColumn("fp", F.lit(7).cast("long"))
+    s = {x.doc_id: x.s for x in ids.collect()}
+    links = {frozenset(x) for x in shingles.similar_sets(docs, shingles.written(ids, "ids")).collect()}
+    assert links == {frozenset((s[1], s[3]))}
