@@ -30,6 +30,8 @@ CLASSES, FINE, LEAST, RATE = 4, 18, 640, 6
 CACHED = 2_000_000
 H1, H2, LEVELS = 8, 9, 16
 BLOCK, FILE_IDS, LANES = 2048, 1 << 23, 2048
+#: Bytes of text that a task writes: its blocks are coded in step, so few of them take as many operations as many do.
+TASK_BYTES = 1 << 25
 ROW = (1 << H1) + (1 << H2)
 
 
@@ -502,7 +504,8 @@ def write_tokens(docs: DataFrame, folder: str, path: str, block: int = BLOCK, fi
             yield flush()
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(in_arrow(own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"), run, "part long, seq long, n_tokens long, n_bytes long"), "token_files")
+    tasks = -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // TASK_BYTES)
+    return written(in_arrow(own.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text"), run, "part long, seq long, n_tokens long, n_bytes long"), "token_files")
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:

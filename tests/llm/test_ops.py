@@ -236,6 +236,24 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfile.write_tokens(empty, f"file://{tmp_path}/none", path).count() == 0
 
 
+def test_tasks_of_token_files_follow_the_bytes(spark, tmp_path, monkeypatch):
+    """However many partitions the session makes, a task writes TASK_BYTES of text; the cut doesn't change what is read."""
+    import public_tokenizers
+
+    path, got = public_tokenizers.path("word_bpe_49k.json"), []
+    own = spark.createDataFrame([(i, f"word{i} " * 200) for i in range(100)] + [(None, None)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for size, least, most in ((tokenfile.TASK_BYTES, 1, 1), (20_000, 5, 8)):
+            monkeypatch.setattr(tokenfile, "TASK_BYTES", size)
+            files = tokenfile.write_tokens(own, f"file://{tmp_path}/{size}", path)
+            assert least <= files.count() <= most
+            got.append(sorted(tokenfile.read_tokens(spark, f"file://{tmp_path}/{size}", files).collect(), key=lambda r: r.start))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0] == got[1] and len(got[0]) == 101 and got[0][0].doc_id is None
+
+
 def test_coder():
     r = np.random.default_rng(0)
     for x in (np.zeros(3000, np.uint16), r.integers(0, 1 << 16, 5000).astype(np.uint16), (r.zipf(1.3, 40_000) % 49_000).astype(np.uint16), np.array([7], np.uint16), np.tile(np.arange(50, dtype=np.uint16), 100)):
