@@ -153,7 +153,9 @@ def k15_redact_error(spark, sf):
     url = F.format_string("postgres://app:secret%d@db/app", "c_custkey")
     pad = F.when(F.col("c_custkey") % 2 == 0, F.repeat(F.lit("é"), F.lit(5000))).otherwise(F.lit(""))
     got = R.redact_error(F.concat(F.lit("no route to "), url, F.lit("; "), pad), url)
-    return _t(spark, sf, "customer").select("c_custkey", F.left(got, F.lit(60)).alias("head"), F.octet_length(got).alias("bytes"))
+    # The rows are few bytes each, so that one task would read them all; the texts made of them are long.
+    rows = _t(spark, sf, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    return rows.select("c_custkey", F.left(got, F.lit(60)).alias("head"), F.octet_length(got).alias("bytes"))
 
 
 SQL["k15_redact_error"] = "SELECT c_custkey, left('no route to postgres://app:***@db/app; ' || CASE WHEN c_custkey % 2 = 0 THEN repeat('é', 5000) ELSE '' END, 60) AS head, CASE WHEN c_custkey % 2 = 0 THEN 39 + 2 * ((8192 - 39) // 2) ELSE 39 END::INTEGER AS bytes FROM customer"
